@@ -99,14 +99,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, beginnings: tuple[int, ...] = ()):
     """64-bit hash of every word of every row, and each row's offset into them.
 
-    A rolling polynomial over bytes, so no word becomes a Python object.
+    A rolling polynomial over bytes, so no word becomes a Python object. With `beginnings`, also
+    a list of (numbers of the words with more bytes than that, hashes of so many first bytes).
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        empty = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*empty, []) if beginnings else empty
     gap = separators[data]
     filled = offsets[:-1] < offsets[1:]
     before = np.empty(n, bool)
@@ -121,7 +123,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    rows = np.searchsorted(starts, offsets)
+    if not beginnings:
+        return hashes, rows
+    parts = []
+    for size in beginnings:
+        longer = np.flatnonzero(ends - starts > size)
+        own = starts[longer]
+        parts.append((longer, mixed((sums[own + size] - sums[own]) * down[own] + np.uint64(size))))
+    return hashes, rows, parts
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5):

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, mixing, pages, pieces, pii, quality, toxicity
+from . import merkle, minhash, mixing, pages, pieces, pii, quality, toxicity
 from .common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_quality, op5_mixing, op6_toxicity, op8_merkle, op9_html, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sentencepiece, op4_quality, op5_mixing, op6_toxicity, op8_merkle, op9_html, op10_pii)}
 
 ORACLES = {
     "op5_mixing": r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, minhash, mixing, pages, pieces, pii, quality, toxicity
+from . import merkle, minhash, mixing, pages, pieces, pii, quality, toxicity, vectors
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sentencepiece, op4_quality, op5_mixing, op6_toxicity, op8_merkle, op9_html, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sentencepiece, op3_vectors, op4_quality, op5_mixing, op6_toxicity, op8_merkle, op9_html, op10_pii)}
 
 ORACLES = {
     "op5_mixing": r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, minhash, mixing, pages, pieces, pii, quality, toxicity, vectors
+from . import licences, merkle, minhash, mixing, pages, pieces, pii, quality, toxicity, vectors
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_check(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sentencepiece, op3_vectors, op4_quality, op5_mixing, op6_toxicity, op8_merkle, op9_html, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sentencepiece, op3_vectors, op4_quality, op5_mixing, op6_toxicity, op7_licences, op8_merkle, op9_html, op10_pii)}
 
 ORACLES = {
     "op5_mixing": r"""

@@ -95,7 +95,7 @@ FROM i FULL OUTER JOIN d ON i.slug = d.slug WHERE i.slug IS NOT NULL OR d.origin
     "stem_classify": "WITH n AS (SELECT doc_id, lower(left(text, 12) || CASE doc_id % 4 WHEN 0 THEN '_(Instrumental)' WHEN 1 THEN '_Vocals' WHEN 2 THEN ' No Vocals' ELSE '' END) AS name FROM documents) SELECT doc_id, CASE WHEN contains(name, '(instrumental)') OR contains(name, '_instrumental') OR contains(name, 'no vocals') THEN 'instrumental' WHEN contains(name, '(vocals)') OR contains(name, '_vocals') THEN 'vocals' END AS stem FROM n",
     "cleanup_pick": "SELECT conv_id, arg_min(name, (miss, turn)) AS name FROM (SELECT conv_id, turn, role || CASE WHEN turn % 3 = 2 THEN ' (No Echo)' ELSE ' (Echo)' END AS name, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS miss FROM conversations) GROUP BY conv_id",
     "title_search": "SELECT p_partkey, title FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 != 0 THEN p_name END AS title, p_brand FROM part) WHERE contains(lower(coalesce(nullif(title, ''), p_brand)), '1')",
-    "format_fields": """WITH e AS (SELECT *, value * 10 AS t, CASE WHEN event_id % 2 = 0 THEN value ELSE value / 1000 END AS d, value * 50 AS l FROM events),
+    "format_fields": """WITH e AS (SELECT *, value * 10 AS t, CASE WHEN event_id % 2 = 0 THEN value ELSE value / 1024 END AS d, value * 50 AS l FROM events),
 f AS (SELECT *, floor(t)::BIGINT AS whole, floor(d + 0.5)::BIGINT AS ds, floor(l)::BIGINT AS ls FROM e)
 SELECT event_id, (whole // 60)::VARCHAR || ':' || lpad((whole % 60)::VARCHAR, 2, '0') AS time,
   CASE WHEN d < 1 THEN printf('%.2f', round(d, 2)) || 's' WHEN ds >= 60 THEN (ds // 60)::VARCHAR || 'm ' || lpad((ds % 60)::VARCHAR, 2, '0') || 's' ELSE ds::VARCHAR || 's' END AS duration,

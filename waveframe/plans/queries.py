@@ -298,7 +298,7 @@ def title_search(spark, sf_dir):
 def format_fields(spark, sf_dir):
     v = F.col("value")
     return load(spark, sf_dir, "events").select(
-        "event_id", X.fmt_time(v * 10).alias("time"), X.fmt_duration(F.when(F.col("event_id") % 2 == 0, v).otherwise(v / 1000)).alias("duration"), X.fmt_elapsed(v * 50).alias("elapsed"),
+        "event_id", X.fmt_time(v * 10).alias("time"), X.fmt_duration(F.when(F.col("event_id") % 2 == 0, v).otherwise(v / 1024)).alias("duration"), X.fmt_elapsed(v * 50).alias("elapsed"),
         X.clamp(v, 10.0, 200.0).alias("clamped"), X.capitalize(F.concat(F.col("event_type"), F.lit(" NO"))).alias("capital"), X.escape_html(F.concat(F.lit("<a&'b'>"), F.col("props"))).alias("escaped"),
     )
 

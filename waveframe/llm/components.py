@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,9 +20,10 @@ def components(links: DataFrame) -> DataFrame:
     both = written(sides.distinct())
     labels = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")))
     while True:
-        around = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("least"))
-        lowered = labels.join(around, "id").select("id", F.col("component").alias("before"), F.least("component", "least").alias("component"))
-        roots = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        known = small(labels)
+        around = both.join(known.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("least"))
+        lowered = around.join(known, "id").select("id", F.col("component").alias("before"), F.least("component", "least").alias("component"))
+        roots = known.select(F.col("id").alias("component"), F.col("component").alias("root"))
         jumped = written(lowered.join(roots, "component").select("id", "before", F.least("component", "root").alias("component")))
         labels = jumped.select("id", "component")
         if jumped.where("component != before").isEmpty():

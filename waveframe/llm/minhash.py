@@ -14,10 +14,10 @@ similarity of 0.8 a pair shares none with probability (1 - 0.8^6)^36 < 0.00002.
 
 Candidates: a bucket of two is a pair. In a larger bucket the signatures are compared within
 tasks, in blocks of 1,024 by 1,024 documents, so that no group is in one task and no list of all
-pairs arises: each document proposes its nearest partners of other components (2, then 8, 64, then
-all in later rounds), at an estimate of 0.72 or more (three standard deviations below 0.8). Proposals are
-verified exactly from the texts, components are joined, and rounds go on with the pairs not yet tested
-between components until none is left. So every bucket is searched to its end, however large.
+pairs arises: each document proposes its nearest partner of other components (then 24 of them, then
+all that are left), at an estimate of 0.72 or more (three standard deviations below 0.8). Proposals are
+verified exactly from the texts, components are joined, and the next round goes on with the pairs not
+yet tested between components. So every bucket is searched to its end, however large.
 
 Exact copies are one node from the start. Only ids, keys and signatures are shuffled; texts only of
 documents in proposals.
@@ -37,17 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shingle_hashes, steps, text_bytes, text_of, word_hashes, written
+from .common import mixed, shingle_hashes, small, steps, text_bytes, text_of, word_hashes, written
 from .components import components
 
 BANDS, WIDTH = 36, 6
 REGISTERS = BANDS * WIDTH
 SIZE, THRESHOLD, LEAST_ESTIMATE = 5, 0.8, 0.72
 BLOCK = 1024
-#: Partners that a document proposes, by round; all in later ones.
-PROPOSALS = (2, 8, 64)
-#: Ids that a broadcast may hold (8 bytes each, and Spark's own).
-BROADCAST_IDS = 500_000
+#: Partners that a document proposes, by round; None: all.
+PROPOSALS = (1, 24, None)
+#: Bytes of texts that a broadcast may hold.
+BROADCAST_BYTES = 16 << 20
 
 
 def weighted_runs(part: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,35 +115,50 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard of (sorted runs, weights)."""
-    runs = np.union1d(x[0], y[0])
-    a, b = np.zeros(len(runs)), np.zeros(len(runs))
-    a[np.searchsorted(runs, x[0])], b[np.searchsorted(runs, y[0])] = x[1], y[1]
-    both = (a > 0) & (b > 0)
-    if not both.any():
+    at = np.minimum(np.searchsorted(y[0], x[0]), max(0, len(y[0]) - 1))
+    mine = np.flatnonzero(y[0][at] == x[0]) if len(y[0]) else np.zeros(0, np.int64)
+    if not len(mine):
         return 0.0
-    with np.errstate(divide="ignore"):
-        ratio = a / b
-    order = np.argsort(ratio, kind="stable")
-    a, b, both = a[order], b[order], both[order]
+    a, b = x[1][mine], y[1][at[mine]]
+    # runs of x alone have the ratio x / y of infinity and always count by x; those of y alone by y
+    alone_x, alone_y = x[1].sum() - a.sum(), y[1].sum() - b.sum()
+    order = np.argsort(a / b, kind="stable")
+    a, b = a[order], b[order]
     # in order of x / y: the larger ratios count by x, the smaller by y
-    from_here, before = np.cumsum(a[::-1])[::-1], np.cumsum(b) - b
-    return float((1 / (from_here[both] / a[both] + before[both] / b[both])).sum())
+    from_here, before = np.cumsum(a[::-1])[::-1] + alone_x, np.cumsum(b) - b + alone_y
+    return float((1 / (from_here / a + before / b)).sum())
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) with `linked`: whether their texts' similarity reaches the threshold."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lower(text_of(docs)).alias("text")).join(few, "doc_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lower(text_of(docs)).alias("text")).join(small(ids), "doc_id", "left_semi"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = F.broadcast(texts) if size <= BROADCAST_BYTES else texts
+    both = pairs.select("a", "b")
+    for side in ("a", "b"):
+        both = both.join(own.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for k in range(len(batch)):
-                sides = [weighted_runs(batch.column(c).slice(k, 1).cast(pa.large_string())) for c in (2, 3)]
-                linked.append(similarity(*[x[1:] for x in sides]) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                # a text that several pairs of the part share is cut into runs once
+                texts = pa.concat_arrays([part.column(c).cast(pa.large_string()) for c in (2, 3)]).dictionary_encode()
+                runs, offsets = [], np.zeros(1, np.int64)
+                for _, _, some in steps(texts.dictionary):
+                    row, *found = weighted_runs(some)
+                    runs.append(found)
+                    offsets = np.concatenate([offsets, offsets[-1] + np.cumsum(np.bincount(row, minlength=len(some)))])
+                values, weights = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
+                number = texts.indices.to_numpy()
+
+                def side(k: int):
+                    cut = slice(offsets[number[k]], offsets[number[k] + 1])
+                    return values[cut], weights[cut]
+
+                linked = [similarity(side(k), side(len(part) + k)) >= threshold - 1e-12 for k in range(len(part))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
@@ -173,10 +188,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def proposed(ids, sketch, label, block, own, tested, most: int | None, least: float):
+def proposed(ids, sketch, label, block, own, at: int, tested, most: int | None, least: float):
     """Pairs of different labels, blocks {own} and an estimate of `least` or more: each row's `most` best.
 
-    Rows of the commonest label propose nothing: their partners of other labels do.
+    Rows of the commonest label propose nothing: their partners of other labels do. A pair that
+    shares several bands is left to the first of them.
     """
     values, counts = np.unique(label, return_counts=True)
     quiet = values[counts.argmax()] if counts.max() > 1 else None
@@ -192,6 +208,9 @@ def proposed(ids, sketch, label, block, own, tested, most: int | None, least: fl
             near = np.flatnonzero(agree[k] >= least)
             if len(near) and len(tested[i]):
                 near = near[~np.isin(ids[near], tested[i])]
+            if len(near):
+                shared = (sketch[near] == sketch[i]).reshape(len(near), BANDS, WIDTH).all(2)
+                near = near[shared.argmax(1) == at]
             if most is not None and len(near) > most:
                 near = near[np.lexsort((ids[near], -agree[k][near]))[:most]]
             out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
@@ -199,15 +218,15 @@ def proposed(ids, sketch, label, block, own, tested, most: int | None, least: fl
 
 
 def proposals(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, tested: DataFrame | None, most: int | None) -> DataFrame:
-    """Pairs (a, b) to verify in this round, from the buckets (band, doc_id, n) of three and more."""
+    """Pairs (a, b) to verify in this round, from the buckets (band, at: its number, doc_id, n) of three and more."""
     rows = members.withColumn("label", F.col("doc_id"))
     if labels is not None:
-        named = members.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+        named = members.join(small(labels).select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         rows = written(named)
         parted = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-        rows = rows.join(written(parted), "band")
-    own = rows.select("doc_id").distinct()
-    data = nodes.select("doc_id", "sketch").join(own, "doc_id", "left_semi")
+        rows = rows.join(small(written(parted)), "band")
+    own = written(rows.select("doc_id").distinct())
+    data = nodes.select("doc_id", "sketch").join(small(own), "doc_id", "left_semi")
     if tested is not None:
         known = tested.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("x")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("x")))).alias("s")).select("s.*")
         data = data.join(known.groupBy("doc_id").agg(F.collect_set("x").alias("tested")), "doc_id", "left")
@@ -216,7 +235,7 @@ def proposals(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, te
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "doc_id").join(data, "doc_id")
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "at", "block", "label", "doc_id").join(data, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -225,11 +244,11 @@ def proposals(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, te
                 continue
             sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
             seen = [np.array(x or [], np.int64) for x in group["tested"].to_pylist()]
-            found = proposed(ids, sketch, group["label"].to_numpy(), group["block"].to_numpy(), (group["i"][0].as_py(), group["j"][0].as_py()), seen, most, LEAST_ESTIMATE)
+            found = proposed(ids, sketch, group["label"].to_numpy(), group["block"].to_numpy(), (group["i"][0].as_py(), group["j"][0].as_py()), group["at"][0].as_py(), seen, most, LEAST_ESTIMATE)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    columns = ["band", "i", "j", "block", "label", "doc_id", "sketch", "tested"]
+    columns = ["band", "i", "j", "at", "block", "label", "doc_id", "sketch", "tested"]
     spread = dealt.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return spread.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
@@ -241,14 +260,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = written(slim.where("worded AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")))
     sketches = written(sketched(docs))
     nodes = written(sketches.join(copies, "key").where("doc_id = first").select("doc_id", "sketch", "bands"))
-    bands = nodes.select("doc_id", F.explode("bands").alias("band"))
+    bands = nodes.select("doc_id", F.posexplode("bands").alias("at", "band"))
     buckets = written(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"))
     members = written(bands.join(buckets.where("n > 2").select("band", "n"), "band"))
     pairs = buckets.where("n = 2").select("a", "b").distinct()
     tested = labels = None
-    turn = 0
-    while True:
-        most = PROPOSALS[turn] if turn < len(PROPOSALS) else None
+    for turn, most in enumerate(PROPOSALS):
         found = proposals(members, nodes, labels, tested, most)
         new = written(found.union(pairs).distinct() if turn == 0 else found)
         if new.isEmpty():
@@ -256,10 +273,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         done = written(verified(new, docs, threshold))
         tested = done if tested is None else tested.union(done)
         labels = components(tested.where("linked").select("a", "b"))
-        turn += 1
     first = copies
     if labels is not None:
-        first = copies.join(labels.select(F.col("id").alias("first"), "component"), "first", "left").select("key", F.coalesce("component", "first").alias("first"))
+        first = copies.join(small(labels).select(F.col("id").alias("first"), "component"), "first", "left").select("key", F.coalesce("component", "first").alias("first"))
     named = slim.join(first, "key", "left").select("doc_id", F.when(F.col("worded"), F.col("first")).otherwise(F.col("doc_id")).alias("class_id"))
     return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
@@ -267,9 +283,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, columns as they are, of each group's document with the least doc_id; one row of those that share it."""
     found = written(classes(docs, threshold))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(few, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    gone = written(found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    left = docs.join(small(gone), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
     repeats = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeats.isEmpty():
         return left

@@ -23,9 +23,9 @@ def test_edits_are_located(spark):
 def test_next_goes_down_and_wraps(spark):
     ids = [*range(0, 4000, 3), 5, 5, None, -7, 10**12]
     rows = [(i, f"t{i}", 0) for i in ids]
-    got = sorted((-(r["doc_id"] if r["doc_id"] is not None else -(10**15)), r["text"], r["next_text"]) for r in merkle.with_next(docs(spark, rows)).collect())
+    got = sorted((-(r["doc_id"] if r["doc_id"] is not None else -(10**15)), r["text"], r["next_text"] != r["text"], r["next_text"]) for r in merkle.with_next(docs(spark, rows)).collect())
     assert len(got) == len(rows)
-    assert all(a[2] == b[1] for a, b in zip(got, [*got[1:], got[0]], strict=True))
+    assert all(a[3] == b[1] for a, b in zip(got, [*got[1:], got[0]], strict=True))
 
 
 def test_edges(spark):

@@ -26,8 +26,8 @@ def test_mix_comes_near_targets_and_reruns_agree(spark):
     by = {}
     for r in plan:
         assert 0 <= r["taken"] <= 3 * r["size"]
-        by.setdefault(r["target"], []).append(r["taken"])
-    assert all(abs(sum(v) - t) <= 2 * 37 for t, v in by.items())
+        by.setdefault((r["source"], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(v) - t) <= 2 * 37 for (_, t), v in by.items())
     assert sum(map(sum, by.values())) <= sum(r["size"] for r in plan)
 
 

@@ -28,3 +28,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("id", "component")
         if jumped.where("component != before").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (id, component), or none yet, after further links (a, b).
+
+    Only links between different components count, as links between those components' least ids,
+    so what is joined already is not gone through again.
+    """
+    if labels is None:
+        return components(links)
+    known = small(labels)
+    named = links
+    for side in ("a", "b"):
+        named = named.join(known.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    between = written(named.where("of_a != of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    step = written(components(between))
+    moved = small(step).select(F.col("id").alias("component"), F.col("component").alias("moved"))
+    renamed = labels.join(moved, "component", "left").select("id", F.coalesce("moved", "component").alias("component"))
+    return written(renamed.unionByName(step.join(labels.select("id"), "id", "left_anti")))

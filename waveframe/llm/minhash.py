@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, shingle_hashes, small, steps, text_bytes, text_of, word_hashes, written
-from .components import components
+from .components import extended
 
 BANDS, WIDTH = 36, 6
 REGISTERS = BANDS * WIDTH
@@ -272,7 +272,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         done = written(verified(new, docs, threshold))
         tested = done if tested is None else tested.union(done)
-        labels = components(tested.where("linked").select("a", "b"))
+        labels = extended(labels, done.where("linked").select("a", "b"))
     first = copies
     if labels is not None:
         first = copies.join(small(labels).select(F.col("id").alias("first"), "component"), "first", "left").select("key", F.coalesce("component", "first").alias("first"))

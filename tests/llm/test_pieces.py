@@ -37,3 +37,11 @@ def test_whole_table(spark, sf_small):
 
 def test_empty(spark):
     assert pieces.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_decode_in_the_same_task_equals_decode(spark):
+    docs = spark.createDataFrame([(i, t, "k", "k") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string, decoded string")
+    once = pieces.encode(docs, decoded="decoded")
+    assert once.columns == ["doc_id", "text", "ids", "decoded"]
+    twice = pieces.decode(pieces.encode(docs.drop("decoded"))).select(*once.columns)
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))

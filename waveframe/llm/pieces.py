@@ -88,11 +88,22 @@ class ChunkTable:
         return [b"".join(rest[c] if c in rest else self.known[c] for c in chunks) + end for chunks in split]
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", add_end: bool = True, table_entries: int = TABLE_ENTRIES) -> DataFrame:
-    """docs with `ids array<int>`: the whole text's ids, then the end id. The column `ids` is replaced if there is one."""
+def decoded_texts(model, lists: pa.Array) -> pa.Array:
+    return pa.array(model.decode([x or [] for x in lists.to_pylist()], num_threads=1), pa.string())
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", add_end: bool = True, table_entries: int = TABLE_ENTRIES, decoded: str | None = None
+) -> DataFrame:
+    """docs with `ids array<int>`: the whole text's ids, then the end id; columns of that name are replaced.
+
+    With `decoded`, also a column of that name with the library's decode of the ids, made in the same task:
+    a second pass of `decode` would hold another worker with another model for each core.
+    """
     path = path or model_path()
-    kept = [c for c in docs.columns if c != ids]
-    out = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    more = [decoded] if decoded else []
+    out = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(c, T.StringType()) for c in more]])
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +116,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                 values = np.frombuffer(b"".join(found), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, lists], names=[*kept, ids])
+                both = [lists, decoded_texts(model, lists)] if decoded else [lists]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *both], names=[*kept, ids, *more])
 
     return docs.select(*kept).mapInArrow(run, out)
 
@@ -126,8 +138,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", decoded:
             lo = 0
             while lo < len(lengths):
                 hi = max(lo + 1, int(np.searchsorted(groups, groups[lo], side="right")))
-                texts = model.decode([x or [] for x in column.slice(lo, hi - lo).to_pylist()], num_threads=1)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(texts, pa.string())], names=[*kept, decoded])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, decoded_texts(model, column.slice(lo, hi - lo))], names=[*kept, decoded])
                 lo = hi
 
     return rows.select(*kept).mapInArrow(run, out)
@@ -135,6 +146,5 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", decoded:
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    ids = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
-    both = decode(ids.select("doc_id", "ids"), path)
+    both = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

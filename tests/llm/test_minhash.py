@@ -86,6 +86,18 @@ def test_classes_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == sorted({*want.values(), 1001, 1002, 1003})
 
 
+def test_a_sketch_that_collides_in_an_earlier_band_hides_no_pair(spark):
+    # documents 1 and 2 have the same bytes in band 0, whose true keys differ, and share band 20 with 3
+    sketch = np.full((3, minhash.REGISTERS), 7, np.uint8)
+    sketch[2, : minhash.WIDTH] = 9
+    keys = np.arange(3 * minhash.BANDS).reshape(3, minhash.BANDS)
+    keys[:, 20] = 5000
+    nodes = spark.createDataFrame([(i + 1, bytearray(sketch[i].tobytes()), keys[i].tolist()) for i in range(3)], "doc_id long, sketch binary, bands array<long>")
+    members = spark.createDataFrame([(5000, 20, i, 3) for i in (1, 2, 3)], "band long, at int, doc_id long, n long")
+    got = {tuple(r) for r in minhash.proposals(members, nodes, None, None, None).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.classes(docs).count() == 0

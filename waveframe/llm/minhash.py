@@ -188,11 +188,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def proposed(ids, sketch, label, block, own, at: int, tested, most: int | None, least: float):
+def proposed(ids, sketch, bands, label, block, own, at: int, tested, most: int | None, least: float):
     """Pairs of different labels, blocks {own} and an estimate of `least` or more: each row's `most` best.
 
     Rows of the commonest label propose nothing: their partners of other labels do. A pair that
-    shares several bands is left to the first of them.
+    shares several bands (keys of whole registers, not of the sketch) is left to the first of them.
     """
     values, counts = np.unique(label, return_counts=True)
     quiet = values[counts.argmax()] if counts.max() > 1 else None
@@ -209,8 +209,7 @@ def proposed(ids, sketch, label, block, own, at: int, tested, most: int | None,
             if len(near) and len(tested[i]):
                 near = near[~np.isin(ids[near], tested[i])]
             if len(near):
-                shared = (sketch[near] == sketch[i]).reshape(len(near), BANDS, WIDTH).all(2)
-                near = near[shared.argmax(1) == at]
+                near = near[(bands[near] == bands[i]).argmax(1) == at]
             if most is not None and len(near) > most:
                 near = near[np.lexsort((ids[near], -agree[k][near]))[:most]]
             out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
@@ -226,7 +225,7 @@ def proposals(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, te
         parted = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
         rows = rows.join(small(written(parted)), "band")
     own = written(rows.select("doc_id").distinct())
-    data = nodes.select("doc_id", "sketch").join(small(own), "doc_id", "left_semi")
+    data = nodes.select("doc_id", "sketch", "bands").join(small(own), "doc_id", "left_semi")
     if tested is not None:
         known = tested.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("x")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("x")))).alias("s")).select("s.*")
         data = data.join(known.groupBy("doc_id").agg(F.collect_set("x").alias("tested")), "doc_id", "left")
@@ -243,12 +242,13 @@ def proposals(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, te
             if len(ids) < 2:
                 continue
             sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            bands = pa.concat_arrays(group["bands"].chunks).flatten().to_numpy().reshape(len(ids), -1)
             seen = [np.array(x or [], np.int64) for x in group["tested"].to_pylist()]
-            found = proposed(ids, sketch, group["label"].to_numpy(), group["block"].to_numpy(), (group["i"][0].as_py(), group["j"][0].as_py()), group["at"][0].as_py(), seen, most, LEAST_ESTIMATE)
+            found = proposed(ids, sketch, bands, group["label"].to_numpy(), group["block"].to_numpy(), (group["i"][0].as_py(), group["j"][0].as_py()), group["at"][0].as_py(), seen, most, LEAST_ESTIMATE)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    columns = ["band", "i", "j", "at", "block", "label", "doc_id", "sketch", "tested"]
+    columns = ["band", "i", "j", "at", "block", "label", "doc_id", "sketch", "bands", "tested"]
     spread = dealt.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return spread.mapInArrow(run, "a long, b long").where("a < b").distinct()
 

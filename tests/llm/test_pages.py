@@ -38,6 +38,24 @@ def test_shapes(page, want):
     assert pages.main_text(page) == want
 
 
+def paragraphs(n, size=300):
+    return "".join(f"<p>{f'words of paragraph {k} ' * (size // 20)}</p>" for k in range(n))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav>Menu</nav><div id=content><h2>Title</h2><p>lead</p><div class=part1>{paragraphs(9)}</div><div class=part2>{paragraphs(1)}</div></div></body>",
+        f"<main><article>{paragraphs(17)}</article><article>{paragraphs(3)}</article></main>",
+        f"<main><article>{paragraphs(17)}</article><article>{paragraphs(3, 40)}</article></main>",
+        f"<main><section><h2>One</h2>{paragraphs(20)}</section><section><h2>Two</h2>{paragraphs(2)}</section></main>",
+    ],
+)
+def test_a_body_in_unequal_parts_is_kept_whole(page):
+    shown = re.sub(r"<nav>.*?</nav>", "", page)
+    assert pages.main_text(page).split("\n") == [x.strip() for x in re.split(r"<[^>]*>", shown) if x.strip()]
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 5), (None, None, "<p>x</p>", 5), (1, "u", "<p>" + "w " * 200_000 + "</p>", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")

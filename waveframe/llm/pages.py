@@ -4,8 +4,9 @@ The standard library's parser streams a page's events into lines, one for each b
 run of text, with the number of tags that each has. A line's ratio is its characters over its
 tags. The ratios are smoothed by a Gaussian along the page; a threshold between the two clusters
 of smoothed ratios (two means) selects the lines of high ratio. What they select grows to the
-element that holds them: the smallest element with most of the selected characters, whose lines
-are all kept, so that a short paragraph of the article stays.
+element that holds them: the smallest element with all selected lines (of article and main elements
+if one has them all; a main whole if it has articles besides), whose lines are all kept, so that a
+short paragraph of the article stays.
 
 Lines within elements that are not content by their kind (menus, headers and footers of the page,
 sidebars, forms, scripts, styles and so on) or whose class, id or role says so never count.
@@ -40,8 +41,8 @@ SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 CONTENT = {"article", "main"}
 
-#: Standard deviation of the Gaussian, in lines; share of the selected characters that the region must hold.
-SIGMA, REGION_SHARE = 1.5, 0.8
+#: Standard deviation of the Gaussian, in lines.
+SIGMA = 1.5
 BLANK = re.compile(r"\s+")
 
 
@@ -160,17 +161,13 @@ def main_text(html: str) -> str:
     chosen = smooth > two_means(smooth)
     if not chosen.any():
         chosen[:] = True
-    held: dict[int, float] = {}
-    last: dict[int, int] = {}
-    for k, (size, (_, _, path)) in enumerate(zip(sizes * chosen, lines, strict=True)):
-        for number in path:
-            held[number] = held.get(number, 0.0) + size
-            last[number] = k
-    need = REGION_SHARE * float((sizes * chosen).sum())
-    # elements are numbered as they open, so of those that hold enough the last is the innermost
-    enough = [number for number, size in held.items() if size >= need]
-    marked = [number for number in enough if number in page.content]
+    # elements are numbered as they open, so of those that hold all selected lines the last is the innermost
+    enough = set.intersection(*(set(x[2]) for x, own in zip(lines, chosen, strict=True) if own))
+    marked = enough & page.content
     region = max(marked or enough, default=0)
+    # articles beside the region in the same main belong to it
+    beside = {number for _, _, path in lines if region not in path for number in marked.intersection(path) if number != max(page.content.intersection(path))}
+    region = max(beside, default=region)
     if not marked and region and len([x for x in lines if region in x[2]]) <= 1 < len(lines):
         # a single block isn't a region: take what is around it
         path = next(x[2] for x in lines if region in x[2])

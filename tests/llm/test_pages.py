@@ -56,6 +56,29 @@ def test_a_body_in_unequal_parts_is_kept_whole(page):
     assert pages.main_text(page).split("\n") == [x.strip() for x in re.split(r"<[^>]*>", shown) if x.strip()]
 
 
+@pytest.mark.parametrize("around", ["<div class='content with-sidebar'>{}</div>", "<div id='post-no-comments'>{}</div>", "<section class='has-share'>{}</section>", "<form action=x>{}</form>", "<form><div class=has-share>{}</div></form>"])
+def test_words_and_forms_around_the_article_drop_nothing(around):
+    inner = f"<h1>Title</h1>{paragraphs(6)}<div class=share>Tell your friends</div><p>Short end.</p>"
+    page = f"<html><head><title>T</title></head><body><nav>Menu</nav>{around.format(inner)}<div class=sidebar>Also read this</div></body></html>"
+    shown = re.sub("Tell your friends", "", inner)
+    assert pages.main_text(page).split("\n") == [x.strip() for x in re.split(r"<[^>]*>", shown) if x.strip()]
+
+
+def test_long_comments_beside_the_only_article_stay_out():
+    assert pages.main_text(f"<body><article><h1>Title</h1><p>Short text.</p></article><div id=comments>{paragraphs(9)}</div></body>") == "Title\nShort text."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><p>a text</p></body></html>", "a text"), ("<html><head><title>T</title><meta charset=utf-8><p>a text", "a text"), ("<head><title>T</title>\na text", "a text"),
+        ("<head><noscript><img src=x><p>no</p></noscript><script>a</script><title>T</title></head><body>a text", "a text"), ("<head><template><div>no</div></template><link rel=x><style>p{}</style><div>a text</div>", "a text"),
+    ],
+)
+def test_a_head_ends_where_the_body_begins(page, want):
+    assert pages.main_text(page) == want
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 5), (None, None, "<p>x</p>", 5), (1, "u", "<p>" + "w " * 200_000 + "</p>", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")

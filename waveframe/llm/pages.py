@@ -9,7 +9,9 @@ if one has them all; a main whole if it has articles besides), whose lines are a
 short paragraph of the article stays.
 
 Lines within elements that are not content by their kind (menus, headers and footers of the page,
-sidebars, forms, scripts, styles and so on) or whose class, id or role says so never count.
+sidebars, scripts, styles and so on) or whose role says so never count. Those within forms and elements
+whose class or id says so don't either, unless the method, with them in, places more than half of the
+selected characters there and they don't stand apart from the only main or article of the page.
 
 Defined results: null and empty pages, and pages without a content line, give an empty text;
 markup that ends early or is wrongly nested is read as far as it goes; repeated rows count each;
@@ -31,7 +33,7 @@ from .common import steps
 
 # Element names of HTML by what they do here.
 SILENT = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "datalist", "textarea"}
-SIDE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset"}
+SIDE = {"nav", "footer", "aside", "button", "menu", "dialog", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input"}
 #: An open paragraph ends where one of these begins.
@@ -40,14 +42,21 @@ SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "popular", "promo", "promoted", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "trending", "widget", "widgets"}
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 CONTENT = {"article", "main"}
+#: Elements that don't end an open head; within the last four of them none does.
+OF_HEAD = {"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
+WITHIN_HEAD = {"script", "style", "noscript", "template"}
 
 #: Standard deviation of the Gaussian, in lines.
 SIGMA = 1.5
 BLANK = re.compile(r"\s+")
 
 
+def surely_side(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in SIDE_ROLES
+
+
 def says_side(tag: str, attributes: dict[str, str]) -> bool:
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in SIDE_ROLES:
+    if tag == "form":
         return True
     if tag in {"html", "body", "article", "main"}:
         return False
@@ -63,6 +72,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, silent, side
         self.found: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.content: set[int] = set()
+        self.doubted: set[int] = set()  # side by their words only, or forms
         self.text: list[str] = []
         self.tags, self.made = 0, 0
 
@@ -79,7 +89,15 @@ class Lines(HTMLParser):
             self.end_line()
         del self.open[at:]
 
+    def end_head(self) -> None:
+        """An open head ends where something of the body begins."""
+        at = next((k for k, x in enumerate(self.open) if x[0] == "head"), None)
+        if at is not None and not any(x[0] in WITHIN_HEAD for x in self.open[at:]):
+            self.close_from(at)
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag not in OF_HEAD:
+            self.end_head()
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
@@ -99,7 +117,9 @@ class Lines(HTMLParser):
         attributes = {k: v or "" for k, v in attrs}
         names = {x[0] for x in self.open}
         # a header within an article is part of it, unlike the page's
-        side = tag in SIDE or (tag == "header" and not names & CONTENT) or says_side(tag, attributes)
+        side = tag in SIDE or (tag == "header" and not names & CONTENT) or surely_side(attributes)
+        if not side and says_side(tag, attributes):
+            self.doubted.add(self.made)
         if tag in CONTENT:
             self.content.add(self.made)
         self.open.append((tag, self.made, tag in SILENT, side))
@@ -119,6 +139,8 @@ class Lines(HTMLParser):
                 return  # a stray end of an inline element doesn't end the block around
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         if not any(x[2] for x in self.open):
             self.text.append(data)
 
@@ -148,6 +170,13 @@ def two_means(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def selected(lines: list[tuple[str, int, tuple[int, ...]]]) -> np.ndarray:
+    """Which lines have a high smoothed ratio; all if none differs."""
+    smooth = smoothed(np.array([len(x[0]) for x in lines], float) / np.maximum([x[1] for x in lines], 1))
+    chosen = smooth > two_means(smooth)
+    return chosen if chosen.any() else ~chosen
+
+
 def main_text(html: str) -> str:
     """The blocks of the content region, joined by line feeds."""
     page = Lines()
@@ -156,11 +185,21 @@ def main_text(html: str) -> str:
     lines = [(text, tags, path) for text, tags, path, side in page.found if not side]
     if not lines:
         return ""
-    sizes = np.array([len(x[0]) for x in lines], float)
-    smooth = smoothed(sizes / np.maximum([x[1] for x in lines], 1))
-    chosen = smooth > two_means(smooth)
-    if not chosen.any():
-        chosen[:] = True
+    chosen = selected(lines)
+    if page.doubted:
+        held = dict.fromkeys(page.doubted, 0)
+        for (text, _, path), own in zip(lines, chosen, strict=True):
+            for number in page.doubted.intersection(path) if own else ():
+                held[number] += len(text)
+        total = sum(len(x[0]) for x, own in zip(lines, chosen, strict=True) if own)
+        aside = {number for number, size in held.items() if 2 * size <= total}
+        clear = {min(own) for x in lines if not page.doubted.intersection(x[2]) and (own := page.content.intersection(x[2]))}
+        if len(clear) == 1:
+            aside |= page.doubted.difference(*(x[2] for x in lines if clear.intersection(x[2])))
+        lines = [x for x in lines if not aside.intersection(x[2])]
+        if not lines:
+            return ""
+        chosen = selected(lines)
     # elements are numbered as they open, so of those that hold all selected lines the last is the innermost
     enough = set.intersection(*(set(x[2]) for x, own in zip(lines, chosen, strict=True) if own))
     marked = enough & page.content

@@ -1,6 +1,7 @@
 """Licence scans on templates, variants and mentions."""
 
 import re
+import textwrap
 
 from waveframe.llm import licences
 
@@ -35,6 +36,33 @@ def test_several_families_and_repeats(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "proprietary": "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(family, 1, "Some words\nbefore\n" + "\n".join(f"# {x}" for x in textwrap.wrap(text, width)) + "\n#\nOther text.\nMore") for family, text in WRAPPED.items() for width in (12, 25, 40, 60, 72, 80, 1000)]
+    rows += [("bsd,gpl", 2, f"{textwrap.fill(WRAPPED['bsd'], 72)}\n{textwrap.fill(WRAPPED['gpl'], 72)}"), ("", 0, textwrap.fill(WRAPPED["bsd"], 72).replace("\n", "\n\n"))]
+    df = spark.createDataFrame([(i, x[2]) for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["families"], r["n_lines"]) for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [x[:2] for x in rows]
+
+
+def test_every_template_is_found(spark):
+    cases = [(family, t) for family, ts in licences.TEMPLATES.items() for t in ts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licences.scan(df).collect()}
+    assert [(got[i], t) for i, (_, t) in enumerate(cases)] == cases
+
+
 def test_native(spark, sf_small):
     plan = licences.scan(spark.read.parquet(f"{sf_small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

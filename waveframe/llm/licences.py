@@ -6,13 +6,17 @@ in parts and within other words, with texts that merely mention licences as the
 a temperature fitted on held-out variants calibrates its probabilities. Its weights are a small
 table (their number is fixed by the templates), so scoring is a broadcast join of paragraphs' n-grams with
 it and sums by paragraph. A prediction stands if its probability is at least 0.5 and a
-template of the family confirms it: the paragraph has at least 0.6 of the template's n-grams.
+template of the family confirms it: the paragraph has at least 0.6 of the template's n-grams, and
+among them one that no other family's templates have.
 
-Paragraphs are lines. One without any of the anchor words in ANCHOR has no licence by definition,
-so only lines with an anchor are cut into n-grams.
+Paragraphs are all runs of consecutive lines, single ones included, so a notice is found however it is
+wrapped; a line without words ends them. Between its first and last line a run has at most REACH words, and
+as many of those two lines' ends count: twice the longest template. Of confirmed runs of a family within
+each other the shortest count. Only runs with a word of `needed()` are cut into n-grams: without any,
+no template reaches 0.6.
 
-Defined results: null and empty texts and texts without an anchored line have family `none`;
-anchored texts in which no line is confirmed have `unknown`; of several confirmed families the
+Defined results: null and empty texts and texts with neither an anchor nor a confirmed run have family `none`;
+anchored texts (with one of the words of ANCHOR) in which no run is confirmed have `unknown`; of several confirmed families the
 document's is the one of the highest probability, then by name, and `families` lists all;
 repeated rows count each; other columns are not read.
 """
@@ -20,23 +24,24 @@ repeated rows count each; other columns are not read.
 from __future__ import annotations
 
 import json
+import math
 import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
 
-ANCHOR = r"licen[cs]e|copyright|warrant|spdx|public domain|creative commons|\bcc[ -]?(by|0)|\b[al]?gpl|redistribut|permission|rights reserved"
+ANCHOR = r"licen[cs]e|copyright|warrant|spdx|public\s+domain|creative\s+commons|\bcc[\s-]?(by|0)|\b[al]?gpl|redistribut|permission|rights\s+reserved"
 # Usual statements of licences.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0", "spdx license identifier apache 2.0", "apache license version 2.0 january 2004 terms and conditions for use reproduction and distribution"],
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "spdx license identifier mit", "distributed under the terms of the mit license"],
     "gpl": ["licensed under the gnu general public license version 3", "this work is licensed under the gnu general public license version 2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "spdx license identifier gpl 3.0 or later", "released under the gpl"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license as published by the free software foundation", "spdx license identifier lgpl 2.1 only", "released under the lgpl"],
-    "agpl": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license", "spdx license identifier agpl 3.0 only", "released under the agpl"],
+    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license as published by the free software foundation", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "spdx license identifier lgpl 2.1 only", "released under the lgpl"],
+    "agpl": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "spdx license identifier agpl 3.0 only", "released under the agpl"],
     "bsd": ["licensed under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "spdx license identifier bsd 3 clause", "released under the 3 clause bsd license"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "spdx license identifier isc"],
@@ -60,10 +65,26 @@ def words_of(text: str) -> list[str]:
     return [w for w in (x.strip(".") for x in re.split(TOKEN, text.lower())) if w]
 
 
+#: Words between the first and last line of a run, and of each of these two.
+REACH = 2 * max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def needed() -> list[str]:
+    """Words of which a text must have one to cover LEAST_COVER of any template: frequent in templates, not in English."""
+    plain = set("a all and any as at by for from have in is it may no not of on or part be the this to under with without work you can that are use free code file copy person author extent purpose available 3 2.1 3.0".split())
+    every = [words_of(t) for ts in TEMPLATES.values() for t in ts]
+    found: set[str] = set()
+    for words in every:
+        whole = grams_of(words)
+        while len(left := {g for g in whole if not found.intersection(g.split())}) >= LEAST_COVER * len(whole):
+            found.add(max(sorted(set(words) - found - plain) or sorted(set(words) - found), key=lambda w: (sum(w in g.split() for g in left), sum(w in x for x in every))))
+    return sorted(found)
+
+
 @lru_cache(maxsize=1)
 def fitted(turns: int = 300, penalty: float = 1e-3) -> tuple[list[tuple[str, int, float]], list[float], float]:
     """(gram, family number, weight) of the features, biases by family, and the temperature."""
@@ -123,10 +144,12 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{fields}>>")).alias("x")).select("x.*")
 
 
-def grams(line: Column) -> Column:
-    """Distinct words, pairs and triples of a line."""
-    words = F.filter(F.transform(F.split(F.lower(line), TOKEN), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
+def line_words(line: Column) -> Column:
+    return F.filter(F.transform(F.split(F.lower(line), TOKEN), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
 
+
+def grams(words: Column) -> Column:
+    """Distinct words, pairs and triples of words."""
     # pairs and triples by zipping the words with themselves shifted: linear in the line
     pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, F.nullif(b, F.lit(""))))
     triples = F.zip_with(F.slice(pairs, 1, F.size(words)), F.slice(words, 3, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -134,22 +157,59 @@ def grams(line: Column) -> Column:
     return F.array_distinct(F.concat(words, whole, F.filter(triples, lambda t: t.isNotNull())))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def runs_from(ahead: Column, line: Column) -> Column:
+    """line, last and words of the runs that begin with the first of the lines ahead and have a needed word."""
+
+    def taken(so_far: Column, x: Column) -> Column:
+        size = F.size(x["words"])
+        goes = so_far["goes"] & (size > 0) & (so_far["between"] <= REACH)
+        between = so_far["between"] + F.when(so_far["n"] > 0, size).otherwise(0)
+        return F.struct((so_far["n"] + goes.cast("int")).alias("n"), between.alias("between"), goes.alias("goes"))
+
+    n = F.aggregate(ahead, F.struct(F.lit(0).alias("n"), F.lit(0).alias("between"), F.lit(True).alias("goes")), taken, lambda x: x["n"])
+
+    def run(end: Column) -> Column:
+        first, last = F.element_at(ahead, 1)["words"], F.element_at(ahead, end)["words"]
+        tail = F.slice(first, F.greatest(F.size(first) - (REACH - 1), F.lit(1)), REACH)
+        inner = F.flatten(F.transform(F.slice(ahead, 2, F.greatest(end - 2, F.lit(0))), lambda x: x["words"]))
+        words = F.when(end == 1, first).otherwise(F.concat(tail, inner, F.slice(last, 1, REACH)))
+        return F.struct(line.alias("line"), (line + end - 1).alias("last"), words.alias("words"))
+
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda end: (end <= n) & F.exists(F.slice(ahead, 1, end), lambda x: x["hit"]))
+    return F.transform(ends, run)
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (a hash of the text), line (its number) and grams of lines with an anchor."""
+    """doc_id, copy (a hash of the text), line, last (numbers of the first and last line) and the templates' grams in it of runs with a needed word."""
+    sizes = [(math.ceil(LEAST_COVER * len(g)), sum(" " not in x for x in g)) for g in (grams_of(words_of(t)) for ts in TEMPLATES.values() for t in ts)]
+    # so many grams, and so many pairs and triples, has a text that covers LEAST_COVER of any template
+    least, longer = min(x for x, _ in sizes), min(x - words for x, words in sizes)
+    known = F.lit(sorted(set().union(*(grams_of(words_of(t)) for ts in TEMPLATES.values() for t in ts))))
+    hit = rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in needed())})(?![a-z0-9])"
     text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text")).where(F.lower("text").rlike(ANCHOR))
-    each = rows.select("doc_id", "copy", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(F.lower("content").rlike(ANCHOR))
-    return each.select("doc_id", "copy", "line", grams(F.col("content")).alias("grams"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text")).where(F.lower("text").rlike(hit))
+    each = F.transform(F.split("text", "\n"), lambda x: F.struct(line_words(x).alias("words"), F.lower(x).rlike(hit).alias("hit")))
+    starts = let(each, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: let(F.slice(w, i, REACH + 3), lambda ahead: runs_from(ahead, i)))))
+    return rows.select("doc_id", "copy", F.explode(starts).alias("run")).select("doc_id", "copy", "run.line", "run.last", F.array_intersect(grams(F.col("run.words")), known).alias("grams")).where((F.size("grams") >= least) & (F.size(F.filter("grams", lambda g: g.contains(" "))) >= longer))
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """doc_id, copy, line, family, probability, confirmed of every line with an anchor."""
+    """doc_id, copy, line, last, family, probability, confirmed of every run of `lines`."""
     spark = docs.sparkSession
     table, biases, temperature = fitted()
     weights = F.broadcast(_rows(spark, table, "gram string, family int, weight double"))
-    cases = [(family, k, g, len(grams_of(words_of(t)))) for family, ts in TEMPLATES.items() for k, t in enumerate(ts) for g in sorted(grams_of(words_of(t)))]
-    templates = F.broadcast(_rows(spark, cases, "family string, template int, gram string, n int"))
-    own = ["doc_id", "copy", "line"]
+    families = {}
+    for family, ts in TEMPLATES.items():
+        for g in set().union(*(grams_of(words_of(t)) for t in ts)):
+            families.setdefault(g, set()).add(family)
+    cases = [(family, k, g, len(grams_of(words_of(t))), len(families[g]) == 1) for family, ts in TEMPLATES.items() for k, t in enumerate(ts) for g in sorted(grams_of(words_of(t)))]
+    templates = F.broadcast(_rows(spark, cases, "family string, template int, gram string, n int, own boolean"))
+    own = ["doc_id", "copy", "line", "last"]
     each = written(lines(docs).dropDuplicates(own))
     long = each.select(*own, F.explode("grams").alias("gram"))
     sums = long.join(weights, "gram").groupBy(*own, "family").agg(F.sum("weight").alias("z"))
@@ -158,20 +218,30 @@ def classified(docs: DataFrame) -> DataFrame:
     top = by_line.select(*own, z.alias("z")).select(*own, "z", F.array_max("z").alias("most"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("most")))
     named = top.select(*own, F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("z", F.col("most")).cast("int")).alias("family"), (1 / total).alias("probability"))
-    cover = long.join(templates, "gram").groupBy(*own, "family", "template").agg((F.count("*") / F.first("n")).alias("cover")).groupBy(*own, "family").agg(F.max("cover").alias("cover"))
+    cover = long.join(templates, "gram").groupBy(*own, "family", "template").agg((F.count("*") / F.first("n")).alias("cover"), F.max("own").alias("own")).where("own").groupBy(*own, "family").agg(F.max("cover").alias("cover"))
     both = each.select(*own).join(named, own, "left").join(cover, [*own, "family"], "left")
     stands = (F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("cover") >= LEAST_COVER)
     return both.select(*own, F.coalesce("family", F.lit(UNKNOWN)).alias("family"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce(stands, F.lit(False)).alias("confirmed"))
 
 
+def shortest(found: DataFrame) -> DataFrame:
+    """Confirmed runs without those that hold a shorter one of their family; begins: whether it overlaps none before it."""
+    by = ["doc_id", "copy", "family"]
+    least = found.groupBy(*by, "line").agg(F.min_by(F.struct("last", "probability", "confirmed"), "last").alias("x")).select(*by, "line", "x.*")
+    later = F.min("last").over(Window.partitionBy(*by).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1))
+    left = least.withColumn("later", later).where("later IS NULL OR last < later").drop("later")
+    before = F.lag("last").over(Window.partitionBy(*by).orderBy("line"))
+    return left.withColumn("begins", F.coalesce(before < F.col("line"), F.lit(True)))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, family, probability, families, n_lines (confirmed) of every document."""
-    found = classified(docs)
+    """doc_id, family, probability, families, n_lines (confirmed) of every document; n_lines: its confirmed runs, overlapping ones of a family as one."""
+    found = shortest(classified(docs).where("confirmed"))
     sure = F.when(F.col("confirmed"), F.struct((-F.col("probability")).alias("order"), "family"))
-    by_doc = written(found.groupBy("doc_id", "copy").agg(F.min(sure).alias("best"), F.count_if("confirmed").alias("n_lines"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families")))  # families are few
+    by_doc = written(found.groupBy("doc_id", "copy").agg(F.min(sure).alias("best"), F.count_if("begins").alias("n_lines"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families")))  # families are few
     text = text_of(docs)
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"))
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.lower(text).rlike(ANCHOR).alias("anchored"))
     right = by_doc.select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"), "best", "n_lines", "families")
     both = slim.join(right, slim["doc_id"].eqNullSafe(right["its_id"]) & (slim["copy"] == right["its_copy"]), "left")
-    family = F.when(F.col("its_copy").isNull(), "none").otherwise(F.coalesce("best.family", F.lit(UNKNOWN)))
+    family = F.coalesce("best.family", F.when(F.col("anchored"), UNKNOWN), F.lit("none"))
     return both.select("doc_id", family.alias("family"), F.coalesce(-F.col("best.order"), F.lit(0.0)).alias("probability"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))

@@ -98,6 +98,17 @@ def test_a_sketch_that_collides_in_an_earlier_band_hides_no_pair(spark):
     assert got == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_a_low_estimate_in_a_crowded_bucket_is_still_proposed(spark):
+    # 150 of 216 registers agree: 3.9 standard deviations below 0.8, which pairs right at 0.8 reach now and then
+    sketch = np.zeros((3, minhash.REGISTERS), np.uint8)
+    sketch[1, 150:], sketch[2] = 1, 2
+    keys = np.arange(3 * minhash.BANDS).reshape(3, minhash.BANDS)
+    keys[:, 20] = 5000
+    nodes = spark.createDataFrame([(i + 1, bytearray(sketch[i].tobytes()), keys[i].tolist()) for i in range(3)], "doc_id long, sketch binary, bands array<long>")
+    members = spark.createDataFrame([(5000, 20, i, 3) for i in (1, 2, 3)], "band long, at int, doc_id long, n long")
+    assert [tuple(r) for r in minhash.proposals(members, nodes, None, None, None).collect()] == [(1, 2)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.classes(docs).count() == 0

@@ -15,7 +15,7 @@ similarity of 0.8 a pair shares none with probability (1 - 0.8^6)^36 < 0.00002.
 Candidates: a bucket of two is a pair. In a larger bucket the signatures are compared within
 tasks, in blocks of 1,024 by 1,024 documents, so that no group is in one task and no list of all
 pairs arises: each document proposes its nearest partner of other components (then 24 of them, then
-all that are left), at an estimate of 0.72 or more (three standard deviations below 0.8). Proposals are
+all that are left), at an estimate of 0.66 or more (five standard deviations below 0.8). Proposals are
 verified exactly from the texts, components are joined, and the next round goes on with the pairs not
 yet tested between components. So every bucket is searched to its end, however large.
 
@@ -42,7 +42,7 @@ from .components import extended
 
 BANDS, WIDTH = 36, 6
 REGISTERS = BANDS * WIDTH
-SIZE, THRESHOLD, LEAST_ESTIMATE = 5, 0.8, 0.72
+SIZE, THRESHOLD, LEAST_ESTIMATE = 5, 0.8, 0.66
 BLOCK = 1024
 #: Partners that a document proposes, by round; None: all.
 PROPOSALS = (1, 24, None)

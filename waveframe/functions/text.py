@@ -43,7 +43,36 @@ def numbered(name: Column, number: Column) -> Column:
 
 
 def percent_encode(x: Column) -> Column:
-    return F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    """All but letters, digits and _.-~ as %XX of UTF-8."""
+    out = F.url_encode(x)
+    for coded, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(coded), F.lit(wanted))
+    return out
+
+
+def percent_decode(x: Column) -> Column:
+    """%XX decoded, + as it is; a text with malformed escapes stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+
+
+def normal_path(rel: Column) -> Column:
+    """A path below a root without empty, . and .. parts; null if it leaves the root. A leading / is the root."""
+    def step(done, part):
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).when(rel.startswith("/"), done)
+        return F.when(done.isNull(), done).when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(rel, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def fmt_signed(x: Column, places: int = 1) -> Column:
+    """Fixed decimals with a sign; halves of the decimal notation go to the even digit."""
+    shown = F.bround(x, places).cast(f"decimal(30,{places})").cast("string")
+    return F.when(finite(x), F.concat(F.when(shown.startswith("-"), "").otherwise("+"), shown)).otherwise(MISSING)
+
+
+def fmt_clock(epoch: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Epoch seconds in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(epoch), pattern)
 
 
 def capitalize(x: Column) -> Column:

@@ -10,7 +10,7 @@ from ..functions import text as X
 # Names and labels of the catalogue.
 EXCLUDED_DIRS = ["__pycache__", ".git", ".venv", "drive_pull", "lib", "models", "output"]
 ORIGINAL_NAMES = ["original.mp3", "original.wav", "original.flac", "original.m4a"]
-GROUP_LABELS = {0: "original", 1: "instrumentals", 2: "vocals", 3: "other", 4: "diffs"}
+GROUP_LABELS = {0: "original", 1: "instrumental", 2: "vocals", 3: "other", 4: "diff"}
 
 
 def discover(files: DataFrame, top: str = "top") -> DataFrame:
@@ -34,11 +34,39 @@ def last_wins(records: DataFrame, keys: list[str], line: str, values: list[str])
     return records.groupBy(*keys).agg(last, F.min(line).alias("position")).select(*keys, "last.*", "position")
 
 
-def index_rollup(records: DataFrame, slug: str, id_: str, position: str, duration: str) -> DataFrame:
-    """slug, duration_s, n_variants, variants: the ids of a file's variants, the original apart, in order."""
+def limited(files: DataFrame, most: int = 0) -> DataFrame:
+    """Files by path, the first `most` of them (0: all)."""
+    ordered_ = files.orderBy("path")
+    return ordered_.limit(most) if most else ordered_
+
+
+def index_rollup(records: DataFrame, slug: str, id_: str, position: str, duration: str, output: str | None = None) -> DataFrame:
+    """slug, title, original, duration_s, n_variants (distinct), n_rows, variants: the ids of a file's variants,
+    the original apart, in order of their first position.
+
+    The title is the slug; the original is the output of the row with that id, or its usual name.
+    """
     other = F.col(id_) != "original"
-    ids = F.array_sort(F.collect_list(F.when(other, F.struct(F.col(position).alias("p"), F.col(id_).alias("id")))))
-    return records.groupBy(slug).agg(F.max(F.when(~other, F.col(duration))).alias("duration_s"), F.count_if(other).alias("n_variants"), F.transform(ids, lambda x: x["id"]).alias("variants"))
+    each = records.groupBy(slug, id_).agg(F.min(position).alias("p"), F.count("*").alias("n"), F.max(duration).alias("d"), F.max(output if output else F.lit(None).cast("string")).alias("o"))
+    ids = F.array_sort(F.collect_list(F.when(other, F.struct("p", F.col(id_).alias("id")))))
+    whole = each.groupBy(slug).agg(
+        F.max(F.when(~other, F.col("o"))).alias("original"), F.max(F.when(~other, F.col("d"))).alias("duration_s"),
+        F.count_if(other).alias("n_variants"), F.coalesce(F.sum(F.when(other, F.col("n"))), F.lit(0)).alias("n_rows"), F.transform(ids, lambda x: x["id"]).alias("variants"),
+    )
+    return whole.select(slug, F.col(slug).cast("string").alias("title"), F.coalesce("original", F.lit(ORIGINAL_NAMES[0])).alias("original"), "duration_s", "n_variants", "n_rows", "variants")
+
+
+def first_source(records: DataFrame, slug: str, position: str, duration: str, source: Column) -> DataFrame:
+    """slug, live_duration_s: the duration of each slug's first source row, null if that row has none."""
+    return records.where(source).groupBy(slug).agg(F.min_by(F.struct(F.col(duration).alias("d")), position)["d"].alias("live_duration_s"))
+
+
+def title_and_duration(slugs: DataFrame, index: DataFrame, durations: DataFrame, slug: str = "slug") -> DataFrame:
+    """slugs with title and duration_s of the index's first entry (position), else the slug itself and the first source's."""
+    entry = index.groupBy(slug).agg(F.min_by(F.struct("title", "duration_s"), "position").alias("entry"))
+    rows = slugs.join(entry, slug, "left").join(durations, slug, "left")
+    title = F.coalesce(F.nullif(F.col("entry.title"), F.lit("")), F.col(slug).cast("string"))
+    return rows.select(*slugs.columns, title.alias("title"), F.coalesce("entry.duration_s", "live_duration_s").alias("duration_s"))
 
 
 def listing(index: DataFrame, live: DataFrame) -> DataFrame:
@@ -96,16 +124,64 @@ def asset_url(slug: Column, rel: Column, exists: Column) -> Column:
 
 
 def explorer(variants: DataFrame, assets: DataFrame) -> DataFrame:
-    """variants with audio_url, download_name, lossless (whether a second download differs from the stream), audio_ready.
+    """variants with URLs of audio, spectrogram and peaks, download names, and whether each is ready.
 
-    variants: slug, id, output, stream. assets: slug, rel. An URL is there only if the file is.
+    variants: slug, id, output, stream, spectrogram, peaks. assets: slug, rel. An URL is there only if the file is.
+    lossless_url is there if the output differs from what is played.
     """
-    stream = F.coalesce(F.nullif(F.col("stream"), F.lit("")), F.col("output"))
-    there = assets.select("slug", F.col("rel").alias("played"), F.lit(True).alias("exists")).distinct()
-    rows = variants.withColumn("played", stream).join(there, ["slug", "played"], "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
-    suffix = F.coalesce(F.nullif(X.extension(F.col("played")), F.lit("")), F.lit(".m4a"))
-    name = F.when(F.col("exists"), F.concat(F.col("slug"), F.lit("__"), F.col("id"), suffix))
-    return rows.select(*variants.columns, asset_url(F.col("slug"), F.col("played"), F.col("exists")).alias("audio_url"), name.alias("download_name"), (F.col("output") != F.col("played")).alias("lossless"), F.col("exists").alias("audio_ready"))
+    rows = variants.withColumn("played", F.coalesce(F.nullif(F.col("stream"), F.lit("")), F.col("output")))
+    there = assets.select("slug", "rel", F.lit(True).alias("there")).distinct()
+    for name, rel in (("audio", "played"), ("spec", "spectrogram"), ("peaks", "peaks"), ("whole", "output")):
+        found = there.select(F.col("slug").alias("_slug"), F.col("rel").alias("_rel"), F.col("there").alias(f"_{name}"))
+        rows = rows.join(found, (F.col("slug") == F.col("_slug")) & (F.col(rel) == F.col("_rel")), "left").drop("_slug", "_rel").withColumn(f"_{name}", F.coalesce(f"_{name}", F.lit(False)))
+
+    def named(rel: str, usual: str) -> Column:
+        return F.concat(F.col("slug"), F.lit("__"), F.col("id"), F.coalesce(F.nullif(X.extension(X.basename(F.col(rel))), F.lit("")), F.lit(usual)))
+
+    url = {name: asset_url(F.col("slug"), F.col(rel), F.col(f"_{name}")) for name, rel in (("audio", "played"), ("spec", "spectrogram"), ("peaks", "peaks"), ("whole", "output"))}
+    lossless = F.when(F.col("output") != F.col("played"), F.concat(url["whole"], F.lit("?dl="), X.percent_encode(named("output", ".wav"))))
+    return rows.select(
+        *variants.columns, url["audio"].alias("audio_url"), url["spec"].alias("spectrogram_url"), url["peaks"].alias("peaks_url"), F.when(F.col("_audio"), named("played", ".m4a")).alias("download_name"),
+        lossless.alias("lossless_url"), F.col("_audio").alias("audio_ready"), F.col("_spec").alias("spec_ready"), F.col("_peaks").alias("peaks_ready"),
+    )
+
+
+def first_ready(variants: DataFrame, slug: str) -> DataFrame:
+    """slug, id: the first variant in display order whose audio is there."""
+    return variants.where("audio_ready").groupBy(slug).agg(F.min_by("id", F.struct("grp", "rank", "id")).alias("id"))
+
+
+def longest_chosen(chosen: DataFrame, variants: DataFrame, keys: list[str]) -> DataFrame:
+    """The longest duration of the variants chosen for comparison, 0 if none has one. chosen: keys, id."""
+    rows = chosen.join(variants.select(*keys, "id", "duration_s"), [*keys, "id"], "left")
+    return rows.groupBy(*keys).agg(F.coalesce(F.max("duration_s"), F.lit(0.0)).alias("duration_s"))
+
+
+def upgraded(cards: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """Cards after a refresh: complete ones stay, pending ones give way to fresh ones, new ones are added. Both have audio_ready."""
+    columns = [c for c in cards.columns if c not in keys]
+    both = cards.select(*keys, F.struct(*columns).alias("old")).join(fresh.select(*keys, F.struct(*columns).alias("new")), keys, "full_outer")
+    row = F.when(F.col("old.audio_ready") | F.col("new").isNull(), F.col("old")).otherwise(F.col("new"))
+    return both.select(*keys, row.alias("row")).select(*keys, "row.*")
+
+
+def metrics(variants: DataFrame) -> DataFrame:
+    """variants with `metrics`: label and text of the fields that each has, in a fixed order; the rate in kHz."""
+    shown = [
+        ("dur", F.lit(True), X.fmt_duration(F.col("duration_s"))), ("peak", F.col("peak").isNotNull(), X.fmt_fixed(F.col("peak"), 3)), ("rms", F.col("rms").isNotNull(), X.fmt_fixed(F.col("rms"), 3)),
+        ("lufs", F.col("lufs_approx").isNotNull(), X.fmt_fixed(F.col("lufs_approx"), 1)),
+        ("sr", F.coalesce(F.col("sr") > 0, F.lit(False)), F.concat(F.regexp_replace((F.col("sr") / 1000).cast("decimal(12,3)").cast("string"), r"\.?0+$", ""), F.lit("k"))),
+        ("ch", F.coalesce(F.col("channels") > 0, F.lit(False)), F.col("channels").cast("string")),
+    ]
+    each = F.array(*[F.when(there, F.concat(F.lit(f"{label} "), text)) for label, there, text in shown])
+    return variants.withColumn("metrics", F.filter(each, lambda x: x.isNotNull()))
+
+
+def merged_flags(base: Column, over: Column) -> Column:
+    """Two maps in one; where both have a key the second counts."""
+    empty = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce(base, empty), lambda k, _: ~F.map_contains_key(F.coalesce(over, empty), k))
+    return F.map_concat(kept, F.coalesce(over, empty))
 
 
 def with_original(variants: DataFrame, originals: DataFrame) -> DataFrame:
@@ -123,6 +199,13 @@ def presets(diffs: DataFrame, variants: DataFrame, slug: str, most: int = 5) ->
     return kept.withColumn("n", F.row_number().over(Window.partitionBy(slug).orderBy("id"))).where(F.col("n") <= most).select(slug, "id", "pre", "post", "n")
 
 
+def slot(variants: DataFrame, slug: str, wanted: Column, place: int) -> DataFrame:
+    """slug, id: the first variant in display order that is wanted, else the one at `place` (from 0), else an empty id."""
+    at = F.row_number().over(Window.partitionBy(slug).orderBy("grp", "rank", "id")) - 1
+    rows = variants.withColumn("at", at).groupBy(slug).agg(F.min_by("id", F.when(wanted, F.col("at"))).alias("found"), F.max(F.when(F.col("at") == place, F.col("id"))).alias("there"))
+    return rows.select(slug, F.coalesce("found", "there", F.lit("")).alias("id"))
+
+
 def default_slots(variants: DataFrame, slug: str) -> DataFrame:
     """slug, a, b, c: the variants that a comparison starts with (source; ensemble or any instrumental; residual or any diff)."""
     place = F.struct("grp", "rank", "id")
@@ -162,10 +245,25 @@ def slug_collisions(files: DataFrame, path: str, id_: str) -> DataFrame:
 
 
 def uploads(parts: DataFrame) -> DataFrame:
-    """Uploaded parts with `reason` (null if accepted): no name, extension, empty."""
+    """Uploaded parts with `reason`, null if accepted. parts: filename, size, and failure (a text, if a write failed)."""
     name = F.coalesce(F.col("filename"), F.lit(""))
-    reason = F.when(name == "", "ignored").when(~F.lower(name).rlike(r"\.(mp3|wav)$"), "extension").when(F.col("size") == 0, "empty")
-    return parts.withColumn("reason", reason)
+    reason = F.when(name == "", "ignored").when(~X.extension(name).isin(".mp3", ".wav"), "only .mp3/.wav accepted").when(F.col("size") == 0, "empty file")
+    failed = F.col("failure") if "failure" in parts.columns else F.lit(None).cast("string")
+    return parts.withColumn("reason", F.coalesce(reason, F.concat(F.lit("write failed: "), failed)))
+
+
+def upload_result(triaged: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ok (whether any is accepted), accepted and rejected (names in order) of each request. A request's parts are few."""
+    ok, name = F.col("reason").isNull(), F.col("filename")
+    return triaged.groupBy(*keys).agg(
+        F.bool_or(ok).alias("ok"), F.array_sort(F.collect_list(F.when(ok, name))).alias("accepted"),
+        F.array_sort(F.collect_list(F.when(~ok & (F.col("reason") != "ignored"), name))).alias("rejected"),
+    )
+
+
+def all_rejected(server: DataFrame, client: DataFrame) -> DataFrame:
+    """What the server and what the client has rejected, in one table."""
+    return server.select("filename", "reason", F.lit("server").alias("side")).unionByName(client.select("filename", "reason", F.lit("client").alias("side")))
 
 
 def byte_range(size: Column, header: Column) -> Column:
@@ -182,5 +280,5 @@ def byte_range(size: Column, header: Column) -> Column:
 
 
 def safe_path(rel: Column) -> Column:
-    """Whether a relative path stays below its root."""
-    return ~rel.startswith("/") & ~F.exists(F.split(rel, "/"), lambda d: d == "..")
+    """Whether a path, decoded and with its . and .. parts resolved, stays below its root."""
+    return X.normal_path(X.percent_decode(rel)).isNotNull()

@@ -20,7 +20,7 @@ DONE_MARK = "DONE: processed"
 TERMINAL = ["canceled", "done", "failed", "stopped"]
 ACTIVE = ["queued", "running"]
 TAIL_LINES, LINE_CHARS = 40, 500
-SLUG_LINE = r"\[manifest\] (.+?): \d+ entr"
+SLUG_LINE = r"\[manifest\]\s+(.+?):"
 
 
 def _match(line: Column, index: int) -> Column:
@@ -80,7 +80,33 @@ def elapsed(started: Column, ended: Column, now: Column) -> Column:
 def recovered(jobs: DataFrame) -> DataFrame:
     """Jobs as loaded after a crash: what was running has failed."""
     was = F.col("status") == "running"
-    return jobs.withColumn("error", F.when(was, "interrupted by restart").otherwise(F.col("error"))).withColumn("status", F.when(was, "failed").otherwise(F.col("status")))
+    return jobs.withColumn("error", F.when(was, "interrupted by server restart").otherwise(F.col("error"))).withColumn("status", F.when(was, "failed").otherwise(F.col("status")))
+
+
+def newest(jobs: DataFrame, seq: str = "seq") -> DataFrame:
+    """Jobs, the last one first."""
+    return jobs.orderBy(F.desc(seq))
+
+
+def by_id(jobs: DataFrame, wanted: str, id_: str = "id") -> DataFrame:
+    """The job of an id: one row or none."""
+    return jobs.where(F.col(id_) == wanted).limit(1)
+
+
+def final_states(actions: DataFrame, job: str = "job", seq: str = "seq") -> DataFrame:
+    """job, status, refused: each queued job after its actions in order; those that its state doesn't allow are counted.
+
+    actions: job, seq, action (start, finish, fail, cancel, stop, remove). A job's actions are a
+    handful by the machine's shape; repeats are summed up before they meet.
+    """
+    each = F.array_sort(F.collect_set(F.struct(F.col(seq).alias("seq"), F.col("action").alias("action"))))
+    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("refused"))
+
+    def step(state, x):
+        after = transition(state["status"], x["action"])
+        return F.struct(F.coalesce(after, state["status"]).alias("status"), (state["refused"] + F.when(after.isNull(), 1).otherwise(0)).alias("refused"))
+
+    return actions.groupBy(job).agg(F.aggregate(each, start, step).alias("s")).select(job, "s.status", "s.refused")
 
 
 def next_queued(jobs: DataFrame, seq: str = "seq") -> DataFrame:
@@ -96,4 +122,8 @@ def actions(status: Column, slug: Column) -> Column:
 
 def transition(status: Column, action: Column) -> Column:
     """The state after an action, null if it is not allowed (a removed job is `removed`)."""
-    return F.when((action == "start") & (status == "queued"), "running").when((action == "cancel") & (status == "queued"), "canceled").when((action == "stop") & (status == "running"), "stopped").when((action == "remove") & status.isin(TERMINAL), "removed")
+    moves = [("start", ["queued"], "running"), ("cancel", ["queued"], "canceled"), ("stop", ["running"], "stopped"), ("finish", ["running"], "done"), ("fail", ["running"], "failed"), ("remove", TERMINAL, "removed")]
+    out = F.lit(None).cast("string")
+    for name, before, after in moves:
+        out = F.when((action == name) & status.isin(before), after).otherwise(out)
+    return out

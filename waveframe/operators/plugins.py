@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Separator(Protocol):
@@ -17,21 +18,16 @@ class Separator(Protocol):
         """Stems by name, each as long as the samples."""
 
 
-class HalfSplit:
-    """A deterministic stand-in for tests: a moving mean, and what it leaves."""
-
-    def separate(self, samples: np.ndarray) -> dict[str, np.ndarray]:
-        smooth = np.convolve(samples, np.ones(3) / 3, "same")
-        return {"instrumental": smooth, "vocals": samples - smooth}
-
-
 def separate(frames: DataFrame, factory: Callable[[], Separator], tag: str) -> DataFrame:
     """slug, id (tag_stem), ch, samples of every stem. frames: slug, ch, samples (array of float or double)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         for batch in batches:
-            rows = [(r.slug, f"{tag}_{stem}", r.ch, v.tolist()) for r in batch.itertuples() for stem, v in model.separate(np.asarray(r.samples, float)).items()]
-            yield pd.DataFrame(rows, columns=["slug", "id", "ch", "samples"])
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                for stem, v in model.separate(row.column(2).flatten().to_numpy().astype(float)).items():
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
+                    yield pa.RecordBatch.from_arrays([row.column(0), pa.array([f"{tag}_{stem}"]), row.column(1), lists], names=["slug", "id", "ch", "samples"])
 
-    return frames.select("slug", "ch", "samples").mapInPandas(run, "slug string, id string, ch int, samples array<double>")
+    return frames.select("slug", F.col("ch").cast("int").alias("ch"), F.col("samples").cast("array<double>").alias("samples")).mapInArrow(run, "slug string, id string, ch int, samples array<double>")

@@ -1,7 +1,7 @@
 """Signals in long form (slug, id, ch, i, v): levels, envelopes, alignment, residuals, gain.
 
-All operators take the key columns as an argument, aggregate by key before they shuffle, and are
-exact wherever the values are: sums go through decimals.
+All operators take the key columns as an argument, aggregate by key before they shuffle, and keep
+the full precision of doubles; sums depend on the order of rows in their last digits.
 """
 
 from __future__ import annotations
@@ -14,25 +14,28 @@ BUCKETS = 1600
 EPSILON = 1e-9
 
 
-def exact(v: Column, places: int = 4) -> Column:
-    return v.cast(f"decimal(14,{places})")
-
-
 def mono(signal: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over channels at each position."""
-    return signal.groupBy(*keys, "i").agg((F.sum(exact(F.col("v"))).cast("double") / F.count("*")).alias("v"))
+    return signal.groupBy(*keys, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
 
 
 def level(signal: DataFrame, keys: list[str], rate: int = RATE) -> DataFrame:
-    """peak, rms, loudness (20 log10(rms + 1e-9)), channels, duration_s of each signal, over all its channels.
+    """peak, rms, loudness (20 log10(rms + 1e-9)), sr, channels, duration_s of each signal, over all its channels.
 
     A signal without samples has no row here; level_of() gives its values.
     """
-    square = exact(F.col("v")) * exact(F.col("v"))
+    square = F.col("v").cast("double") * F.col("v").cast("double")
     sums = signal.groupBy(*keys, "ch").agg(F.max(F.abs("v")).alias("peak"), F.sum(square).alias("power"), F.count("*").alias("n"), (F.max("i") + 1).alias("length"))
     whole = sums.groupBy(*keys).agg(F.max("peak").alias("peak"), F.sum("power").alias("power"), F.sum("n").alias("n"), F.max("length").alias("length"), F.count("*").alias("channels"))
-    rms = F.sqrt(F.col("power").cast("double") / F.col("n"))
-    return whole.select(*keys, "peak", rms.alias("rms"), loudness(rms).alias("loudness"), "channels", (F.col("length") / F.lit(float(rate))).alias("duration_s"))
+    rms = F.sqrt(F.col("power") / F.col("n"))
+    return whole.select(*keys, "peak", rms.alias("rms"), loudness(rms).alias("loudness"), F.lit(rate).alias("sr"), "channels", (F.col("length") / F.lit(float(rate))).alias("duration_s"))
+
+
+def rounded_level(levels: DataFrame) -> DataFrame:
+    """Levels as records hold them: peak to 4 decimals, rms to 5, loudness to 1, duration to 2."""
+    for name, places in (("peak", 4), ("rms", 5), ("loudness", 1), ("duration_s", 2)):
+        levels = levels.withColumn(name, F.round(name, places))
+    return levels
 
 
 def loudness(rms: Column) -> Column:
@@ -104,7 +107,7 @@ def ensemble(frames: DataFrame, keys: list[str], model: str, algo: str = "max")
     complex_ = dict(frames.dtypes)["v"].startswith("struct")
     size = F.col("v.mag") if complex_ else F.abs("v")
     if algo == "avg":
-        return frames.groupBy(*keys).agg((F.sum(F.floor(F.col("v").cast("double") * 1_000_000).cast("long")) / F.lit(1_000_000.0) / F.count("*")).alias("v"))
+        return frames.groupBy(*keys).agg(F.avg(F.col("v").cast("double")).alias("v"))
     if algo == "max":
         return frames.groupBy(*keys).agg(F.max_by("v", F.struct(size, -F.col(model))).alias("v"))
     if algo == "min":
@@ -112,6 +115,11 @@ def ensemble(frames: DataFrame, keys: list[str], model: str, algo: str = "max")
     raise ValueError(f"algo is max, min or avg, not {algo}")
 
 
+def bucket_seconds(bucket: Column, length: Column, duration: Column) -> Column:
+    """Where a bucket of an envelope of `length` buckets begins, in seconds."""
+    return F.try_divide(bucket.cast("double"), length) * duration
+
+
 def positions(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """A signal from rows: i numbers a key's rows in the order given."""
     at = Window.partitionBy(*keys).orderBy(order)

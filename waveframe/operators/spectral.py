@@ -1,18 +1,23 @@
-"""Short-time Fourier transform and its inverse as Arrow kernels, one signal of one channel a group.
+"""Short-time Fourier transform, its inverse and ensembles of spectra, in chunks of frames.
 
-A group holds one file's channel, which the data model bounds; longer inputs are cut into chunks
-with a halo before they come here. Window, centring and padding are arguments in all but name:
-periodic Hann, centred, padded with zeros.
+Spark deals samples to chunks of 64 frames, with the half frame that they need on either side, and
+groups by signal and chunk: a task holds one chunk's samples and spectra (for an ensemble, of
+all members), whatever the signal's length. The inverse deals frames to chunks of samples likewise.
+Window, centring and padding: periodic Hann, centred, padded with zeros.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, HOP = 4096, 1024
+#: Frames of a chunk.
+CHUNK = 64
 
 
 def window(size: int) -> np.ndarray:
@@ -46,34 +51,80 @@ def merged(spectra: list[np.ndarray], algo: str) -> np.ndarray:
     return np.take_along_axis(stack, pick[None], 0)[0]
 
 
-def stft(signal: DataFrame, keys: list[str], size: int = SIZE, hop: int = HOP) -> DataFrame:
-    """keys, frame, re, im (arrays over bins). signal: keys, i, v."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in signal.select(*keys).dtypes)
+def kinds_of(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes)
+
+
+def lengths_of(signal: DataFrame, keys: list[str]) -> DataFrame:
+    return signal.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
+
+
+def keyed(out: pd.DataFrame, keys: list[str], key: tuple, columns: list[str]) -> pd.DataFrame:
+    for name, value in zip(keys, key, strict=False):
+        out[name] = value
+    return out[[*keys, *columns]]
+
+
+def stft(signal: DataFrame, keys: list[str], size: int = SIZE, hop: int = HOP, lengths: DataFrame | None = None) -> DataFrame:
+    """keys, frame, re, im (arrays over bins). signal: keys, i, v; lengths: keys, n, if signals are to be cut."""
+    known = (lengths if lengths is not None else lengths_of(signal, keys)).select(*keys, "n")
+    half = size // 2
+    # sample i is in frames from ceil((i - half + 1) / hop) to floor((i + half) / hop); of those the chunks
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - half + 1) / hop))
+    last = F.least(F.floor((F.col("i") + half) / hop), F.floor(F.col("n") / hop))
+    placed = signal.select(*keys, "i", "v").join(known, keys).where("i < n").select(*keys, "i", F.col("v").cast("double").alias("v"), "n", F.explode(F.sequence(F.floor(first / CHUNK), F.floor(last / CHUNK))).alias("chunk"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        spectrum = forward(rows.sort_values("i")["v"].to_numpy(float), size, hop)
-        out = pd.DataFrame({"frame": np.arange(len(spectrum)), "re": list(spectrum.real), "im": list(spectrum.imag)})
-        for name, value in zip(keys, key, strict=True):
-            out.insert(0, name, value)
-        return out[[*keys, "frame", "re", "im"]]
+        chunk, n = int(key[-1]), int(rows["n"].iloc[0])
+        frames = np.arange(chunk * CHUNK, min((chunk + 1) * CHUNK, n // hop + 1))
+        begin = frames[0] * hop - half
+        x = np.zeros((len(frames) - 1) * hop + size)
+        at = rows["i"].to_numpy() - begin
+        inside = (at >= 0) & (at < len(x))
+        x[at[inside]] = rows["v"].to_numpy()[inside]
+        spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * window(size), axis=1)
+        return keyed(pd.DataFrame({"frame": frames, "re": list(spectrum.real), "im": list(spectrum.imag)}), keys, key, ["frame", "re", "im"])
 
-    return signal.select(*keys, "i", "v").groupBy(*keys).applyInPandas(run, f"{kinds}, frame long, re array<double>, im array<double>")
+    return placed.groupBy(*keys, "chunk").applyInPandas(run, f"{kinds_of(signal, keys)}, frame long, re array<double>, im array<double>")
 
 
 def istft(frames: DataFrame, lengths: DataFrame, keys: list[str], size: int = SIZE, hop: int = HOP) -> DataFrame:
     """keys, i, v. lengths: keys, n."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in frames.select(*keys).dtypes)
+    half, span = size // 2, CHUNK * hop
+    # frame f covers samples from f * hop - half on, `size` of them
+    first = F.floor(F.greatest(F.lit(0), F.col("frame") * hop - half) / span)
+    last = F.floor(F.greatest(F.lit(0), F.least(F.col("frame") * hop + half - 1, F.col("n") - 1)) / span)
+    placed = frames.select(*keys, "frame", "re", "im").join(lengths.select(*keys, "n"), keys).where("n > 0").withColumn("chunk", F.explode(F.sequence(first, F.greatest(first, last))))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
+        begin, n = int(key[-1]) * span, int(rows["n"].iloc[0])
+        length = min(span, n - begin)
+        if length <= 0:
+            return keyed(pd.DataFrame({"i": [], "v": []}), keys, key, ["i", "v"])
         spectrum = np.stack(rows["re"].to_list()) + 1j * np.stack(rows["im"].to_list())
-        v = inverse(spectrum, int(rows["n"].iloc[0]), size, hop)
-        out = pd.DataFrame({"i": np.arange(len(v)), "v": v})
-        for name, value in zip(keys, key, strict=True):
-            out.insert(0, name, value)
-        return out[[*keys, "i", "v"]]
+        parts = np.fft.irfft(spectrum, n=size, axis=1) * window(size)
+        sums, weight = np.zeros(length + 2 * size), np.zeros(length + 2 * size)
+        for frame, part in zip(rows["frame"].to_numpy(), parts, strict=True):
+            at = int(frame) * hop - half - begin + size
+            if 0 <= at <= length + size:
+                sums[at : at + size] += part
+                weight[at : at + size] += window(size) ** 2
+        v = (sums / np.where(weight > 1e-10, weight, 1))[size : size + length]
+        return keyed(pd.DataFrame({"i": np.arange(begin, begin + length), "v": v}), keys, key, ["i", "v"])
 
-    return frames.join(lengths, keys).groupBy(*keys).applyInPandas(run, f"{kinds}, i long, v double")
+    return placed.groupBy(*keys, "chunk").applyInPandas(run, f"{kinds_of(frames, keys)}, i long, v double")
+
+
+def picked(frames: DataFrame, keys: list[str], model: str, algo: str = "max") -> DataFrame:
+    """keys, frame, re, im: per bin the member's value of greatest or least magnitude, phase kept; the first member on ties."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        members = [g.sort_values("frame") for _, g in rows.groupby(model, sort=True)]
+        best = merged([np.stack(g["re"].to_list()) + 1j * np.stack(g["im"].to_list()) for g in members], algo)
+        return keyed(pd.DataFrame({"frame": members[0]["frame"].to_numpy(), "re": list(best.real), "im": list(best.imag)}), keys, key, ["frame", "re", "im"])
+
+    chunked = frames.select(*keys, model, "frame", "re", "im", F.floor(F.col("frame") / CHUNK).alias("chunk"))
+    return chunked.groupBy(*keys, "chunk").applyInPandas(run, f"{kinds_of(frames, keys)}, frame long, re array<double>, im array<double>")
 
 
 def spectral_ensemble(signal: DataFrame, keys: list[str], model: str, algo: str = "max", size: int = SIZE, hop: int = HOP) -> DataFrame:
@@ -81,21 +132,32 @@ def spectral_ensemble(signal: DataFrame, keys: list[str], model: str, algo: str
 
     max and min choose per bin of the members' spectra; avg is the mean of the samples.
     """
-    kinds = ", ".join(f"`{c}` {t}" for c, t in signal.select(*keys).dtypes)
+    lengths = lengths_of(signal, [*keys, model]).groupBy(*keys).agg(F.min("n").alias("n"))
     if algo == "avg":
-        lengths = signal.groupBy(*keys, model).agg((F.max("i") + 1).alias("n")).groupBy(*keys).agg(F.min("n").alias("n"))
-        return signal.join(lengths, keys).where("i < n").groupBy(*keys, "i").agg(F.avg("v").alias("v"))
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [g.sort_values("i")["v"].to_numpy(float) for _, g in rows.groupby(model, sort=True)]
-        n = min(map(len, parts))
-        v = inverse(merged([forward(p[:n], size, hop) for p in parts], algo), n, size, hop)
-        out = pd.DataFrame({"i": np.arange(n), "v": v})
-        for name, value in zip(keys, key, strict=True):
-            out.insert(0, name, value)
-        return out[[*keys, "i", "v"]]
-
-    return signal.select(*keys, model, "i", "v").groupBy(*keys).applyInPandas(run, f"{kinds}, i long, v double")
+        return signal.join(lengths, keys).where("i < n").groupBy(*keys, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    members = signal.select(*keys, model).distinct().join(lengths, keys)
+    spectra = stft(signal, [*keys, model], size, hop, members)
+    return istft(picked(spectra, keys, model, algo), lengths, keys, size, hop)
+
+
+def resampled(x: np.ndarray, rate: int, wanted: int, width: int = 32) -> np.ndarray:
+    """x at another rate, by a polyphase filter: a sinc under a Kaiser window, `width` zero crossings to either side."""
+    if rate == wanted or not len(x):
+        return x
+    up, down = wanted // math.gcd(rate, wanted), rate // math.gcd(rate, wanted)
+    most = max(up, down)
+    t = np.arange(-width * most, width * most + 1) / most
+    taps = np.sinc(t) * np.kaiser(len(t), 12.0) * up / most
+    taps = np.concatenate([taps, np.zeros(-len(taps) % up)])
+    out = np.arange(-(-len(x) * up // down))
+    phase = (out * down + width * most) % up
+    newest = (out * down + width * most) // up
+    sums = np.zeros(len(out))
+    for k, column in enumerate(taps.reshape(-1, up)):  # a filter's taps by phase
+        at = newest - k
+        inside = (at >= 0) & (at < len(x))
+        sums[inside] += column[phase[inside]] * x[at[inside]]
+    return sums
 
 
 def bins(frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog, incremental, jobs, signal, spectral
-from ..sources import readers
+from ..sources import readers, writers
 from ..streaming import job_fold as fold_module
+from ..streaming import job_states
 
 # Log lines of the analogue by event type.
 LINES = {"click": "[ensemble] file", "view": "=== loading model (tag) ===", "purchase": "DONE: processed 1 file(s)", "signup": "JOB: processing 1 file(s)", "error": "[manifest] slug_x: 6 entries"}
@@ -21,7 +22,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/waveframe-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; a cluster must set spark.checkpoint.dir."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(found or '/tmp/checkpoints').rstrip('/')}/waveframe-{uuid.uuid4().hex}"
 
 
 def event_signal(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
@@ -67,7 +72,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_level(spark, sf_dir):
     s = event_signal(spark, sf_dir).withColumn("ch", F.lit(0))
-    return signal.level(s, ["user_id"]).select("user_id", "peak", "rms", F.round("loudness", 6).alias("loudness"), "channels", "duration_s")
+    return signal.level(s, ["user_id"]).select("user_id", "peak", F.round("rms", 6).alias("rms"), F.round("loudness", 6).alias("loudness"), "sr", "channels", "duration_s")
 
 
 def signal_envelope(spark, sf_dir):
@@ -94,7 +99,11 @@ def normalize_eligible(spark, sf_dir):
 
 
 def _ensemble(algo):
-    return lambda spark, sf_dir: signal.ensemble(vectors(spark, sf_dir), ["label", "i"], "vec_id", algo)
+    def query(spark, sf_dir):
+        found = signal.ensemble(vectors(spark, sf_dir), ["label", "i"], "vec_id", algo)
+        return found.withColumn("v", F.round("v", 9)) if algo == "avg" else found
+
+    return query
 
 
 def residual_diff(spark, sf_dir):
@@ -108,7 +117,7 @@ def align_shortest(spark, sf_dir):
 
 def mono_mixdown(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("i"), F.col("l_extendedprice").alias("v"))
-    return signal.mono(rows, ["supplier"])
+    return signal.mono(rows, ["supplier"]).withColumn("v", F.round("v", 6))
 
 
 def amplitude_db(spark, sf_dir):
@@ -120,7 +129,7 @@ def page_files(spark, sf_dir) -> DataFrame:
     p = load(spark, sf_dir, "pages")
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".mp3", ".WAV", ".txt", ".Mp3")]), (F.col("page_id") % 4 + 1).cast("int"))
     folder = F.when(F.col("page_id") % 7 == 0, "models/").otherwise("")
-    name = F.concat(F.when(F.col("page_id") % 13 == 0, ".").otherwise(""), F.substr(F.col("url"), F.lit(8), F.lit(6)))
+    name = F.concat(F.when(F.col("page_id") % 13 == 0, ".").otherwise(""), F.regexp_extract("url", "//([^/]*)", 1))
     return p.select(F.concat(F.lit("input/"), folder, (F.col("page_id") % 5).cast("string"), F.lit("/"), name, suffix).alias("path"), (F.char_length("html") % 3).cast("long").alias("size"), (F.col("page_id") % 3 == 0).alias("top"))
 
 
@@ -137,8 +146,6 @@ def slug_collisions(spark, sf_dir):
 
 
 def sanitize_unique(spark, sf_dir):
-    from pyspark.sql import Window
-
     named = load(spark, sf_dir, "part").select("p_partkey", X.sanitize_filename(F.concat(F.lit("C:\\in\\"), F.col("p_name"), F.lit("!.mp3"))).alias("name"))
     number = F.row_number().over(Window.partitionBy("name").orderBy("p_partkey")) - 1
     return named.select("p_partkey", X.numbered(F.col("name"), number).alias("name"))
@@ -157,7 +164,7 @@ def manifest_parse(spark, sf_dir):
 
 def index_rollup(spark, sf_dir):
     o = load(spark, sf_dir, "orders").withColumn("id", F.when(F.col("o_orderpriority") == "1-URGENT", "original").otherwise(F.col("o_orderpriority")))
-    return catalog.index_rollup(o, "o_custkey", "id", "o_orderkey", "o_totalprice").withColumn("variants", F.array_join("variants", ","))
+    return catalog.index_rollup(o, "o_custkey", "id", "o_orderkey", "o_totalprice", "o_orderstatus").withColumn("variants", F.array_join("variants", ","))
 
 
 def listing_merge(spark, sf_dir):
@@ -168,7 +175,8 @@ def listing_merge(spark, sf_dir):
 
 
 def variant_order(spark, sf_dir):
-    return catalog.ordered(variants(spark, sf_dir)).select("slug", "id", "grp", "rank", "label")
+    at = F.row_number().over(Window.partitionBy("slug").orderBy("grp", "rank", "id"))
+    return catalog.ordered(variants(spark, sf_dir)).select("slug", "id", "grp", "rank", "label", at.alias("place"))
 
 
 def option_labels(spark, sf_dir):
@@ -182,11 +190,12 @@ def default_slots(spark, sf_dir):
 
 
 def explorer_view(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    labels = load(spark, sf_dir, "labels").select("doc_id")
-    rel = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("out/"), F.col("doc_id").cast("string"), F.lit(".m4a"))).otherwise(F.concat(F.lit("out/"), F.col("doc_id").cast("string"), F.lit(".wav")))
-    there = v.select("slug", "doc_id").join(labels, "doc_id", "left_semi").select("slug", rel.alias("rel"))
-    return catalog.explorer(v.select("slug", "id", "output", "stream"), there).select("slug", "id", "audio_url", "download_name", "lossless", "audio_ready")
+    v = variants(spark, sf_dir).withColumn("spectrogram", F.concat(F.lit("a b/"), F.col("doc_id").cast("string"), F.lit(".png"))).withColumn("peaks", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("out/"), F.col("doc_id").cast("string"), F.lit(".json"))))
+    labels = load(spark, sf_dir, "labels")
+    own = v.join(labels, "doc_id")
+    played = F.when(F.col("doc_id") % 2 == 0, F.col("stream")).otherwise(F.col("output"))
+    there = own.select("slug", F.explode(F.array(F.col("output"), played, F.when(F.col("quality") == 1, F.col("spectrogram")), F.when(F.col("toxic") == 0, F.col("peaks")))).alias("rel")).where("rel IS NOT NULL")
+    return catalog.explorer(v.select("slug", "id", "output", "stream", "spectrogram", "peaks"), there).drop("output", "stream", "spectrogram", "peaks")
 
 
 def with_original(spark, sf_dir):
@@ -281,7 +290,7 @@ def job_fold_stream(spark, sf_dir):
 
 
 def stem_classify(spark, sf_dir):
-    name = F.concat(F.substring("text", 1, 12), F.when(F.col("doc_id") % 4 == 0, "_(Instrumental)").when(F.col("doc_id") % 4 == 1, "_Vocals").when(F.col("doc_id") % 4 == 2, " No Vocals").otherwise(""))
+    name = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 0, "_(Instrumental)").when(F.col("doc_id") % 4 == 1, "_Vocals").when(F.col("doc_id") % 4 == 2, " No Vocals").otherwise(""))
     return load(spark, sf_dir, "documents").select("doc_id", catalog.stem_of(name).alias("stem"))
 
 
@@ -306,7 +315,7 @@ def format_fields(spark, sf_dir):
 def path_fields(spark, sf_dir):
     rel = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("../"), F.col("url"))).otherwise(F.col("url"))
     name = F.concat((F.col("page_id") % 10).cast("string"), F.element_at(F.array(F.lit(".m4a"), F.lit(".WAV"), F.lit(".bin")), (F.col("page_id") % 3 + 1).cast("int")))
-    return load(spark, sf_dir, "pages").select("page_id", catalog.safe_path(rel).alias("safe"), X.mime_type(name).alias("mime"), X.percent_encode(F.concat(F.lit("a b/"), F.col("page_id").cast("string"))).alias("encoded"))
+    return load(spark, sf_dir, "pages").select("page_id", catalog.safe_path(rel).alias("safe"), X.mime_type(name).alias("mime"), X.percent_encode(F.concat(F.lit("a b~*/"), F.col("page_id").cast("string"))).alias("encoded"), X.percent_decode(F.concat(F.lit("%C3%A9+%2F%zz"), F.when(F.col("page_id") % 2 == 0, F.lit("")).otherwise(F.col("page_id").cast("string")))).alias("malformed"), X.percent_decode(F.concat(F.lit("%C3%A9+%2F"), F.col("page_id").cast("string"))).alias("decoded"), X.normal_path(F.concat(F.lit("a/./b//../"), F.when(F.col("page_id") % 4 == 0, "../../").otherwise(""), F.col("page_id").cast("string"))).alias("normal"))
 
 
 def range_slice(spark, sf_dir):
@@ -314,7 +323,7 @@ def range_slice(spark, sf_dir):
     k = F.col("page_id") % 6
     header = F.when(k == 0, "bytes=0-9").when(k == 1, "bytes=90-").when(k == 2, "bytes=-10").when(k == 3, "bytes=99999999-").when(k == 4, "bytes=-0").otherwise("bytes=0-1,5-6")
     r = p.withColumn("r", catalog.byte_range(F.col("size"), header))
-    part = F.when(F.col("r.status") == 206, F.substr("html", (F.col("r.first") + 1).cast("int"), F.least(F.lit(50), (F.col("r.last") - F.col("r.first") + 1)).cast("int")))
+    part = F.when(F.col("r.status") == 206, F.substr("html", (F.col("r.first") + 1).cast("int"), (F.col("r.last") - F.col("r.first") + 1).cast("int")))
     return r.select("page_id", F.col("r.status").alias("status"), F.col("r.first").alias("first"), F.col("r.last").alias("last"), part.alias("part"))
 
 
@@ -323,22 +332,157 @@ def upload_triage(spark, sf_dir):
     return catalog.uploads(f).groupBy(F.coalesce("reason", F.lit("accepted")).alias("result")).agg(F.count("*").alias("n"))
 
 
-def _short(spark, sf_dir) -> DataFrame:
-    return event_signal(spark, sf_dir)
+def first_source(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").withColumn("d", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")))
+    return catalog.first_source(o, "o_custkey", "o_orderkey", "d", F.col("o_orderpriority") == "1-URGENT")
+
+
+def title_duration(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("slug"), F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("title"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("duration_s"))
+    durations = catalog.first_source(o, "slug", "position", "duration_s", F.col("title") == "")
+    return catalog.title_and_duration(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slug")), o, durations)
+
+
+def limited_inputs(spark, sf_dir):
+    return catalog.limited(catalog.discover(page_files(spark, sf_dir)), 7)
+
+
+def newest_jobs(spark, sf_dir):
+    return jobs.newest(event_jobs(spark, sf_dir)).limit(5).select("seq", "status")
+
+
+def job_by_id(spark, sf_dir):
+    return jobs.by_id(event_jobs(spark, sf_dir).withColumn("id", F.concat(F.lit("j"), F.col("seq").cast("string"))), "j77").select("id", "status", "slug")
+
+
+def job_states_fold(spark, sf_dir):
+    return jobs.final_states(job_events(spark, load(spark, sf_dir, "events")))
+
+
+def job_events(spark, events: DataFrame) -> DataFrame:
+    action = F.element_at(F.array(*[F.lit(a) for a in ("start", "stop", "finish", "start", "cancel", "remove", "fail")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return events.select(F.col("user_id").cast("string").alias("job"), F.col("event_id").alias("seq"), action.alias("action"))
+
+
+def job_states_stream(spark, sf_dir):
+    events = spark.readStream.schema(load(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return job_states.states_available(spark, job_events(spark, events), shared_folder(spark))
+
+
+def ready_cards(spark, sf_dir):
+    """Variants by slug and id as cards, ready if their text is long."""
+    d = load(spark, sf_dir, "documents")
+    return catalog.ordered(variants(spark, sf_dir)).join(d.select("doc_id", "n_chars"), "doc_id").select("slug", "id", "grp", "rank", (F.col("n_chars") > 300).alias("audio_ready"), (F.col("n_chars") / 7).alias("duration_s"), "doc_id")
+
+
+def first_ready(spark, sf_dir):
+    return catalog.first_ready(ready_cards(spark, sf_dir), "slug")
+
+
+def slot_with_fallback(spark, sf_dir):
+    return catalog.slot(ready_cards(spark, sf_dir), "slug", (F.col("grp") == 1) & F.col("id").contains("roformer") & (F.length("slug") % 2 == 0), 2)
+
+
+def longest_chosen(spark, sf_dir):
+    cards = ready_cards(spark, sf_dir)
+    return catalog.longest_chosen(cards.where("doc_id % 5 < 2").select("slug", "id").unionByName(cards.select("slug", F.lit("none").alias("id")).distinct()), cards, ["slug"])
+
+
+def card_upgrade(spark, sf_dir):
+    cards = ready_cards(spark, sf_dir).select("slug", "id", "audio_ready", "duration_s", "doc_id")
+    return catalog.upgraded(cards.where("doc_id % 3 != 0"), cards.where("doc_id % 3 != 1").withColumn("audio_ready", F.lit(True)).withColumn("duration_s", F.col("duration_s") + 1), ["slug", "id"])
+
+
+def metrics_fields(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.col("value").alias("duration_s"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") / 8).alias("peak"), F.when(F.col("event_id") % 3 == 0, 0.5).alias("rms"), F.lit(None).cast("double").alias("lufs_approx"), F.element_at(F.array(F.lit(44100), F.lit(48000), F.lit(0)), (F.col("event_id") % 3 + 1).cast("int")).alias("sr"), (F.col("event_id") % 3).cast("int").alias("channels"))
+    return catalog.metrics(e).select("event_id", F.array_join("metrics", "|").alias("metrics"))
+
+
+def clock_fields(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    n = F.col("event_id")
+    merged = catalog.merged_flags(F.create_map(F.lit("op"), F.lit("a"), F.lit("size"), n.cast("string")), F.when(n % 2 == 0, F.create_map(F.lit("op"), F.lit("b"))))
+    return e.select("event_id", X.fmt_clock(n * 1000).alias("clock"), X.fmt_signed((n - 500) / 4).alias("gain"), F.element_at(merged, "op").alias("op"), F.size(merged).alias("flags"), signal.bucket_seconds(n, F.lit(1600), F.col("value")).alias("at"))
+
+
+def upload_result(spark, sf_dir):
+    f = page_files(spark, sf_dir).select((F.char_length("path") % 5).alias("request"), F.when(F.col("size") < 2, X.basename(F.col("path"))).alias("filename"), "size", F.when(F.char_length("path") % 3 == 0, "disk full").alias("failure"))
+    found = catalog.upload_result(catalog.uploads(f), ["request"])
+    return found.select("request", "ok", F.array_join("accepted", "|").alias("accepted"), F.array_join("rejected", "|").alias("rejected"))
+
+
+def rejected_union(spark, sf_dir):
+    f = page_files(spark, sf_dir)
+    server = catalog.uploads(f.select(X.basename(F.col("path")).alias("filename"), "size")).where("reason IS NOT NULL")
+    client = f.where(~F.lower("path").rlike(r"\.(mp3|wav)$")).select(X.basename(F.col("path")).alias("filename"), F.lit("extension").alias("reason"))
+    return catalog.all_rejected(server, client).groupBy("filename", "reason", "side").agg(F.count("*").alias("n"))
+
+
+def stream_plan(spark, sf_dir):
+    v = variants(spark, sf_dir).withColumn("output", F.when(F.col("doc_id") % 5 == 0, F.replace("output", F.lit(".wav"), F.lit(".mp3"))).otherwise(F.col("output")))
+    own = v.join(load(spark, sf_dir, "labels"), "doc_id")
+    made = own.where("toxic = 0").select("slug", F.replace("output", F.lit(".wav"), F.lit(".m4a")).alias("rel"), (F.col("doc_id") % 7).alias("mtime")).where("rel LIKE '%.m4a'")
+    return incremental.stream_plan(v, own.select("slug", F.col("output").alias("rel"), (F.col("doc_id") % 11).alias("mtime")).unionByName(made))
+
+
+def one_shot(spark, sf_dir):
+    return incremental.one_shot(load(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus")).alias("stem")), ["o_custkey"])
+
+
+def manifest_files(spark, sf_dir):
+    """Manifests written by slug and read back."""
+    p = load(spark, sf_dir, "part").select(F.col("p_brand").alias("slug"), F.col("p_partkey").alias("position"), F.concat(F.lit("v"), (F.col("p_partkey") % 50).cast("string")).alias("id"), F.col("p_type").alias("kind"), F.col("p_retailprice").alias("duration_s"), F.lit("original").alias("input"))
+    writers.write_manifests(p, folder := shared_folder(spark))
+    return readers.manifests(spark, folder, "last", "part-*").select("slug", "id", "kind", "duration_s", F.array_join("inputs", ",").alias("inputs"))
+
+
+def index_files(spark, sf_dir):
+    """The index written as a table and read back."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_name").alias("slug"), F.col("c_mktsegment").alias("title"), F.lit(None).cast("string").alias("original"), F.col("c_acctbal").alias("duration_s"), F.lit(1).cast("long").alias("n_variants"), F.array("c_mktsegment").alias("variants"))
+    writers.write_index_table(c, folder := shared_folder(spark), 7)
+    return readers.index_table(spark, folder).select("slug", "title", "original", "duration_s", "n_variants", F.array_join("variants", ",").alias("variants"))
+
+
+def peaks_files(spark, sf_dir):
+    """Envelopes written as peaks documents and read back."""
+    s = signal.positions(load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("user_id"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate").alias("at"), F.col("l_extendedprice").alias("value")), ["user_id"], "at", "value")
+    writers.write_peaks(signal.envelope(s, ["user_id"], 100), ["user_id"], folder := shared_folder(spark))
+    return readers.peaks(spark, f"{folder}/*/*.json").select(F.regexp_extract("path", "user_id=([0-9]+)", 1).cast("long").alias("user_id"), "bucket", "lo", "hi")
+
+
+def wav_files(spark, sf_dir):
+    """Signals written as 24-bit WAV files (rows of path and content) and decoded again; mono becomes two channels."""
+    s = event_signal(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("v") / 1000).alias("v")))).alias("each"))  # a user's events are one short file
+    frames = s.select(F.col("user_id").cast("string").alias("path"), F.lit(0).alias("ch"), F.lit(0).cast("long").alias("start"), F.transform("each", lambda x: x["v"]).alias("samples"))
+    writers.write_wav(frames, folder := shared_folder(spark), 44100, 24)
+    back = readers.long_form(readers.frames_of(spark.read.parquet(folder), 44100))
+    return back.select(F.col("path").cast("long").alias("user_id"), "ch", "i", "v")
+
+
+def jobs_files(spark, sf_dir):
+    """Jobs written as a table and loaded as after a crash."""
+    j = event_jobs(spark, sf_dir).select(F.col("seq").cast("string").alias("id"), "status", "slug", F.col("started").alias("started_at"), F.array(F.lit("a"), "slug").alias("log_tail"))
+    writers.write_jobs(j, folder := shared_folder(spark))
+    return jobs.recovered(readers.jobs(spark, folder)).select("id", "status", "slug", "started_at", "error", F.array_join("log_tail", "|").alias("log_tail"))
+
+
+def stft_bins(spark, sf_dir):
+    """re, im of every user's frames and bins, at 64 samples and 16 apart."""
+    found = spectral.bins(spectral.stft(event_signal(spark, sf_dir), ["user_id"], 64, 16), ["user_id"])
+    # adding 0.0 makes a negative zero a zero
+    return found.select("user_id", "frame", F.col("bin").cast("long").alias("bin"), (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
 
 
 def stft_roundtrip(spark, sf_dir):
-    """user_id, n, error: the greatest difference after a transform and its inverse, rounded."""
-    s = _short(spark, sf_dir)
-    lengths = s.groupBy("user_id").agg(F.count("*").alias("n"))
-    back = spectral.istft(spectral.stft(s, ["user_id"], 64, 16), lengths, ["user_id"], 64, 16)
-    both = s.join(back.withColumnRenamed("v", "back"), ["user_id", "i"])
-    return both.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("v") - F.col("back"))), 6).alias("error"))
+    """user_id, i, v after a transform of the library's own size and its inverse."""
+    s = event_signal(spark, sf_dir)
+    back = spectral.istft(spectral.stft(s, ["user_id"]), spectral.lengths_of(s, ["user_id"]), ["user_id"])
+    return back.select("user_id", "i", F.round("v", 6).alias("v"))
 
 
 def spectral_ensemble(spark, sf_dir):
     s = event_signal(spark, sf_dir, "event_type").where(F.col("event_type").isin("click", "view"))
-    return spectral.spectral_ensemble(s, ["user_id"], "event_type", "max", 64, 16)
+    return spectral.spectral_ensemble(s, ["user_id"], "event_type", "max", 64, 16).select("user_id", "i", (F.round("v", 6) + 0.0).alias("v"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -346,5 +490,6 @@ QUERIES = {f.__name__: f for f in (
     discover_inputs, slugify, slug_collisions, sanitize_unique, manifest_last_wins, manifest_parse, index_rollup, listing_merge, variant_order, option_labels, default_slots,
     explorer_view, with_original, lineage_presets, incremental_todo, ensemble_pairs, all_done, model_cross, freshness, phase_map, job_progress, job_fold, job_log_tail, job_outcome,
     job_snapshot, job_actions, job_transitions, crash_recovery, fifo_next, job_fold_stream, stem_classify, cleanup_pick, title_search, format_fields, path_fields, range_slice,
-    upload_triage, stft_roundtrip, spectral_ensemble,
+    upload_triage, stft_bins, stft_roundtrip, spectral_ensemble, first_source, title_duration, limited_inputs, newest_jobs, job_by_id, job_states_fold, job_states_stream, first_ready,
+    slot_with_fallback, longest_chosen, card_upgrade, metrics_fields, clock_fields, upload_result, rejected_union, stream_plan, one_shot, manifest_files, index_files, peaks_files, wav_files, jobs_files,
 )} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")}

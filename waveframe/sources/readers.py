@@ -8,11 +8,12 @@ import wave
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.spectral import resampled
 from . import schemas
 
 
@@ -22,6 +23,19 @@ def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFra
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
+def explicit(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, size, mtime of the files named, as often as they are named and whatever they are; those that don't exist are left out."""
+    def there(path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    found = [p for p in paths if there(p)]
+    if not found:
+        return spark.createDataFrame([], "path string, size long, mtime timestamp")
+    files = spark.read.format("binaryFile").load(found)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
 def assets(spark: SparkSession, library: str) -> DataFrame:
     """slug, rel, size, mtime of the files below a library's slug folders."""
     below = F.substring_index(F.col("path"), library.rstrip("/").split("://")[-1].rstrip("/") + "/", -1)
@@ -58,11 +72,15 @@ def parse_manifest(lines: DataFrame, mode: str = "last", extra: tuple[str, ...]
     return last.select(*extra, "position", "id", "last.*")
 
 
-def manifests(spark: SparkSession, library: str, mode: str = "last") -> DataFrame:
-    """Records of all manifests of a library, one JSON object a line, with their slug."""
-    files = spark.read.text(f"{library.rstrip('/')}/*/manifest.jsonl", wholetext=True)
-    folder = X.basename(F.regexp_replace(F.col("path"), "/manifest.jsonl$", ""))
-    each = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+def manifests(spark: SparkSession, library: str, mode: str = "last", name: str = "manifest.jsonl") -> DataFrame:
+    """Records of all manifests of a library, one JSON object a line, with their slug: the folder's name.
+
+    With the name `part-*` it reads what writers.write_manifests has written (folders slug=...).
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(f"{library.rstrip('/')}/*/{name}", wholetext=True)
+    folder = X.percent_decode(F.regexp_replace(F.element_at(F.split(F.col("path"), "/"), -2), "^slug=", ""))
+    # a manifest is a file's few variants, so it is read whole for the numbers of its lines
+    each = files.select(X.percent_decode(F.col("_metadata.file_path")).alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return parse_manifest(each.select(folder.alias("slug"), F.col("line_no").cast("long").alias("line_no"), "line"), mode)
 
 
@@ -84,8 +102,14 @@ def peaks(spark: SparkSession, glob: str) -> DataFrame:
     return both.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.arrays_zip("min", "max")).alias("bucket", "z")).select("path", "bucket", F.col("z.min").alias("lo"), F.col("z.max").alias("hi"))
 
 
+def index_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The index's files as writers.write_index_table leaves them, one JSON line each."""
+    return spark.read.schema(schemas.FILE).json(f"{folder.rstrip('/')}/files")
+
+
 def jobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.JOB).option("multiLine", True).json(path)
+    """Jobs as writers.write_jobs leaves them, one JSON line each."""
+    return spark.read.schema(schemas.JOB).json(path)
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
@@ -101,21 +125,29 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
 
 
 def wav_frames(spark: SparkSession, folder: str, rate: int | None = None, chunk: int = 1 << 20) -> DataFrame:
-    """path, ch, chunk, start, rate, samples of all WAV files; mono is doubled; another rate than asked for fails, as nothing here resamples."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(folder).select("path", "content")
+    """path, ch, chunk, start, rate, samples of all WAV files; mono is doubled; files of another rate than asked for are resampled."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(folder)
+    return frames_of(files, rate, chunk)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def frames_of(files: DataFrame, rate: int | None = None, chunk: int = 1 << 20) -> DataFrame:
+    """The same of WAV files that are rows (path, content)."""
+    names = ["path", "ch", "chunk", "start", "rate", "samples"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                x, own = decode_wav(row.content)
-                if rate is not None and own != rate:
-                    raise ValueError(f"{row.path} has rate {own}, not {rate}")
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x, own = decode_wav(content.as_py())
                 x = np.vstack([x, x]) if len(x) == 1 else x
+                if rate is not None and own != rate:
+                    x, own = np.stack([resampled(c, own, rate) for c in x]), rate
                 for ch, samples in enumerate(x):
                     for k in range(0, max(1, len(samples)), chunk):
-                        yield pd.DataFrame({"path": [row.path], "ch": [ch], "chunk": [k // chunk], "start": [k], "rate": [own], "samples": [samples[k : k + chunk].tolist()]})
+                        part = samples[k : k + chunk]
+                        lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([ch], pa.int32()), pa.array([k // chunk], pa.int32()), pa.array([k], pa.int64()), pa.array([own], pa.int32()), lists], names=names)
 
-    return files.mapInPandas(run, "path string, ch int, chunk int, start long, rate int, samples array<double>")
+    return files.select("path", "content").mapInArrow(run, "path string, ch int, chunk int, start long, rate int, samples array<double>")
 
 
 def long_form(frames: DataFrame) -> DataFrame:

@@ -26,6 +26,17 @@ def write_index(files: DataFrame, folder: str, generated: int) -> None:
     index_document(files, generated).write.mode("overwrite").text(folder)
 
 
+def write_index_table(files: DataFrame, folder: str, generated: int) -> None:
+    """The index for a library of any size: files/ has one JSON line a file in ranges of slug, summary/ generated and count."""
+    files.orderBy("slug").write.mode("overwrite").json(f"{folder.rstrip('/')}/files")
+    files.agg(F.lit(generated).cast("long").alias("generated"), F.count("*").alias("count")).write.mode("overwrite").json(f"{folder.rstrip('/')}/summary")
+
+
+def write_jobs(jobs: DataFrame, folder: str) -> None:
+    """Jobs as JSON lines; a reader sees the old table or the new one, as the committer moves files when all are there."""
+    jobs.write.mode("overwrite").json(folder)
+
+
 def write_peaks(envelope: DataFrame, keys: list[str], folder: str) -> None:
     """min and max arrays, one JSON line for each key. An envelope has fewer than 3,200 buckets."""
     pairs = F.array_sort(F.collect_list(F.struct("bucket", "lo", "hi")))
@@ -36,7 +47,7 @@ def write_peaks(envelope: DataFrame, keys: list[str], folder: str) -> None:
 def encode_wav(x: np.ndarray, rate: int, bits: int = 16) -> bytes:
     """PCM of [channels, n] in -1 to 1."""
     width, top = bits // 8, float(1 << (bits - 1))
-    whole = np.clip(np.round(x.T.reshape(-1) * top), -top, top - 1).astype("<i4")
+    whole = np.clip(np.round(x.T.reshape(-1) * top), -top, top - 1).astype("<i4") + (128 if width == 1 else 0)  # eight bits are unsigned
     raw = whole.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
     return wav_header(x.shape[1], x.shape[0], rate, width) + raw
 

@@ -6,14 +6,16 @@ in any order and the state after all of them equals the batch fold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import DONE_MARK, phase_of, progress_of, slug_of
+from ..sources.schemas import LOG
 
 OUT = "job string, phase string, progress double, slug string, done boolean, lines long"
 STATE = "phase string, phase_seq long, progress double, slug string, slug_seq long, done boolean, lines long"
@@ -42,6 +44,17 @@ def fold_stream(log: DataFrame) -> DataFrame:
     return marked.groupBy("job").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def log_source(spark: SparkSession, folder: str, files_each: int | None = None) -> DataFrame:
+    """Job logs as a stream: JSON lines (job, seq, ts, line) of files that are moved into the folder when they are whole."""
+    reader = spark.readStream.schema(LOG)
+    return (reader.option("maxFilesPerTrigger", files_each) if files_each else reader).json(folder)
+
+
+def refreshed(log: DataFrame, keep: Callable[[DataFrame, int], None], folder: str, every: str = "2 seconds") -> StreamingQuery:
+    """The fold as a running query that hands changed jobs to keep() at every interval; its caller stops it."""
+    return fold_stream(log).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", folder).trigger(processingTime=every).start()
+
+
 def fold_available(spark: SparkSession, log: DataFrame, folder: str) -> DataFrame:
     """Run the fold over all that is there and return each job's last state. folder is shared and new."""
 

@@ -6,11 +6,20 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from waveframe.llm import minhash
+from waveframe.llm import common, minhash
 
 
-def runs(text):
-    return minhash.weighted_runs(pa.array([text.lower()], pa.large_string()))[1:]
+def weights(text):
+    runs, counts = minhash.weighted_runs(pa.array([text.lower()], pa.large_string()))[1:]
+    return dict(zip(runs.tolist(), counts.tolist(), strict=True))
+
+
+def similarity(x, y):
+    """Probability Jaccard by its definition."""
+    total = 0.0
+    for i in x.keys() & y.keys():
+        total += 1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys())
+    return total
 
 
 def brute(rows, threshold=0.8):
@@ -26,9 +35,9 @@ def brute(rows, threshold=0.8):
             x = parent[x]
         return x
 
-    sets = [runs(k) for k in keys]
+    sets = [weights(k) for k in keys]
     for a, b in itertools.combinations(range(len(keys)), 2):
-        if minhash.similarity(sets[a], sets[b]) >= threshold - 1e-12:
+        if len(sets[a].keys() & sets[b].keys()) and plain(sets[a], sets[b]) >= threshold - 1e-9:
             parent[find(b)] = find(a)
     least = {}
     for k in range(len(keys)):
@@ -36,12 +45,22 @@ def brute(rows, threshold=0.8):
     return {i: least[find(k)] for k, key in enumerate(keys) for i in texts[key]}
 
 
-def test_similarity_is_jaccard_without_repeats_and_plain_otherwise():
-    a, b = runs("a b c d e f g h"), runs("a b c d e f g x")
-    assert abs(minhash.similarity(a, b) - 3 / 5) < 1e-12
-    x, y = {1: 2.0, 2: 1.0}, {1: 1.0, 3: 4.0}
-    want = 1 / sum(max(x.get(j, 0) / x[1], y.get(j, 0) / y[1]) for j in {1, 2, 3})
-    assert abs(minhash.similarity((np.array([1, 2]), np.array([2.0, 1.0])), (np.array([1, 3]), np.array([1.0, 4.0]))) - want) < 1e-12
+def plain(x, y):
+    """The same; where no run repeats it is the Jaccard of sets."""
+    if max(*x.values(), *y.values()) == 1:
+        return len(x.keys() & y.keys()) / len(x.keys() | y.keys())
+    return similarity(x, y)
+
+
+def test_similarity_matches_its_definition():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("ab", k=n)) for n in (3, 5, 30, 60)] + ["a b c d e f g h", "a b c d e f g x", "one", ""]
+    held = minhash.Runs(pa.array(texts, pa.large_string()))
+    each = [weights(t) for t in texts]
+    for i in range(len(texts)):
+        got = held.similarities(i, np.arange(len(texts)))
+        assert np.allclose(got, [similarity(each[i], y) for y in each])
+        assert not each[i] or not any(each) or np.allclose(got, [plain(each[i], y) if y else 0 for y in each])
 
 
 def test_registers_agree_as_often_as_the_similarity():
@@ -57,7 +76,7 @@ def test_registers_agree_as_often_as_the_similarity():
             row += [2 * k + side] * len(values)
             run += values.tolist()
             weight += counts.tolist()
-        want.append(minhash.similarity(*[(lambda u: (u[0], u[1].astype(float)))(np.unique(p, return_counts=True)) for p in (base, other)]))
+        want.append(similarity(*[dict(zip(*(u.tolist() for u in np.unique(p, return_counts=True)), strict=True)) for p in (base, other)]))
     kept = minhash.signatures(np.array(row), np.array(run, np.uint64), np.array(weight, float), 2 * n)
     got = (kept[::2] == kept[1::2]).mean(1)
     assert abs(got - want).mean() < 0.04 and abs(np.mean(got - want)) < 0.01
@@ -86,27 +105,61 @@ def test_classes_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == sorted({*want.values(), 1001, 1002, 1003})
 
 
-def test_a_sketch_that_collides_in_an_earlier_band_hides_no_pair(spark):
-    # documents 1 and 2 have the same bytes in band 0, whose true keys differ, and share band 20 with 3
-    sketch = np.full((3, minhash.REGISTERS), 7, np.uint8)
-    sketch[2, : minhash.WIDTH] = 9
-    keys = np.arange(3 * minhash.BANDS).reshape(3, minhash.BANDS)
-    keys[:, 20] = 5000
-    nodes = spark.createDataFrame([(i + 1, bytearray(sketch[i].tobytes()), keys[i].tolist()) for i in range(3)], "doc_id long, sketch binary, bands array<long>")
-    members = spark.createDataFrame([(5000, 20, i, 3) for i in (1, 2, 3)], "band long, at int, doc_id long, n long")
-    got = {tuple(r) for r in minhash.proposals(members, nodes, None, None, None).collect()}
-    assert got == {(1, 2), (1, 3), (2, 3)}
+def links(keys, texts, sketch=None, label=None, block=None, own=(0, 0), band=5000):
+    n = len(texts)
+    sketch = np.zeros((n, minhash.REGISTERS), np.uint8) if sketch is None else sketch
+    label = np.arange(n) if label is None else np.array(label)
+    block = np.zeros(n, int) if block is None else np.array(block)
+    return minhash.found_links(np.arange(1, n + 1), sketch, np.array(keys), pa.array(texts, pa.large_string()), label, block, own, band, 0.8)
+
 
+def test_equal_bytes_elsewhere_hide_no_pair():
+    # documents 1 and 2 agree in all bytes, though they share one bucket only
+    alike = ["a b c d e f"] * 3
+    assert len(links([[1, 5000], [2, 5000], [3, 5000]], alike)) == 2
+    # 1 and 2 share two buckets, and are left to the first; one label is not searched within
+    keys = [[7, 5000], [7, 5000], [6, 5000]]
+    assert links(keys, alike) == [(1, 3), (2, 3)] and links(keys, alike, band=7, label=[0, 1, 2]) == [(1, 2)]
+    assert links(keys, alike, label=[4, 4, 4]) == []
+    assert links([[5000]] * 3, alike, block=[0, 0, 1], own=(0, 1)) == [(1, 3), (2, 3)]
 
-def test_a_low_estimate_in_a_crowded_bucket_is_still_proposed(spark):
+
+def test_a_low_estimate_in_a_crowded_bucket_is_still_verified():
     # 150 of 216 registers agree: 3.9 standard deviations below 0.8, which pairs right at 0.8 reach now and then
     sketch = np.zeros((3, minhash.REGISTERS), np.uint8)
     sketch[1, 150:], sketch[2] = 1, 2
-    keys = np.arange(3 * minhash.BANDS).reshape(3, minhash.BANDS)
-    keys[:, 20] = 5000
-    nodes = spark.createDataFrame([(i + 1, bytearray(sketch[i].tobytes()), keys[i].tolist()) for i in range(3)], "doc_id long, sketch binary, bands array<long>")
-    members = spark.createDataFrame([(5000, 20, i, 3) for i in (1, 2, 3)], "band long, at int, doc_id long, n long")
-    assert [tuple(r) for r in minhash.proposals(members, nodes, None, None, None).collect()] == [(1, 2)]
+    assert links([[5000]] * 3, ["a b c d e f"] * 3, sketch) == [(1, 2)]
+
+
+def test_a_large_loose_group_and_the_whole_small_table_match_brute_force(spark, sf_small):
+    random.seed(5)
+    words, rows = [f"v{i}" for i in range(300)], []
+    base = random.choices(words, k=100)
+    for k in range(300):  # one edit spoils five of 96 runs: pairs lie about 0.7 to 0.9
+        text = base[:]
+        for _ in range(random.randint(1, 2)):
+            text[random.randrange(100)] = random.choice(words)
+        rows.append((k, " ".join(text)))
+    small = [(r["doc_id"] + 1000, r["text"]) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
+    for part in (rows, small):
+        docs = spark.createDataFrame(part, "doc_id long, text string")
+        want = brute(part)
+        assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect() if r["doc_id"] in want} == want
+
+
+def test_texts_that_share_an_id_and_clashing_names(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "g h i j k l m"), (5, "g h i j k l m"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, i, "x", "y", "z") for i, t in rows], "doc_id long, text string, gone_id long, GONE_ID_ string, first string, label string")
+    assert sorted((r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(docs).collect()) == [(1, 1, True), (2, 1, False), (2, 1, False), (5, 1, False), (6, 6, True), (6, 6, True)]
+    left = minhash.dedup(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 6]
+
+
+def test_no_table_is_left_but_the_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(20)], "doc_id long, text string")
+    assert minhash.classes(docs).count() == 20
+    assert len(list(tmp_path.glob("waveframe-*"))) == 1
 
 
 def test_empty(spark):

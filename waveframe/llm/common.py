@@ -3,34 +3,72 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where a session names no shared folder, as in tests.
+#: Only where a local session names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Paths of the tables written so far by the operators that run, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    """The folder that driver and executors share, from spark.checkpoint.dir; a cluster must set it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or LOCAL_SHARED_DIR
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    The folder's owner clears it when the application is over, as with checkpoints.
+    Within a `scoped` operator it is deleted when the operator is done; else the folder's owner
+    clears it when the application is over, as with checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/waveframe-{uuid.uuid4().hex}"
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written, and all other tables that it wrote deleted after that."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        own: list[str] = []
+        outer = _SCOPES.get()
+        token = _SCOPES.set((*outer, own))
+        try:
+            result = written(operator(*args, **kwargs))
+        finally:
+            _SCOPES.reset(token)
+        deleted(result.sparkSession, own[:-1])
+        if outer:
+            outer[-1].append(own[-1])
+        return result
+
+    return run
+
+
 #: Rows of ids and numbers (a few tens of bytes each) that a broadcast may hold.
 BROADCAST_ROWS = 300_000
 

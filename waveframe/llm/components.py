@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import scoped, small, written
 
 
+@scoped
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of every id in links (a, b).
 
@@ -30,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+@scoped
 def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """labels (id, component), or none yet, after further links (a, b).
 
@@ -45,7 +47,7 @@ def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     between = written(named.where("of_a != of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
     if between.isEmpty():
         return labels
-    step = written(components(between))
+    step = components(between)
     moved = small(step).select(F.col("id").alias("component"), F.col("component").alias("moved"))
     renamed = labels.join(moved, "component", "left").select("id", F.coalesce("moved", "component").alias("component"))
-    return written(renamed.unionByName(step.join(labels.select("id"), "id", "left_anti")))
+    return renamed.unionByName(step.join(labels.select("id"), "id", "left_anti"))

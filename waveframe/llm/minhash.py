@@ -12,20 +12,21 @@ termination). A register of two documents agrees with the probability of their s
 Banding: 36 bands of six registers. Documents that share a band's key are candidates; at a
 similarity of 0.8 a pair shares none with probability (1 - 0.8^6)^36 < 0.00002.
 
-Candidates: a bucket of two is a pair. In a larger bucket the signatures are compared within
-tasks, in blocks of 1,024 by 1,024 documents, so that no group is in one task and no list of all
-pairs arises: each document proposes its nearest partner of other components (then 24 of them, then
-all that are left), at an estimate of 0.66 or more (five standard deviations below 0.8). Proposals are
-verified exactly from the texts, components are joined, and the next round goes on with the pairs not
-yet tested between components. So every bucket is searched to its end, however large.
+Candidates come twice. First every document proposes one partner: the least document of its
+bucket, the one that most of its buckets have. Proposals are verified exactly from the texts and
+components are joined. Then buckets that still hold two components are searched to their end, in
+tasks of two blocks each (at most 1,024 documents and 32 MB of text a block, so no group is in one task): of pairs of
+different components, those whose signatures estimate 0.66 or more (five standard deviations below
+0.8) are verified exactly there, unless links found before have joined them; a pair that shares several
+buckets is left to the first. Only links leave a task, never lists of pairs.
 
-Exact copies are one node from the start. Only ids, keys and signatures are shuffled; texts only of
-documents in proposals.
+Exact copies are one node from the start. Ids, keys and signatures are shuffled, texts only of
+documents that share a bucket.
 
 Defined results: texts without words (null and empty ones too) and rows without a doc_id are
 classes of their own; a text of fewer than five words is one run; rows that share a doc_id are one
-document; an empty table gives none; extra columns are not read by `classes` and pass through
-`dedup`.
+document, in one class with the copies of each of its texts; an empty table gives none; extra columns
+are not read by `classes` and pass through `dedup`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,20 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shingle_hashes, small, steps, text_bytes, text_of, word_hashes, written
+from .common import mixed, scoped, shingle_hashes, small, steps, text_bytes, text_of, word_hashes, written
 from .components import extended
 
 BANDS, WIDTH = 36, 6
 REGISTERS = BANDS * WIDTH
 SIZE, THRESHOLD, LEAST_ESTIMATE = 5, 0.8, 0.66
-BLOCK = 1024
-#: Partners that a document proposes, by round; None: all.
-PROPOSALS = (1, 24, None)
-#: Bytes of texts that a broadcast may hold.
-BROADCAST_BYTES = 16 << 20
+#: For rounding: similarities are fractions that lie further apart.
+SLACK = 1e-9
+#: Documents and bytes of text of a block.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 
 def weighted_runs(part: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +90,10 @@ def signatures(row: np.ndarray, runs: np.ndarray, weights: np.ndarray, n: int, r
     return kept.reshape(n, registers)
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, key (digest of the text), sketch (a byte a register), bands of rows that have words and an id."""
 
@@ -109,35 +113,59 @@ def sketched(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([x.tobytes() for x in sketch], pa.binary()), bands], names=["doc_id", "key", "sketch", "bands"])
 
     text = F.lower(text_of(docs))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(text).alias("key"), text.alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, key string, sketch binary, bands array<long>")
-
-
-def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Probability Jaccard of (sorted runs, weights)."""
-    at = np.minimum(np.searchsorted(y[0], x[0]), max(0, len(y[0]) - 1))
-    mine = np.flatnonzero(y[0][at] == x[0]) if len(y[0]) else np.zeros(0, np.int64)
-    if not len(mine):
-        return 0.0
-    a, b = x[1][mine], y[1][at[mine]]
-    # runs of x alone have the ratio x / y of infinity and always count by x; those of y alone by y
-    alone_x, alone_y = x[1].sum() - a.sum(), y[1].sum() - b.sum()
-    order = np.argsort(a / b, kind="stable")
-    a, b = a[order], b[order]
-    # in order of x / y: the larger ratios count by x, the smaller by y
-    from_here, before = np.cumsum(a[::-1])[::-1] + alone_x, np.cumsum(b) - b + alone_y
-    return float((1 / (from_here / a + before / b)).sum())
-
-
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) with `linked`: whether their texts' similarity reaches the threshold."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).where("doc_id IS NOT NULL")
+    return rows.mapInArrow(run, "doc_id long, key binary, sketch binary, bands array<long>")
+
+
+class Runs:
+    """The sorted runs and weights of many texts."""
+
+    def __init__(self, texts: pa.Array):
+        parts, counts = [], []
+        for _, _, some in steps(texts):
+            row, runs, weights = weighted_runs(some)
+            parts.append((runs, weights))
+            counts.append(np.bincount(row, minlength=len(some)))
+        self.runs = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
+        self.weights = np.concatenate([p[1] for p in parts] or [np.zeros(0)])
+        self.counts = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
+        self.totals = np.diff(np.concatenate([[0.0], np.cumsum(self.weights)])[self.offsets])
+
+    def similarities(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Probability Jaccard of text i with each of the others."""
+        mine = slice(self.offsets[i], self.offsets[i + 1])
+        own, own_weights = self.runs[mine], self.weights[mine]
+        counts = self.counts[others]
+        owner = np.repeat(np.arange(len(others)), counts)
+        if not len(own) or not len(owner):
+            return np.zeros(len(others))
+        place = np.arange(len(owner)) + np.repeat(self.offsets[others] - (np.cumsum(counts) - counts), counts)
+        at = np.minimum(np.searchsorted(own, self.runs[place]), len(own) - 1)
+        both = own[at] == self.runs[place]
+        o, a, b = owner[both], own_weights[at[both]], self.weights[place[both]]
+        # runs of one side alone have the ratio a / b of infinity or 0 and count by that side
+        alone_a = self.totals[i] - np.bincount(o, a, len(others))
+        alone_b = self.totals[others] - np.bincount(o, b, len(others))
+        # in order of a / b: the larger ratios count by a, the smaller by b
+        order = np.lexsort((a / b, o))
+        o, a, b = o[order], a[order], b[order]
+        upto_a, upto_b = np.cumsum(a), np.cumsum(b)
+        ends = np.searchsorted(o, np.arange(len(others)), side="right")
+        begins = np.searchsorted(o, np.arange(len(others)), side="left")
+        sums_a, sums_b = np.append(0.0, upto_a), np.append(0.0, upto_b)
+        from_here = sums_a[ends][o] - (upto_a - a) + alone_a[o]
+        before = (upto_b - b) - sums_b[begins][o] + alone_b[o]
+        return np.bincount(o, 1 / (from_here / a + before / b), len(others))
+
+
+def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts' similarity reaches the threshold."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lower(text_of(docs)).alias("text")).join(small(ids), "doc_id", "left_semi"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    own = F.broadcast(texts) if size <= BROADCAST_BYTES else texts
+    texts = held.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
     both = pairs.select("a", "b")
-    for side in ("a", "b"):
-        both = both.join(own.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+    for side in ("b", "a"):
+        both = both.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,22 +173,11 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                 part = batch.slice(lo, 256)
                 # a text that several pairs of the part share is cut into runs once
                 texts = pa.concat_arrays([part.column(c).cast(pa.large_string()) for c in (2, 3)]).dictionary_encode()
-                runs, offsets = [], np.zeros(1, np.int64)
-                for _, _, some in steps(texts.dictionary):
-                    row, *found = weighted_runs(some)
-                    runs.append(found)
-                    offsets = np.concatenate([offsets, offsets[-1] + np.cumsum(np.bincount(row, minlength=len(some)))])
-                values, weights = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
-                number = texts.indices.to_numpy()
-
-                def side(k: int):
-                    cut = slice(offsets[number[k]], offsets[number[k] + 1])
-                    return values[cut], weights[cut]
-
-                linked = [similarity(side(k), side(len(part) + k)) >= threshold - 1e-12 for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                runs, number = Runs(texts.dictionary), texts.indices.to_numpy()
+                linked = [runs.similarities(x, np.array([y]))[0] >= threshold - SLACK for x, y in zip(number[: len(part)], number[len(part) :], strict=True)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -188,53 +205,57 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def proposed(ids, sketch, bands, label, block, own, at: int, tested, most: int | None, least: float):
-    """Pairs of different labels, blocks {own} and an estimate of `least` or more: each row's `most` best.
+def found_links(ids, sketch, bands, texts, label, block, own, band: int, threshold: float, least: float = LEAST_ESTIMATE):
+    """Links that join all documents of the blocks {own} that pairs at the threshold join.
 
-    Rows of the commonest label propose nothing: their partners of other labels do. A pair that
-    shares several bands (keys of whole registers, not of the sketch) is left to the first of them.
+    Of pairs of different labels and, if these differ, different blocks, those with an estimate of `least` or
+    more are verified, unless links found before join them. Rows of the commonest label do not ask: their
+    partners of other labels do. A pair that shares several buckets is left to the one that is first in the
+    list of bands.
     """
-    values, counts = np.unique(label, return_counts=True)
-    quiet = values[counts.argmax()] if counts.max() > 1 else None
-    out = []
-    asks = np.flatnonzero(label != quiet) if quiet is not None else np.arange(len(ids))
+    at = int((bands[0] == band).argmax())
+    values, parent = np.unique(label, return_inverse=True)
+    counts = np.bincount(parent)
+    quiet = counts.argmax() if counts.max() > 1 else -1
+    mine, joined = parent.copy(), np.arange(len(values))  # label numbers, and what each has become part of
+    runs, out = None, []
+    asks = np.flatnonzero(parent != quiet)
     for lo in range(0, len(asks), 16):
         who = asks[lo : lo + 16]
         agree = (sketch[who][:, None, :] == sketch[None, :, :]).mean(2)
-        agree[label[who][:, None] == label[None, :]] = -1
         if own[0] != own[1]:
             agree[block[who][:, None] == block[None, :]] = -1
         for k, i in enumerate(who):
-            near = np.flatnonzero(agree[k] >= least)
-            if len(near) and len(tested[i]):
-                near = near[~np.isin(ids[near], tested[i])]
+            near = np.flatnonzero((agree[k] >= least) & (joined[mine] != joined[mine[i]]))
             if len(near):
                 near = near[(bands[near] == bands[i]).argmax(1) == at]
-            if most is not None and len(near) > most:
-                near = near[np.lexsort((ids[near], -agree[k][near]))[:most]]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
-    return sorted(set(out))
-
-
-def proposals(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, tested: DataFrame | None, most: int | None) -> DataFrame:
-    """Pairs (a, b) to verify in this round, from the buckets (band, at: its number, doc_id, n) of three and more."""
-    rows = members.withColumn("label", F.col("doc_id"))
-    if labels is not None:
-        named = members.join(small(labels).select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        rows = written(named)
-        parted = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-        rows = rows.join(small(written(parted)), "band")
-    own = written(rows.select("doc_id").distinct())
-    data = nodes.select("doc_id", "sketch", "bands").join(small(own), "doc_id", "left_semi")
-    if tested is not None:
-        known = tested.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("x")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("x")))).alias("s")).select("s.*")
-        data = data.join(known.groupBy("doc_id").agg(F.collect_set("x").alias("tested")), "doc_id", "left")
-    else:
-        data = data.withColumn("tested", F.lit(None).cast("array<long>"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "at", "block", "label", "doc_id").join(data, "doc_id")
+            if not len(near):
+                continue
+            runs = Runs(texts) if runs is None else runs
+            for j in near[runs.similarities(i, near) >= threshold - SLACK]:
+                old, new = joined[mine[j]], joined[mine[i]]
+                if old != new:
+                    joined[joined == old] = new
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def first_proposals(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): every document b and the least of its bucket, the one that most of its buckets have."""
+    votes = members.where("low < doc_id").groupBy("doc_id", "low").count()
+    return votes.groupBy("doc_id").agg(F.max_by("low", F.struct(F.col("count"), -F.col("low"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+
+
+def searched(members: DataFrame, held: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components, from the buckets (band, doc_id) that hold more than one and aren't just a pair of `tested`."""
+    named = members.select("band", "doc_id").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    named = written(named.join(held.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")), "doc_id"))
+    parted = named.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("low < high")
+    parted = parted.join(tested.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left").where("n > 2 OR known IS NULL")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = named.drop("bytes").join(written(parted.select("band", blocks.alias("blocks"))), "band")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "doc_id").join(held, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -243,48 +264,55 @@ def proposals(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, te
                 continue
             sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
             bands = pa.concat_arrays(group["bands"].chunks).flatten().to_numpy().reshape(len(ids), -1)
-            seen = [np.array(x or [], np.int64) for x in group["tested"].to_pylist()]
-            found = proposed(ids, sketch, bands, group["label"].to_numpy(), group["block"].to_numpy(), (group["i"][0].as_py(), group["j"][0].as_py()), group["at"][0].as_py(), seen, most, LEAST_ESTIMATE)
+            texts = pa.concat_arrays([c.cast(pa.large_string()) for c in group["text"].chunks])
+            own = group["i"][0].as_py(), group["j"][0].as_py()
+            found = found_links(ids, sketch, bands, texts, group["label"].to_numpy(), group["block"].to_numpy(), own, group["band"][0].as_py(), threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    columns = ["band", "i", "j", "at", "block", "label", "doc_id", "sketch", "bands", "tested"]
-    spread = dealt.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    spread = dealt.select("band", "i", "j", "block", "label", "doc_id", "sketch", "bands", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return spread.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
+@scoped
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its group), kept (whether it is that one) of every row."""
     words = F.lower(text_of(docs))
-    slim = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(words).alias("key"), words.rlike(r"[^\t-\r\x1c-\x20]").alias("worded")))
-    copies = written(slim.where("worded AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")))
-    sketches = written(sketched(docs))
-    nodes = written(sketches.join(copies, "key").where("doc_id = first").select("doc_id", "sketch", "bands"))
-    bands = nodes.select("doc_id", F.posexplode("bands").alias("at", "band"))
-    buckets = written(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"))
-    members = written(bands.join(buckets.where("n > 2").select("band", "n"), "band"))
-    pairs = buckets.where("n = 2").select("a", "b").distinct()
-    tested = labels = None
-    for turn, most in enumerate(PROPOSALS):
-        found = proposals(members, nodes, labels, tested, most)
-        new = written(found.union(pairs).distinct() if turn == 0 else found)
-        if new.isEmpty():
-            break
-        done = written(verified(new, docs, threshold))
-        tested = done if tested is None else tested.union(done)
-        labels = extended(labels, done.where("linked").select("a", "b"))
-    first = copies
-    if labels is not None:
-        first = copies.join(small(labels).select(F.col("id").alias("first"), "component"), "first", "left").select("key", F.coalesce("component", "first").alias("first"))
+    ids = docs["doc_id"].cast("long").alias("doc_id")
+    slim = written(docs.select(ids, text_key(words).alias("key"), words.rlike(r"[^\t-\r\x1c-\x20]").alias("worded")))
+    # the least doc_id of each text, with its signature
+    nodes = written(sketched(docs).groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "bands")).alias("node")).select("key", "node.*"))
+    bands = nodes.select("doc_id", F.explode("bands").alias("band"))
+    buckets = written(bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band", "low"))
+    # merged at every size, so that what is moved grows as the input does
+    members = written(bands.join(buckets.hint("merge"), "band").select("doc_id", "band", "low"))
+    near = written(nodes.join(small(written(members.select("doc_id").distinct())), "doc_id", "left_semi"))
+    texts = docs.select(ids, text_key(words).alias("key"), words.alias("text")).join(small(near.select("doc_id", "key")), ["doc_id", "key"], "left_semi")
+    held = written(near.join(texts.dropDuplicates(["key"]).select("key", "text"), "key").drop("key"))
+    # the texts that share a doc_id belong together
+    shared = slim.where("worded AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("doc_id")
+    shared = slim.where("worded").join(shared, "doc_id").join(nodes.select("key", F.col("doc_id").alias("first")), "key").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    tested = written(first_proposals(members))
+    labels = extended(None, verified(tested, held, threshold).union(shared))
+    labels = extended(labels, searched(members, held, labels, tested, threshold))
+    first = nodes.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("first"))
     named = slim.join(first, "key", "left").select("doc_id", F.when(F.col("worded"), F.col("first")).otherwise(F.col("doc_id")).alias("class_id"))
     return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df has it (Spark's names have no case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, columns as they are, of each group's document with the least doc_id; one row of those that share it."""
-    found = written(classes(docs, threshold))
-    gone = written(found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    left = docs.join(small(gone), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    found = classes(docs, threshold)
+    gone = free_name(docs, "gone_id")
+    left = docs.join(small(written(found.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct())), docs["doc_id"].cast("long") == F.col(gone), "left_anti")
     repeats = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeats.isEmpty():
         return left

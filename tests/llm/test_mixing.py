@@ -40,6 +40,31 @@ def test_mix_keeps_columns_and_repeats_rows(spark):
     assert sum(1 for r in got.collect() if r["doc_id"] == 1) == 3
 
 
+def test_the_mix_holds_what_the_plan_takes(spark):
+    rows = [(i, f"s{i % 5}" if i % 11 else None, "w " * (i % 23), f"x{i}") for i in range(1500)]
+    frame = spark.createDataFrame([(*r, 1, "y", "z") for r in rows], "doc_id long, source string, text string, size string, rest int, bounds string, row string")
+    got = {}
+    for r in mixing.mix(frame).collect():
+        assert tuple(r)[:4] == rows[r["doc_id"]]
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {r["doc_id"]: r["copies"] for r in mixing.mix_plan(frame).collect() if r["copies"]}
+
+
+def test_many_empty_texts_and_rows_of_one_id(spark):
+    rows = [(i, "a", None, None) for i in range(500)] + [(7, "b", "w " * (1 + i % 3), None) for i in range(300)] + [(8, "c", "v v", None)] * 50
+    plan = mixing.mix_plan(docs(spark, rows)).collect()
+    assert len(plan) == 850 and all(0 <= r["taken"] <= 3 * r["size"] for r in plan)
+    by = {}
+    for r in mixing.mix(docs(spark, rows)).collect():
+        by[r["source"]] = by.get(r["source"], 0) + len((r["text"] or "").split())
+    # b goes up to 3 rounds, c up to 3 rounds of 100 words, all its rows or none in a round
+    assert by["c"] % 100 == 0 and 0 < by["b"] <= 1800
+
+
+def test_slices_grow_with_the_rows():
+    assert [mixing._digits(n) for n in (0, 400_000_000, 400_000_001, 10**11)] == [3, 3, 4, 5]
+
+
 def test_empty(spark):
     assert mixing.mix_plan(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, [])).count() == 0

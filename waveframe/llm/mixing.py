@@ -5,13 +5,18 @@ finish time: the words that its source has sent up to its end, over the source's
 documents are then taken in the order of that time until the total budget is spent. A source
 whose target exceeds its size goes round again, `max_repeats` times at most.
 
-No step needs a source's documents in one task. A source is cut into 4,096 slices by the first
-digits of the shuffle key; running sums are those of slices, then those within a slice. The
-budget's cut is found from sums over 2,048 intervals of virtual time, then over 4,096 parts of
-the one that crosses it, then among the few rows of that part.
+No step needs a source's documents in one task. A source is cut into 4,096 slices (16 times as
+many for every 16-fold rows beyond 400 million) by the first digits of the shuffle key; running sums
+are those of slices, then those within a slice. The budget's cut is found from sums over 2,048
+intervals of virtual time, then over 4,096 parts of the one that crosses it, then among the few rows
+of that part.
+
+Within a round of its source, a document is taken if it stands no later than the last one taken. So the
+mix itself needs one boundary for each source and round, and no text is shuffled.
 
 Defined results: a null text has size 0; a null source is a source, ordered last; rows that
-repeat count each; rows that tie go by doc_id; a source of size 0 has target 0; an empty table
+repeat count each; rows that tie go by doc_id, size and a hash of the text; of a doc_id's rows with equal
+texts, `mix` takes all or none in a round; a source of size 0 has target 0; an empty table
 gives none. Other columns of the input are neither read nor able to clash.
 """
 
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scoped, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in the order of their names, again and again.
@@ -29,15 +34,33 @@ MAX_REPEATS = 3
 SEED = "fair-queue-1"
 INTERVALS, PARTS = 1024, 4096
 LEAST_ID = -(1 << 63)
+#: Rows for three digits of the shuffle key; 16 times as many have one digit more.
+SLICED_ROWS = 400_000_000
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def _keyed(docs: DataFrame, seed: str, payload: list[Column]) -> DataFrame:
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 256)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), order.alias("order"), *payload).withColumn("slice", F.substring("order", 1, 3))
+def _order(docs: DataFrame, seed: str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 256)
+
+
+def _rest(docs: DataFrame) -> Column:
+    """What decides between rows of one order: doc_id, size, hash of the text."""
+    return F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID)).alias("doc_id"), n_words(docs["text"]).alias("size"), F.xxhash64(docs["text"].cast("string")).alias("hash"))
+
+
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), _order(docs, seed).alias("order"), _rest(docs).alias("rest"))
+
+
+def _digits(n: int) -> int:
+    """Digits of the shuffle key that name a slice, so that slices stay about as large."""
+    digits = 3
+    while n > SLICED_ROWS:
+        n, digits = n // 16, digits + 1
+    return digits
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -67,7 +90,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 def _queued(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """rows with words up to their end within one round of their source (`sent`)."""
-    own = Window.partitionBy("source", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("source", "slice").orderBy("order", "rest").rowsBetween(Window.unboundedPreceding, 0)
     within = rows.withColumn("within", F.sum("size").over(own))
     same = within["source"].eqNullSafe(starts["source"]) & (within["slice"] == starts["slice"])
     return within.join(starts, same).select(*[within[c] for c in within.columns], starts["source_size"], starts["rank"], starts["target"], starts["total"], (starts["start"] + within["within"]).alias("sent"))
@@ -78,7 +101,7 @@ def _finish(repeat: Column) -> Column:
 
 
 def _tie() -> Column:
-    return F.struct(F.col("rank").alias("rank"), F.col("order").alias("order"), F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"), F.col("size").alias("size"))
+    return F.struct("rank", "order", "rest")
 
 
 def _crossing(sums: DataFrame, place: str, spent: int, budget: int):
@@ -87,8 +110,11 @@ def _crossing(sums: DataFrame, place: str, spent: int, budget: int):
     return running.where(F.col("upto") > budget).orderBy(place).select(place, (F.col("upto") - F.col("words")).alias("before")).first()
 
 
-def _mixed(docs: DataFrame, payload: list[str], weights, max_repeats, seed) -> DataFrame:
-    slim = written(_keyed(docs, seed, []))
+@scoped
+def _queue(docs: DataFrame, weights, max_repeats, seed) -> DataFrame:
+    """Of every row: doc_id, source, size, order, rest, source_size, rank, target and took (by round, whether it is taken)."""
+    slim = written(_keyed(docs, seed))
+    slim = slim.withColumn("slice", F.substring("order", 1, _digits(slim.count())))
     slices = written(slim.groupBy("source", "slice").agg(F.sum("size").alias("words")))
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats)
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,9 +124,10 @@ def _mixed(docs: DataFrame, payload: list[str], weights, max_repeats, seed) -> D
     head = starts.select("total").first()
     budget = int(head["total"]) if head else 0
     repeats = F.sequence(F.lit(0), F.lit(max_repeats - 1))
+    queued = written(_queued(slim, starts).drop("slice", "within", "total"))
     # Up to time 2 every source has sent its target at least, so the budget ends before that.
-    copies = _queued(slim, starts).where("target > 0").select("*", F.explode(repeats).alias("repeat")).withColumn("finish", _finish(F.col("repeat"))).where("finish <= 2")
-    times = written(copies.select("finish", "size", _tie().alias("tie")).withColumn("interval", F.floor(F.col("finish") * INTERVALS)))
+    copies = queued.where("target > 0").select("*", F.explode(repeats).alias("repeat")).withColumn("finish", _finish(F.col("repeat"))).where("finish <= 2")
+    times = copies.select("finish", "size", _tie().alias("tie")).withColumn("interval", F.floor(F.col("finish") * INTERVALS))
     cut = None
     if found := _crossing(times.groupBy("interval").agg(F.sum("size").alias("words")), "interval", 0, budget):
         part = F.floor((F.col("finish") * INTERVALS - found["interval"]) * PARTS)
@@ -113,19 +140,28 @@ def _mixed(docs: DataFrame, payload: list[str], weights, max_repeats, seed) -> D
         at = _finish(repeat)
         if cut is None:
             return at <= 2
-        tie = F.struct(*[F.lit(v).cast(t).alias(k) for (k, v), t in zip(cut["tie"].asDict().items(), ("long", "string", "long", "long"), strict=True)])
-        return (at < cut["finish"]) | ((at == cut["finish"]) & (_tie() < tie))
+        tie = cut["tie"]
+        rest = F.struct(*[F.lit(tie["rest"][k]).cast("long").alias(k) for k in ("doc_id", "size", "hash")])
+        until = F.struct(F.lit(tie["rank"]).cast("long").alias("rank"), F.lit(tie["order"]).alias("order"), rest.alias("rest"))
+        return (at < cut["finish"]) | ((at == cut["finish"]) & (_tie() < until))
 
-    rows = _keyed(docs, seed, [F.struct(*[docs[c] for c in payload]).alias("row")]) if payload else slim
-    return _queued(rows, starts).withColumn("copies", F.size(F.filter(repeats, taken)).cast("long"))
+    return queued.withColumn("took", F.transform(repeats, taken))
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """Of every document: doc_id, source, size, source_size, target, copies, taken (words)."""
-    return _mixed(docs, [], weights, max_repeats, seed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    copies = F.size(F.filter("took", lambda x: x)).cast("long")
+    return _queue(docs, weights, max_repeats, seed).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """The mix itself: the input's rows and columns, each row as often as it is taken."""
-    rows = _mixed(docs, docs.columns, weights, max_repeats, seed)
-    return rows.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
+    queue = _queue(docs, weights, max_repeats, seed)
+    last = [F.max(F.when(F.col("took")[e], F.struct("order", "rest"))).alias(f"last_{e}") for e in range(max_repeats)]
+    bounds = written(queue.groupBy("source").agg(*last).select(F.col("source").alias("of_source"), F.array(*[f"last_{e}" for e in range(max_repeats)]).alias("bounds")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("its_source"), _order(docs, seed).alias("order"))
+    rows = rows.join(small(bounds), F.col("its_source").eqNullSafe(F.col("of_source")))
+    # text is only looked at where a row has the order of a boundary
+    whole = F.struct(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), n_words(F.col("row.text")).alias("size"), F.xxhash64(F.col("row.text").cast("string")).alias("hash"))
+    times = F.size(F.filter("bounds", lambda b: F.coalesce(F.when(F.col("order") == b["order"], whole <= b["rest"]).otherwise(F.col("order") < b["order"]), F.lit(False))))
+    return rows.select(F.explode(F.array_repeat("row", times)).alias("row")).select("row.*")

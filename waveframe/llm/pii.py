@@ -12,7 +12,8 @@ All steps are projections, aggregations by word or instance, and joins on them;
 is summed before it is shuffled.
 
 Positions are code points: a text's matches and the gaps between them alternate, so a match
-starts after the lengths of all before it. The expressions have possessive repeats and look-behinds that
+starts after the lengths of all before it. Sums and pieces are gathered in chunks of matches, so a text of
+very many is not copied for each. The expressions have possessive repeats and look-behinds that
 keep them linear in the text and match the same as the plain patterns in KINDS.
 
 Defined results: null and empty texts have no spans; repeated rows count each in the output and
@@ -45,13 +46,14 @@ IDENTIFIER = r"(?:\G|(?<![^\s<>\"'=:;,()\[\]]))[^\s@<>\"'=:;,()\[\]]++@[^\s@<>\"
 LEAST_DIGITS = 7
 #: Distinct seeds that a pattern needs, its least score, an instance's least confidence, and rounds.
 LEAST_SUPPORT, LEAST_SCORE, LEAST_CONFIDENCE, ROUNDS = 3, 0.5, 0.5, 3
-#: Code points of the gap before an identifier in which its word is looked for.
-CONTEXT = 48
+#: Matches or spans of a chunk.
+CHUNK = 256
 NOT_LETTER = r"[^\p{L}]+"
 #: Extra spans that a broadcast may hold.
 BROADCAST_ROWS = 100_000
 NUMBERED = {kind: k for k, kind in enumerate(KINDS)}
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+SEEN = "array<struct<start:int,kind:int,end:int,value:string,word:string>>"
 
 
 def digits(x: Column) -> Column:
@@ -78,17 +80,35 @@ def holds(kind: str, match: Column) -> Column:
     return (n >= 9) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
+def chunked(items: Column, start: Column, kind: str, first, step) -> Column:
+    """step(state, item) over items; states are struct(at, out: array<kind>, ...). Gives struct(at, out).
+
+    first(at, items of a chunk) is a chunk's first state: `out` grows in chunks and those are put
+    together, so n items cost n times the square root of n at most, not the square of n.
+    """
+    def chunk(whole, k):
+        own = F.slice(items, k * CHUNK + 1, F.lit(CHUNK))
+        done = F.aggregate(own, first(whole["at"], own), step, lambda s: F.struct(s["at"].alias("at"), s["out"].alias("out")))
+        return F.aggregate(F.array(done), whole, lambda a, d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+    chunks = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    empty = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(chunks, empty, chunk, lambda w: F.struct(w["at"].alias("at"), F.flatten(w["out"]).alias("out")))
+
+
 def _placed(text: Column, pattern: str, item, kind: str, keep) -> Column:
     """array<kind> of item(start, match, gap before) for the matches that keep() accepts."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"), keep(m).alias("ok")))
 
-    def merge(a, x):
+    def step(a, x):
         start = a["at"] + F.char_length(x["gap"])
         out = F.when(x["ok"], F.concat(a["out"], F.array(item(start, x["match"], x["gap"])))).otherwise(a["out"])
         return F.struct((start + F.char_length(x["match"])).alias("at"), out.alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), merge, lambda a: a["out"])
+    # the matches are found once and handed on, as the one item of an outer array
+    whole = F.transform(F.array(pairs), lambda p: chunked(p, F.lit(0), kind, lambda at, _: F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step))
+    return F.element_at(whole, 1)["out"]
 
 
 def base_spans(text: Column) -> Column:
@@ -113,21 +133,36 @@ def shape(match: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """array of struct(start, kind, end, value, word before)."""
-    kind = "array<struct<start:int,kind:int,end:int,value:string,word:string>>"
 
     def item(s, m, g):
-        words = F.filter(F.split(F.lower(F.right(g, F.lit(CONTEXT))), NOT_LETTER), lambda w: w != "")
-        return F.struct(s.alias("start"), shape(m).alias("kind"), (s + F.char_length(m)).alias("end"), F.lower(m).alias("value"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("word"))
+        word = F.lower(F.reverse(F.regexp_extract(F.reverse(g), r"\p{L}+", 0)))
+        return F.struct(s.alias("start"), shape(m).alias("kind"), (s + F.char_length(m)).alias("end"), F.lower(m).alias("value"), word.alias("word"))
+
+    return _placed(text, IDENTIFIER, item, SEEN, lambda m: shape(m).isNotNull())
+
 
-    return _placed(text, IDENTIFIER, item, kind, lambda m: shape(m).isNotNull())
+def seeds(base: Column, seen: Column) -> Column:
+    """array of whether each of `seen` overlaps one of `base`: in the order of positions, a span
+    overlaps if the furthest end of base spans that start before its end lies beyond its start."""
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("side"), b["end"].alias("to")))
+    ends = F.transform(seen, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("side"), x["start"].alias("to")))
+
+    def step(a, e):
+        far = F.when(e["side"] == 1, F.greatest(a["at"], e["to"])).otherwise(a["at"])
+        out = F.when(e["side"] == 1, a["out"]).otherwise(F.concat(a["out"], F.array(a["at"] > e["to"])))
+        return F.struct(far.alias("at"), out.alias("out"))
+
+    whole = F.transform(F.array(F.array_sort(F.concat(starts, ends))), lambda p: chunked(p, F.lit(0), "array<boolean>", lambda at, _: F.struct(at.alias("at"), F.array().cast("array<boolean>").alias("out")), step))
+    return F.element_at(whole, 1)["out"]
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """A slim table of every row: doc_id, copy (a hash of its text), base spans, identifiers."""
+    """A slim table of every row: doc_id, copy (a hash of its text), base spans, identifiers and whether base spans meet them."""
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
-    found = F.when(F.col("text").rlike("[0-9]|@"), identifiers(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string,word:string>>"))
-    return written(rows.select("doc_id", "copy", base_spans(F.col("text")).alias("base"), found.alias("seen")))
+    found = F.when(F.col("text").rlike("[0-9]|@"), identifiers(F.col("text"))).otherwise(F.array().cast(SEEN))
+    spans = rows.select("doc_id", "copy", base_spans(F.col("text")).alias("base"), found.alias("seen"))
+    return written(spans.withColumn("seed", F.when(F.size("seen") > 0, seeds(F.col("base"), F.col("seen"))).otherwise(F.array().cast("array<boolean>"))))
 
 
 def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -140,8 +175,8 @@ def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
 def patterns(docs: DataFrame, slim: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences of identifiers, accepted patterns, accepted instances) after the rounds."""
     once = slim.where(F.size("seen") > 0).dropDuplicates(["doc_id", "copy"])
-    seed = F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start")))
-    seen = written(once.select("doc_id", "copy", "base", F.explode("seen").alias("x")).select("doc_id", "copy", "x.*", seed.alias("seed")))
+    both = F.zip_with("seen", "seed", lambda x, seed: F.struct(x.alias("x"), seed.alias("seed")))
+    seen = written(once.select("doc_id", "copy", F.explode(both).alias("s")).select("doc_id", "copy", "s.x.*", "s.seed"))
     edges = seen.where("word != ''").groupBy("word", "kind", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     # a word with fewer instances than the least support can never be a pattern
     spread = edges.groupBy("word", "kind").agg(F.count("*").alias("instances"), F.sum("n").alias("followed")).where(F.col("instances") >= LEAST_SUPPORT)
@@ -176,11 +211,16 @@ def with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
     return joined.drop("its_doc_id", "its_copy").withColumn("extra", F.coalesce("extra", F.array().cast(SPAN)))
 
 
+def united(base: Column, extra: Column) -> Column:
+    """All spans, sorted; extra spans meet no base span, so none is there twice."""
+    return F.array_sort(F.concat(base, extra))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans: sorted arrays of struct(start, kind, end); kind is a place in KINDS."""
     slim = scanned(docs)
     both = with_extra(slim.select("doc_id", "copy", "base"), discovered(docs, slim))
-    return both.select("doc_id", "base", F.array_sort(F.array_union("base", "extra")).alias("spans"))
+    return both.select("doc_id", "base", united(F.col("base"), F.col("extra")).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -199,16 +239,22 @@ def masked(text: Column, spans: Column) -> Column:
     """text with every span replaced by its kind in brackets; of spans that overlap, the first has the tag."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def merge(a, s):
+    def first(at, own):
+        # a chunk's part of the text is cut out once, its pieces from that
+        part = F.substring(text, at + 1, F.array_max(F.transform(own, lambda s: s["end"])) - at)
+        return F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"), at.alias("base"), part.alias("part"))
+
+    def step(a, s):
         fresh = s["start"] >= a["at"]
-        parts = F.when(fresh, F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(tags, s["kind"] + 1)))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), parts.alias("out"))
+        piece = F.substring(a["part"], a["at"] - a["base"] + 1, s["start"] - a["at"])
+        out = F.when(fresh, F.concat(a["out"], F.array(piece, F.element_at(tags, s["kind"] + 1)))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"), a["base"].alias("base"), a["part"].alias("part"))
 
-    def end(a):
-        return F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text)))
+    def end(done):
+        return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.char_length(text)))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), merge, end)
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    whole = F.transform(F.array(spans), lambda own: end(chunked(own, F.lit(0), "array<string>", first, step)))
+    return F.element_at(whole, 1)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -217,6 +263,6 @@ def redact(docs: DataFrame) -> DataFrame:
     text = text_of(docs)
     held = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.struct(*docs.columns).alias("row"))
     whole = F.coalesce(F.col("row.text"), F.lit(""))
-    spans = with_extra(held, extra).withColumn("spans", F.array_sort(F.array_union(base_spans(whole), "extra")))
+    spans = with_extra(held, extra).withColumn("spans", united(base_spans(whole), F.col("extra")))
     changed = F.when(F.col("row.text").isNotNull(), masked(whole, F.col("spans")))
     return spans.select(*[changed.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -79,6 +79,33 @@ def test_a_head_ends_where_the_body_begins(page, want):
     assert pages.main_text(page) == want
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 20000, "<b>x" * 20000, "<p><b>x</b>" + "</i></section>" * 20000, "<ul>" + "<b>" * 5000 + "<li>x</li>" * 5000, "<div class=ad><main>x" * 3000, "<head>" + "<p>x" * 9000, "<main><article>x" * 3000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    pages.main_text(page)
+    assert time.time() - began < 6
+
+
+LINKS = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(30))
+
+
+@pytest.mark.parametrize(
+    ("page", "gone"),
+    [
+        (f"<div class='content has-sidebar'><article>{paragraphs(4)}</article></div>", ""),
+        (f"<div id='main-no-sidebar'>{paragraphs(4)}</div>", ""),
+        (f"<article>{paragraphs(3)}<p class='related-work'>Work like this was done before.</p>{paragraphs(1)}</article>", ""),
+        (f"<article>{paragraphs(3)}<ul>{LINKS}</ul>{paragraphs(3)}</article>", LINKS),
+        (f"<body><div>{LINKS}</div><div>{paragraphs(4)}<p>See <a href=x>this</a>.</p><p><a href=x>One link</a></p></div></body>", LINKS),
+    ],
+)
+def test_ratios_decide_and_names_are_evidence(page, gone):
+    shown = page.replace(gone, "") if gone else page
+    assert pages.main_text(page).split("\n") == [" ".join(re.sub("<[^>]*>", "", x).split()) for x in re.split(r"</?(?:p|ul|li|div|article|body)\b[^>]*>", shown) if x.strip()]
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 5), (None, None, "<p>x</p>", 5), (1, "u", "<p>" + "w " * 200_000 + "</p>", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")

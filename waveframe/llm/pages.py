@@ -5,13 +5,18 @@ run of text, with the number of tags that each has. A line's ratio is its charac
 tags. The ratios are smoothed by a Gaussian along the page; a threshold between the two clusters
 of smoothed ratios (two means) selects the lines of high ratio. What they select grows to the
 element that holds them: the smallest element with all selected lines (of article and main elements
-if one has them all; a main whole if it has articles besides), whose lines are all kept, so that a
-short paragraph of the article stays.
+if one has them all; a main whole if it has articles besides). Its lines are kept, so that a short
+paragraph of the article stays, except runs of three or more lines of the low cluster that are links only:
+a menu without a menu's element.
 
 Lines within elements that are not content by their kind (menus, headers and footers of the page,
-sidebars, scripts, styles and so on) or whose role says so never count. Those within forms and elements
-whose class or id says so don't either, unless the method, with them in, places more than half of the
-selected characters there and they don't stand apart from the only main or article of the page.
+sidebars, scripts, styles and so on) or whose role says so never count. Class and id are evidence only:
+lines within forms and containers (not paragraphs, headings or cells) whose class or id says so count unless
+the method, with them in, places half of the selected characters or less there, or they stand apart from the only main or
+article of the page.
+
+An element holds a range of lines, and what is open is counted, so the work is linear in the page
+however deep its elements lie.
 
 Defined results: null and empty pages, and pages without a content line, give an empty text;
 markup that ends early or is wrongly nested is read as far as it goes; repeated rows count each;
@@ -46,8 +51,11 @@ CONTENT = {"article", "main"}
 OF_HEAD = {"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 WITHIN_HEAD = {"script", "style", "noscript", "template"}
 
-#: Standard deviation of the Gaussian, in lines.
-SIGMA = 1.5
+#: Text blocks, which a word in their class or id doesn't doubt.
+BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figure", "figcaption", "caption", "summary", "address"}
+
+#: Standard deviation of the Gaussian, in lines; lines of links only that are a menu.
+SIGMA, MENU_LINES = 1.5, 3
 BLANK = re.compile(r"\s+")
 
 
@@ -58,41 +66,63 @@ def surely_side(attributes: dict[str, str]) -> bool:
 def says_side(tag: str, attributes: dict[str, str]) -> bool:
     if tag == "form":
         return True
-    if tag in {"html", "body", "article", "main"}:
+    if tag in {"html", "body", "article", "main"} or tag in BLOCKS:
         return False
     named = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
     return any(w in SIDE_WORDS for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower()))
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags within, the numbers of the elements around, side or not."""
+    """Lines of a page, and its elements as ranges of them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        # of lines: text, tags within, side or not, characters in links, innermost content element, innermost element
+        self.found: list[tuple[str, int, bool, int, int, int]] = []
+        # of elements, by number from 1 on: first line, end of lines, last number within, parent
+        self.first, self.end, self.last, self.parent = [0], [0], [0], [0]
+        self.content: list[int] = []
+        self.doubted: list[int] = []  # side by their words only, or forms
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, silent, side
-        self.found: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.content: set[int] = set()
-        self.doubted: set[int] = set()  # side by their words only, or forms
+        self.at: dict[str, list[int]] = {}  # places of each tag in `open`
+        self.blocks: list[int] = []  # places of others than inline elements
+        self.walls: list[int] = []  # and than paragraphs
+        self.around: list[int] = []  # content elements that are open
+        self.silent = self.side = self.links = 0
         self.text: list[str] = []
-        self.tags, self.made = 0, 0
+        self.tags = self.linked = 0
 
     def end_line(self) -> None:
         text = BLANK.sub(" ", "".join(self.text)).strip()
         if text:
-            side = any(x[3] for x in self.open)
-            self.found.append((text, self.tags, tuple(x[1] for x in self.open), side))
+            self.found.append((text, self.tags, self.side > 0, self.linked, self.around[-1] if self.around else 0, self.open[-1][1] if self.open else 0))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def close_from(self, at: int) -> None:
-        if any(x[0] not in INLINE for x in self.open[at:]):
+        if self.blocks and self.blocks[-1] >= at:
             self.end_line()
-        del self.open[at:]
+        while len(self.open) > at:
+            tag, number, silent, side = self.open.pop()
+            self.end[number], self.last[number] = len(self.found), len(self.first) - 1
+            self.silent -= silent
+            self.side -= side
+            self.links -= tag == "a"
+            self.at[tag].pop()
+            for places in (self.blocks, self.walls):
+                if places and places[-1] == len(self.open):
+                    places.pop()
+            if self.around and self.around[-1] == number:
+                self.around.pop()
+
+    def lowest(self, tags) -> int:
+        """The place in `open` of the innermost element of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
     def end_head(self) -> None:
         """An open head ends where something of the body begins."""
-        at = next((k for k, x in enumerate(self.open) if x[0] == "head"), None)
-        if at is not None and not any(x[0] in WITHIN_HEAD for x in self.open[at:]):
+        at = self.at["head"][0] if self.at.get("head") else -1
+        if at >= 0 and self.lowest(WITHIN_HEAD) < at:
             self.close_from(at)
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -105,24 +135,33 @@ class Lines(HTMLParser):
             self.end_line()
         if tag in VOID:
             return
-        closing = {"p"} if tag in ENDS_PARAGRAPH else SELF_CLOSING.get(tag, set())
-        for at in range(len(self.open) - 1, -1, -1):
-            name = self.open[at][0]
-            if name in closing:
-                self.close_from(at)
-                break
-            if name not in INLINE and name != "p":
-                break
-        self.made += 1
+        closing = {"p"} if tag in ENDS_PARAGRAPH else SELF_CLOSING.get(tag, ())
+        at = self.lowest(closing)
+        if at >= 0 and at >= (self.walls[-1] if self.walls else -1):
+            self.close_from(at)
+        number = len(self.first)
+        self.first.append(len(self.found))
+        self.end.append(-1)
+        self.last.append(-1)
+        self.parent.append(self.open[-1][1] if self.open else 0)
         attributes = {k: v or "" for k, v in attrs}
-        names = {x[0] for x in self.open}
         # a header within an article is part of it, unlike the page's
-        side = tag in SIDE or (tag == "header" and not names & CONTENT) or surely_side(attributes)
+        side = tag in SIDE or (tag == "header" and not self.around) or surely_side(attributes)
         if not side and says_side(tag, attributes):
-            self.doubted.add(self.made)
+            self.doubted.append(number)
         if tag in CONTENT:
-            self.content.add(self.made)
-        self.open.append((tag, self.made, tag in SILENT, side))
+            self.content.append(number)
+            self.around.append(number)
+        place = len(self.open)
+        self.at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+            if tag != "p":
+                self.walls.append(place)
+        self.links += tag == "a"
+        self.silent += tag in SILENT
+        self.side += side
+        self.open.append((tag, number, tag in SILENT, side))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -131,22 +170,24 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.close_from(at)
-                return
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return  # a stray end of an inline element doesn't end the block around
+        at = self.lowest((tag,))
+        # a stray end of an inline element doesn't end the block around
+        if at >= 0 and (tag not in INLINE or not self.blocks or at > self.blocks[-1]):
+            self.close_from(at)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
             self.end_head()
-        if not any(x[2] for x in self.open):
+        if not self.silent:
             self.text.append(data)
+            if self.links:
+                self.linked += len(BLANK.sub("", data))
 
     def close(self) -> None:
         super().close()
         self.end_line()
+        self.close_from(0)
+        self.end[0], self.last[0] = len(self.found), len(self.first) - 1
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -170,48 +211,83 @@ def two_means(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def selected(lines: list[tuple[str, int, tuple[int, ...]]]) -> np.ndarray:
+def selected(sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
     """Which lines have a high smoothed ratio; all if none differs."""
-    smooth = smoothed(np.array([len(x[0]) for x in lines], float) / np.maximum([x[1] for x in lines], 1))
+    smooth = smoothed(sizes / np.maximum(tags, 1))
     chosen = smooth > two_means(smooth)
     return chosen if chosen.any() else ~chosen
 
 
+def menus(flags: np.ndarray, least: int = MENU_LINES) -> np.ndarray:
+    """The flags that are in runs of `least` or more."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(int)))
+    out = np.zeros(len(flags), bool)
+    for lo, hi in edges.reshape(-1, 2):
+        out[lo:hi] = hi - lo >= least
+    return out
+
+
+def set_aside(page: Lines, first: np.ndarray, end: np.ndarray, sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which lines the doubted elements take away. first and end: of elements, in these lines."""
+    n, doubted, last = len(sizes), np.array(page.doubted), np.array(page.last)
+    held = np.concatenate([[0], np.cumsum(np.where(selected(sizes, tags), sizes, 0))])
+    aside = 2 * (held[end[doubted]] - held[first[doubted]]) <= held[-1]
+
+    def covered(numbers: np.ndarray) -> np.ndarray:
+        marks = np.zeros(n + 1, int)
+        np.add.at(marks, first[numbers], 1)
+        np.add.at(marks, end[numbers], -1)
+        return np.cumsum(marks)[:n] > 0
+
+    outermost: list[int] = []
+    for number in page.content:
+        if not outermost or number > last[outermost[-1]]:
+            outermost.append(number)
+    free = np.concatenate([[0], np.cumsum(~covered(doubted))])
+    clear = [k for k in outermost if free[end[k]] > free[first[k]]]
+    if len(clear) == 1:
+        aside |= np.minimum(end[doubted], end[clear[0]]) <= np.maximum(first[doubted], first[clear[0]])
+    return covered(doubted[aside])
+
+
 def main_text(html: str) -> str:
     """The blocks of the content region, joined by line feeds."""
     page = Lines()
     page.feed(html)
     page.close()
-    lines = [(text, tags, path) for text, tags, path, side in page.found if not side]
-    if not lines:
+    found = page.found
+    used = np.array([not x[2] for x in found], bool)
+    everything = np.array([len(x[0]) for x in found], float), np.array([x[1] for x in found], float)
+
+    def of_lines(use: np.ndarray):
+        """Sizes and tags of the lines in use, and the elements' ranges among them."""
+        before = np.concatenate([[0], np.cumsum(use)])
+        return *(x[use] for x in everything), before[page.first], before[page.end]
+
+    if page.doubted and used.any():
+        sizes, tags, first, end = of_lines(used)
+        used[np.flatnonzero(used)[set_aside(page, first, end, sizes, tags)]] = False
+    if not used.any():
         return ""
-    chosen = selected(lines)
-    if page.doubted:
-        held = dict.fromkeys(page.doubted, 0)
-        for (text, _, path), own in zip(lines, chosen, strict=True):
-            for number in page.doubted.intersection(path) if own else ():
-                held[number] += len(text)
-        total = sum(len(x[0]) for x, own in zip(lines, chosen, strict=True) if own)
-        aside = {number for number, size in held.items() if 2 * size <= total}
-        clear = {min(own) for x in lines if not page.doubted.intersection(x[2]) and (own := page.content.intersection(x[2]))}
-        if len(clear) == 1:
-            aside |= page.doubted.difference(*(x[2] for x in lines if clear.intersection(x[2])))
-        lines = [x for x in lines if not aside.intersection(x[2])]
-        if not lines:
-            return ""
-        chosen = selected(lines)
+    sizes, tags, first, end = of_lines(used)
+    chosen = selected(sizes, tags)
+    lines = [x for x, own in zip(found, used, strict=True) if own]
+    at = np.flatnonzero(chosen)
     # elements are numbered as they open, so of those that hold all selected lines the last is the innermost
-    enough = set.intersection(*(set(x[2]) for x, own in zip(lines, chosen, strict=True) if own))
-    marked = enough & page.content
-    region = max(marked or enough, default=0)
+    enough = np.flatnonzero((first <= at[0]) & (end > at[-1]))
+    marked = np.intersect1d(enough, page.content)
+    region = int((marked if len(marked) else enough)[-1])
     # articles beside the region in the same main belong to it
-    beside = {number for _, _, path in lines if region not in path for number in marked.intersection(path) if number != max(page.content.intersection(path))}
-    region = max(beside, default=region)
-    if not marked and region and len([x for x in lines if region in x[2]]) <= 1 < len(lines):
+    inner = np.array([x[4] for x in lines])
+    outside = np.ones(len(lines), bool)
+    outside[first[region] : end[region]] = False
+    region = next((int(k) for k in marked[::-1] if (outside & (inner != k))[first[k] : end[k]].any()), region)
+    if not len(marked):
         # a single block isn't a region: take what is around it
-        path = next(x[2] for x in lines if region in x[2])
-        region = next((n for n in reversed(path) if len([x for x in lines if n in x[2]]) > 1), 0)
-    return "\n".join(text for text, _, path in lines if not region or region in path)
+        while region and end[region] - first[region] <= 1 < len(lines):
+            region = page.parent[region]
+    menu = menus(~chosen & (np.array([x[3] for x in lines]) >= [len(x[0].replace(" ", "")) for x in lines]))
+    return "\n".join(lines[k][0] for k in range(first[region], end[region]) if not menu[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """The pipeline stage by stage, each held against its own input."""
 
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waveframe.llm import minhash, pieces, pii
+from waveframe.llm import minhash, mixing, pieces, pii
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,12 +34,19 @@ def test_stages(spark):
     rows = masked.collect()
     assert {r["doc_id"] for r in rows} == left
     assert not any(re.search(pii.KINDS["email"], r["text"]) for r in rows)
+    assert masked.agg(F.sum(F.size(pii.base_spans(F.col("text"))))).first()[0] == 0
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
 
     mixed = stages["mixing"](spark, masked, SF)
     taken = mixed.collect()
     assert mixed.columns == columns
     assert set(map(tuple, taken)) <= set(map(tuple, rows))
+    plan = mixing.mix_plan(masked).collect()
+    assert Counter(r["doc_id"] for r in taken) == {r["doc_id"]: r["copies"] for r in plan if r["copies"]}
+    by_source = Counter()
+    for r in plan:
+        by_source[r["source"], r["target"]] += r["taken"]
+    assert all(abs(n - target) <= 3 * max(r["size"] for r in plan if r["source"] == source) for (source, target), n in by_source.items())
 
     encoded = stages["sentencepiece"](spark, mixed, SF).collect()
     assert len(encoded) == len(taken)
@@ -46,10 +56,10 @@ def test_stages(spark):
 
 
 def test_edges(spark, tmp_path):
-    rows = [(None, None, None, None, None, 1), (1, "", "en", "a", 0, 2), (1, "", "en", "a", 0, 2), (2, "call a@b.co now please ok", "en", None, 25, 3)]
+    rows = [(None, None, None, None, None, 1), (1, "", "en", "a", 0, 2), (1, "", "en", "a", 0, 2), (2, "call a@b.co now please ok", "en", None, 25, 3), (3, "long words of a text " * 40_000, "en", "a", 840_000, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 1, 2}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 1, 2, 3}
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -47,5 +47,20 @@ def test_vectors_that_link_with_nothing(spark):
     assert {(i, 0, i, True) for i in range(3, 10)} | {(None, 0, None, True)} <= by
 
 
+def test_every_length_links_within_itself(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.01, 0.0]), (4, [2.0]), (5, [3.0]), (6, [-1.0]), (7, [0.0, 0.0, 0.0, 5.0]), (8, [0.0, 0.0, 0.0, 4.0]), (9, [2.0, 0.02])]
+    got = vectors.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 2, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 1, False)]
+
+
+def test_ties_at_the_threshold_link(spark):
+    # cosines of 0.9 and of a little less, exactly
+    rows = [(1, [1.0, 0.0]), (2, [9.0, 19.0**0.5]), (3, [9.0, -4.3589]), (4, [0.0, 0.0])]
+    x = np.array([r[1] for r in rows[:3]])
+    want = {i + 1: sum(float(vectors.unit(x)[i] @ vectors.unit(x)[j]) >= 0.9 for j in range(3) if j != i) for i in range(3)}
+    got = {r["vec_id"]: r["n_links"] for r in vectors.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want | {4: 0}
+
+
 def test_empty(spark):
     assert vectors.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -17,8 +17,8 @@ Equal vectors are one node with a count, so copies are not expanded into pairs.
 `audit` measures recall against brute force on a bounded set of queries.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link
-with nothing, as do rows without a vec_id; vectors of another length than the commonest link with
-nothing; rows that share a vec_id are separate vectors that count each; an empty table gives none; other columns,
+with nothing, as do rows without a vec_id; vectors link with vectors of their own length only (a shard
+holds one length); rows that share a vec_id are separate vectors that count each; an empty table gives none; other columns,
 labels among them, are not read.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scoped, small, written
 from .components import components
 from .minhash import groups
 
@@ -39,6 +39,8 @@ THRESHOLD = 0.9
 #: Vectors of a shard to aim at, shards that a vector is in, and the most of a group.
 SHARD, OVERLAP, CAP = 1500, 6, 5000
 SAMPLE_ROWS, MOST_CENTRES, SEED = 20_000, 4096, 11
+#: What the length counts in a shard's number.
+LENGTH = 1 << 20
 #: Candidates, edges before their reverses, pruning factor, beam.
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 #: Nearest ones that pruning never drops, and edges with the reverse ones.
@@ -198,19 +200,29 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
-    """first (least vec_id), vector, n of every distinct vector of the commonest length."""
-    rows = usable(vectors)
-    length = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    rows = rows.where(F.size("vector") == (length["length"] if length else 0))
-    return written(rows.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).select("first", "vector", "n"))
+    """first (least vec_id), vector, n of every distinct vector."""
+    return written(usable(vectors).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).select("first", "vector", "n"))
+
+
+def even(lists: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors of the lists' first `width` numbers, zeros after a shorter one's end."""
+    flat, lengths = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths())
+    begins = np.cumsum(lengths) - lengths
+    out = np.zeros((len(lengths), width))
+    for length in np.unique(lengths):
+        own, most = np.flatnonzero(lengths == length), min(int(length), width)
+        out[own, :most] = flat[begins[own][:, None] + np.arange(most)]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
 def dealt(nodes: DataFrame) -> DataFrame:
-    """shard, i, j, block, first, vector, n, shards: the groups' members."""
+    """shard (by length and centre), i, j, block, first, vector, n, shards: the groups' members."""
     total = nodes.count()
     n = max(1, min(MOST_CENTRES, round(total * OVERLAP / SHARD)))
     chosen = nodes.orderBy(F.xxhash64("first"), "first").limit(SAMPLE_ROWS).select("first", "vector").collect()  # SAMPLE_ROWS at most
-    sample = unit(np.array([r["vector"] for r in sorted(chosen, key=lambda r: r["first"])], float)) if chosen else np.zeros((1, 1))
+    lists = pa.array([r["vector"] for r in sorted(chosen, key=lambda r: r["first"])], pa.list_(pa.float64()))
+    width = max(map(len, lists.to_pylist()), default=1)
+    sample = even(lists, width) if chosen else np.zeros((1, width))
     centre = centres(sample, n)
     overlap = min(OVERLAP, len(centre))
     schema = nodes.schema
@@ -219,15 +231,15 @@ def dealt(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
-                x = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1))
-                close = x @ centre.T
-                top = np.sort(np.argpartition(-close, overlap - 1, axis=1)[:, :overlap], axis=1).astype(np.int32)
+                close = even(part.column(1), width) @ centre.T
+                top = np.sort(np.argpartition(-close, overlap - 1, axis=1)[:, :overlap], axis=1)
+                top = top + np.asarray(part.column(1).value_lengths()).astype(np.int64)[:, None] * LENGTH
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * overlap), pa.array(top.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*schema.names, "shards"])
 
-    placed = nodes.mapInArrow(run, "first long, vector array<double>, n long, shards array<int>")
+    placed = nodes.mapInArrow(run, "first long, vector array<double>, n long, shards array<long>")
     members = written(placed.select("first", "vector", "n", "shards", F.explode("shards").alias("shard")))
-    sizes = F.broadcast(members.groupBy("shard").agg(F.ceil(F.count("*") / (CAP // 2)).cast("int").alias("half"), F.count("*").alias("size")))  # MOST_CENTRES rows at most
+    sizes = small(written(members.groupBy("shard").agg(F.ceil(F.count("*") / (CAP // 2)).cast("int").alias("half"), F.count("*").alias("size"))))
     blocks = F.when(F.col("size") <= CAP, 1).otherwise(F.col("half"))
     block = F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")
     spread = members.join(sizes, "shard").withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -293,7 +305,7 @@ def found(rows: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
                 p, q = p[linked], q[linked]
                 keep_a.append(p)
                 keep_b.append(q)
-                shared = np.where((shards[p][:, :, None] == shards[q][:, None, :]).any(2), shards[p], np.iinfo(np.int32).max).min(1)
+                shared = np.where((shards[p][:, :, None] == shards[q][:, None, :]).any(2), shards[p], np.iinfo(np.int64).max).min(1)
                 mine = shared == group["shard"][0].as_py()
                 np.add.at(count, p[mine], weight[q[mine]])
             a, b = np.concatenate(keep_a or [a]), np.concatenate(keep_b or [b])
@@ -307,6 +319,7 @@ def found(rows: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
     return by_group(joined.select(*columns)).mapInArrow(run, "first long, links long, root long")
 
 
+@scoped
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     nodes = nodes_of(vectors)
@@ -323,8 +336,12 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def audit(vectors: DataFrame, result: DataFrame, queries: int = 200, threshold: float = THRESHOLD) -> float:
-    """Recall of n_links: what `result` has over what brute force finds, for so many vectors of least hash."""
+    """Recall of n_links: what `result` has over what brute force finds, for so many vectors of least hash of the commonest length."""
     good = usable(vectors)
+    length = good.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    if not length:
+        return 1.0
+    good = good.where(F.size("vector") == length["length"])
     chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).collect()  # `queries` at most
     ids, x = np.array([r["vec_id"] for r in chosen], np.int64), unit(np.array([r["vector"] for r in chosen], float))
 
@@ -336,6 +353,6 @@ def audit(vectors: DataFrame, result: DataFrame, queries: int = 200, threshold:
                 total += (near >= threshold).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vec_id", "near"])
 
-    near = good.where(F.size("vector") == x.shape[1]).select("vec_id", "vector").mapInArrow(run, "vec_id long, near long").groupBy("vec_id").agg((F.sum("near") - 1).alias("near"))
+    near = good.select("vec_id", "vector").mapInArrow(run, "vec_id long, near long").groupBy("vec_id").agg((F.sum("near") - 1).alias("near"))
     both = near.join(result.select("vec_id", "n_links"), "vec_id").agg(F.sum("near").alias("near"), F.sum("n_links").alias("found")).first()
     return 1.0 if not both["near"] else both["found"] / both["near"]

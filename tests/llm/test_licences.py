@@ -3,6 +3,8 @@
 import re
 import textwrap
 
+import numpy as np
+
 from waveframe.llm import licences
 
 
@@ -66,3 +68,51 @@ def test_every_template_is_found(spark):
 def test_native(spark, sf_small):
     plan = licences.scan(spark.read.parquet(f"{sf_small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute(text):
+    """families, n_lines and the best family's probability by every run of lines, without the prefilters."""
+    table, biases, temperature = licences.fitted()
+    weights = {}
+    for gram, family, weight in table:
+        weights.setdefault(gram, []).append((family, weight))
+    templates = [(family, licences.grams_of(licences.words_of(t))) for family, ts in licences.TEMPLATES.items() for t in ts]
+    owners = {}
+    for family, grams in templates:
+        for g in grams:
+            owners.setdefault(g, set()).add(family)
+    lines = [licences.words_of(x) for x in text.split("\n")]
+    least = {}
+    for first in range(len(lines)):
+        between = 0
+        for last in range(first, len(lines)):
+            if not lines[last] or between > licences.REACH:
+                break
+            between += len(lines[last]) if last > first else 0
+            words = lines[first] if last == first else lines[first][-licences.REACH :] + [w for x in lines[first + 1 : last] for w in x] + lines[last][: licences.REACH]
+            grams = licences.grams_of(words) & owners.keys()
+            z = np.array(biases)
+            for g in grams:
+                for family, weight in weights.get(g, ()):
+                    z[family] += weight
+            z = z / temperature
+            family, probability = licences.FAMILIES[int(z.argmax())], 1 / np.exp(z - z.max()).sum()
+            cover = max((len(grams & t) / len(t) for f, t in templates if f == family and any(len(owners[g]) == 1 for g in grams & t)), default=0)
+            if grams and probability >= licences.LEAST_PROBABILITY and cover >= licences.LEAST_COVER and first not in least.get(family, {}):
+                least.setdefault(family, {})[first] = (last, probability)
+    n, best = 0, None
+    for family, runs in least.items():
+        left = [(a, b, p) for a, (b, p) in sorted(runs.items()) if not any(c > a and d <= b for c, (d, _) in runs.items())]
+        n += sum(k == 0 or left[k - 1][1] < a for k, (a, _, _) in enumerate(left))
+        best = min([x for x in [best, *[(-p, family) for _, _, p in left]] if x])
+    return ",".join(sorted(least)), n, best[1] if best else None, -best[0] if best else 0.0
+
+
+def test_whole_table_matches_brute_force(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    for r in docs.collect():
+        families, n, family, probability = brute(r["text"] or "")
+        found = got[r["doc_id"]]
+        assert (found["families"], found["n_lines"]) == (families, n), r["doc_id"]
+        assert abs(found["probability"] - probability) < 1e-6 and (family is None or found["family"] == family)

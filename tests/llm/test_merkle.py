@@ -1,5 +1,7 @@
 """Merkle fingerprints: equality, likeness, edits, order."""
 
+from pyspark.sql import functions as F
+
 from waveframe.llm import merkle
 
 
@@ -20,6 +22,14 @@ def test_edits_are_located(spark):
     assert [(x["doc_id"], x["changed_in_a"], x["changed_in_b"]) for x in r] == [(1, [1], [1])]
 
 
+def test_branches_apart_follow_the_tree(spark):
+    rows = [("a\nb\n\nc\nd", "a\nb\n\nc\nx", ["1.1"]), ("a", "a", []), ("a\n\nb", "a", ["1.0"]), ("a\nb", "x\nb\ny", ["0.0", "0.2"]), ("", "a\n\nb", ["0.0", "1.0"])]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, a string, b string")
+    trees = df.select("i", *[merkle.digested(merkle.sections(F.col(c))).alias(c) for c in "ab"])
+    got = trees.select("i", merkle.branches_apart(F.col("a"), F.col("b")).alias("apart")).orderBy("i").collect()
+    assert [r["apart"] for r in got] == [r[2] for r in rows]
+
+
 def test_next_goes_down_and_wraps(spark):
     ids = [*range(0, 4000, 3), 5, 5, None, -7, 10**12]
     rows = [(i, f"t{i}", 0) for i in ids]

@@ -6,6 +6,9 @@ document's digest is the SHA-256 of its children's digests. All three partings a
 strings, so equal roots mean equal texts. The fingerprint string is the root, the sections'
 digests, the paragraphs' and the sentences', the lower levels cut to 16 hex digits.
 
+Edits are located from the root down: where roots differ, sections are compared by their place, and
+only within those that differ paragraphs are.
+
 The likeness of two fingerprints is twice the distinct leaves they share over the sum of both
 counts: 1 for equal texts, about a half for a text of which half was replaced.
 
@@ -45,6 +48,7 @@ def digested(tree: Column) -> Column:
     return F.struct(
         F.sha2(F.array_join(blocks, ","), 256).alias("root"),
         F.transform(blocks, _short).alias("sections"),
+        F.transform(paragraphs, lambda s: F.transform(s, _short)).alias("branches"),
         F.transform(F.flatten(paragraphs), _short).alias("paragraphs"),
         F.transform(F.flatten(F.flatten(tree)), _short).alias("leaves"),
     )
@@ -55,6 +59,19 @@ def fingerprint(tree: Column) -> Column:
     return F.concat_ws("/", tree["root"], F.array_join(tree["sections"], "."), F.array_join(tree["paragraphs"], "."), F.array_join(tree["leaves"], "."))
 
 
+def branches_apart(a: Column, b: Column) -> Column:
+    """array of "section.paragraph" places (from 0) at which two trees of digested() differ, in order."""
+    def places(x, y):
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1), lambda k: ~F.get(x, k).eqNullSafe(F.get(y, k)))
+
+    def within(k):
+        own, other = (F.coalesce(F.get(t["branches"], k), F.array().cast("array<string>")) for t in (a, b))
+        return F.transform(places(own, other), lambda p: F.concat_ws(".", k.cast("string"), p.cast("string")))
+
+    apart = F.flatten(F.transform(places(a["sections"], b["sections"]), within))
+    return F.when(a["root"] == b["root"], F.array().cast("array<string>")).otherwise(apart)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1, of two arrays of distinct leaves."""
     return (2 * F.size(F.array_intersect(a, b))).cast("double") / (F.size(a) + F.size(b)).cast("double")
@@ -106,10 +123,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def edit_check(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last floor(n_chars / 2) code
-    points are replaced by as many first ones of the next document."""
+    points are replaced by as many first ones of the next document, with how many paragraphs differ and
+    where the first of them is (null if the text is as it was)."""
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"), F.expr("substring(next_text, 1, int(floor(char_length(text) / 2)))"))
     rows = with_next(docs).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     trees = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[sections(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
     done = trees.select("doc_id", "n_chars", "edited_sha256", *[digested(F.col(c)).alias(c) for c in ("text", "edited")], F.array_distinct(F.transform(F.flatten(F.flatten("next_text")), _short)).alias("next_leaves"))
-    leaves = done.select("*", F.array_distinct("text.leaves").alias("a"), F.array_distinct("edited.leaves").alias("b"))
-    return leaves.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_leaves")).alias("near_next"))
+    leaves = done.select("*", branches_apart(F.col("text"), F.col("edited")).alias("apart"), F.array_distinct("text.leaves").alias("a"), F.array_distinct("edited.leaves").alias("b"))
+    return leaves.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_leaves")).alias("near_next"), F.size("apart").cast("long").alias("n_edited_paragraphs"), F.get("apart", F.lit(0)).alias("first_edit"))

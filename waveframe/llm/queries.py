@@ -110,14 +110,18 @@ paragraphs AS (
 blocks AS (
   SELECT *, list_transform(pa, lambda s: sha256(array_to_string(s, ','))) AS sa,
             list_transform(pb, lambda s: sha256(array_to_string(s, ','))) AS sb FROM paragraphs),
+apart AS (
+  SELECT *, flatten(list_transform(list_filter(range(greatest(len(sa), len(sb))), lambda k: sa[k + 1] IS DISTINCT FROM sb[k + 1]), lambda k:
+    list_transform(list_filter(range(greatest(coalesce(len(pa[k + 1]), 0), coalesce(len(pb[k + 1]), 0))), lambda p: pa[k + 1][p + 1] IS DISTINCT FROM pb[k + 1][p + 1]), lambda p: k || '.' || p))) AS apart FROM blocks),
 leaves AS (
   SELECT *, list_transform(flatten(flatten(a)), lambda x: left(x, 16)) AS la, list_transform(flatten(flatten(b)), lambda x: left(x, 16)) AS lb,
-            list_transform(flatten(flatten(c)), lambda x: left(x, 16)) AS lc FROM blocks)
+            list_transform(flatten(flatten(c)), lambda x: left(x, 16)) AS lc FROM apart)
 SELECT doc_id, n_chars, edited_sha256,
   sha256(array_to_string(sa, ',')) || '/' || array_to_string(list_transform(sa, lambda x: left(x, 16)), '.') || '/' || array_to_string(list_transform(flatten(pa), lambda x: left(x, 16)), '.') || '/' || array_to_string(la, '.') AS fingerprint,
   sha256(array_to_string(sb, ',')) || '/' || array_to_string(list_transform(sb, lambda x: left(x, 16)), '.') || '/' || array_to_string(list_transform(flatten(pb), lambda x: left(x, 16)), '.') || '/' || array_to_string(lb, '.') AS edited_fingerprint,
   (2 * len(list_intersect(list_distinct(la), list_distinct(lb))))::DOUBLE / (len(list_distinct(la)) + len(list_distinct(lb)))::DOUBLE AS near_edited,
-  (2 * len(list_intersect(list_distinct(la), list_distinct(lc))))::DOUBLE / (len(list_distinct(la)) + len(list_distinct(lc)))::DOUBLE AS near_next
+  (2 * len(list_intersect(list_distinct(la), list_distinct(lc))))::DOUBLE / (len(list_distinct(la)) + len(list_distinct(lc)))::DOUBLE AS near_next,
+  len(apart)::BIGINT AS n_edited_paragraphs, apart[1] AS first_edit
 FROM leaves
 """,
 }

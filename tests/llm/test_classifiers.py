@@ -1,12 +1,15 @@
 """Quality and toxicity: held-out accuracy, edges."""
 
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from waveframe.llm import quality, toxicity
-from waveframe.llm.common import text_bytes
+from waveframe.llm.common import NOT_LETTERS, text_bytes, word_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,6 +61,65 @@ def test_network_gradient_lowers_loss_and_covers_long_texts():
     assert chunks[0, 0] == long[0] and len(long) - 1 in (np.arange(len(chunks))[:, None] * (quality.CHUNK - quality.OVERLAP) + np.arange(quality.CHUNK))[chunks != quality.PAD]
 
 
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    net = quality.Network(rng.normal(size=(257, quality.DEPTH)).astype(np.float32), rng.normal(0, 0.2, (quality.WIDTH * quality.DEPTH, quality.FILTERS)).astype(np.float32), rng.normal(size=quality.FILTERS).astype(np.float32), rng.normal(0, 0.1, 2 * quality.FILTERS + 1).astype(np.float32), np.ones(1, np.float32))
+    net.vectors[quality.PAD] = 0
+    texts = [b"", b"abc", bytes(rng.integers(0, 256, 1024, np.uint8)), bytes(rng.integers(0, 256, 2500, np.uint8))]
+    want = []
+    for text in texts:
+        chunks, at = [], 0
+        while not chunks or at + quality.OVERLAP < len(text):
+            chunks.append([*text[at : at + quality.CHUNK], *[quality.PAD] * (quality.CHUNK - len(text[at : at + quality.CHUNK]))])
+            at += quality.CHUNK - quality.OVERLAP
+        pooled = []
+        for chunk in chunks:
+            seen = net.vectors[chunk].astype(float)
+            pooled.append([max(0.0, max(float((seen[k : k + quality.WIDTH].reshape(-1) * net.filters[:, f]).sum()) for k in range(quality.CHUNK - quality.WIDTH + 1)) + net.shift[f]) for f in range(0, quality.FILTERS, 6)])
+        most, mean = np.max(pooled, 0), np.mean(pooled, 0)
+        want.append((most, mean))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    chunks, row = quality.chunked(data, offsets)
+    x = net.features(net.pooled(chunks), row, np.diff(offsets))
+    for got, (most, mean) in zip(x, want, strict=True):
+        assert np.allclose(got[: quality.FILTERS : 6], most, atol=1e-3) and np.allclose(got[quality.FILTERS : 2 * quality.FILTERS : 6], mean, atol=1e-3)
+    z = x @ net.out + net.bias
+    assert np.allclose(net.scores(data, offsets), 1 / (1 + np.exp(-z.astype(float))), atol=1e-6)
+
+
+def test_grades_equal_a_plain_count_of_words(spark):
+    rows = [(i, f"stupid{i % 2}word zzz" if i % 4 == 0 else "a kind word", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    texts = ["", "kind", "stupid0word", "STUPID1word zzz Zzz stupid0word", "zzz " * 30_000]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["t"] for r in toxicity.score(own, model, name="t").collect()}
+
+    def hashed(words):
+        data, offsets = text_bytes(pa.array(words, pa.large_string()))
+        return [int(h) for h in word_hashes(data, offsets, NOT_LETTERS)[0]]
+
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    for i, text in enumerate(texts):
+        words, counts = re.findall("[a-z]+", text.lower()), {}
+        row, features, _ = toxicity.features(pa.array([text.lower()], pa.large_string()))
+        assert set(hashed(words)) <= set(features.tolist())
+        for h in features.tolist():
+            counts[h] = counts.get(h, 0) + 1
+        z = sum(np.log1p(n) * weights.get(h, 0.0) for h, n in counts.items())
+        above = [1 / (1 + np.exp(-(z - c))) for c in model.cuts]
+        assert np.allclose([got[i]["score"], got[i]["severity"]], [above[0], sum(above)]) and got[i]["grade"] == sum(a >= 0.5 for a in above)
+
+
+def test_repeated_labelled_rows_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] * 2, "doc_id long, quality int, toxic int")
+    found = quality.sample(docs, labels, "quality", 10, F.col("text")).collect()
+    assert len(found) == 10 and len({r["doc_id"] for r in found}) == 10
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None), (2, 1, 0)]])
 def test_few_labels(spark, rows):
     docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (2, "text", "q"), (None, "x" * 50_000, "q")], "doc_id long, text string, score string")
@@ -75,7 +137,5 @@ def test_empty(spark, tables):
 
 
 def test_text_bytes_of_slices():
-    import pyarrow as pa
-
     data, offsets = text_bytes(pa.array(["ab", "c", "", "def"], pa.large_string()).slice(1, 3))
     assert bytes(data) == b"cdef" and offsets.tolist() == [0, 1, 1, 4]

@@ -5,14 +5,14 @@ document. Bytes have learned vectors; learned filters over five bytes run along
 are max-pooled. A document's features are each filter's greatest and mean chunk value and the
 logarithm of its length; a logistic unit combines them into the probability of label 1.
 
-It is fitted on the driver from `train_rows` labelled rows at most (those with the least hash of
-doc_id), of which texts over `train_chars` characters are seen through eight equally spaced
-windows. Scoring sees every byte of every text and runs in tasks, one step of texts at a time.
+It is fitted on the driver from the whole texts of `train_rows` labelled documents at most (those
+with the least hash of doc_id). Scoring sees every byte of every text and runs in tasks, one step of
+texts at a time.
 
 Defined results: null and empty texts are scored from the bias and length alone; rows without a
 label, or with a null one, are not learned from; if the labels have fewer than two classes every
-score is the share of label 1 (0.5 without labels); repeated rows count each; other columns are
-not read.
+score is the share of label 1 (0.5 without labels); repeated rows count each in the result, and of rows
+that share a labelled doc_id the least text is learned from; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import steps, text_bytes, text_of
 CHUNK, OVERLAP, WIDTH, DEPTH, FILTERS = 1024, 64, 5, 4, 24
 PAD = 256
 THRESHOLD = 0.3
-TRAIN_ROWS, TRAIN_CHARS, WINDOWS = 4000, 8192, 8
+TRAIN_ROWS = 4000
 SEED = 7
 
 
@@ -130,21 +130,15 @@ def held_out(doc_id="doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text) -> DataFrame:
-    """`rows` labelled rows at most, held-out ones apart: doc_id, label, text (of the expression given)."""
+    """`rows` labelled documents at most, held-out ones apart: doc_id, label, text (of the expression given)."""
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
+    return found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
 
 
-def windowed(text, chars: int = TRAIN_CHARS, windows: int = WINDOWS):
-    """The whole text, or of a longer one equally spaced windows that add up to `chars`."""
-    n, each = F.char_length(text), chars // windows
-    cuts = [F.substring(text, F.floor((n - each) * k / (windows - 1)).cast("int") + 1, F.lit(each)) for k in range(windows)]
-    return F.when(n <= chars, text).otherwise(F.concat(*cuts))
-
-
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Network | float:
     """The network, or a constant if the labels have fewer than two classes."""
-    rows = sample(docs, labels, "quality", train_rows, windowed(text_of(docs), train_chars)).collect()  # train_rows x train_chars at most
+    rows = sample(docs, labels, "quality", train_rows, text_of(docs)).collect()  # train_rows texts at most
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([min(1, max(0, r["label"])) for r in rows], np.float32)
     if len(set(y.tolist())) < 2:

@@ -88,7 +88,10 @@ def text_of(df: DataFrame, column: str = "text"):
 
 
 def steps(column: pa.Array, limit: int = STEP_BYTES):
-    """Cut an Arrow string column into runs of rows with about `limit` bytes each, in order."""
+    """Cut an Arrow string column into runs of rows with about `limit` bytes each, in order.
+
+    After the last one, memory that Arrow holds but doesn't use goes back: workers live on between tasks.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -102,6 +105,7 @@ def steps(column: pa.Array, limit: int = STEP_BYTES):
         to = min(n, max(at + 1, to))
         yield at, to, column.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

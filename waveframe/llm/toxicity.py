@@ -14,7 +14,8 @@ It is fitted on the driver from `train_rows` labelled rows at most (those with t
 doc_id); their words are hashed in tasks over whole texts. Scoring runs in tasks.
 
 Defined results: null and empty texts have no words and are scored from the cuts alone; if the
-labels have fewer than two classes nothing is toxic; repeated rows count each; other columns
+labels have fewer than two classes nothing is toxic; repeated rows count each in the result, and of
+rows that share a labelled doc_id the least text is learned from; other columns
 pass through `keep` and are not read otherwise.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_LETTERS, steps, text_bytes, text_of, word_hashes
+from .common import NOT_LETTERS, STEP_BYTES, steps, text_bytes, text_of, word_hashes
 from .quality import sample
 
 TRAIN_ROWS = 4000
@@ -117,7 +118,7 @@ def fitted(rows: np.ndarray, words: np.ndarray, counts: np.ndarray, grades: np.n
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ordinal:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, part in steps(batch.column(2)):
+            for lo, hi, part in steps(batch.column(2), STEP_BYTES // 2):
                 row, words, sizes = features(part)
                 order = np.lexsort((words, row))
                 row, words = row[order], words[order]
@@ -160,7 +161,7 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str] = ("doc_id",), name:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, part in steps(batch.column(0)):
+            for lo, hi, part in steps(batch.column(0), STEP_BYTES // 2):
                 row, words, _ = features(part)
                 above = model.above(row, words, hi - lo)
                 grade = (above >= 0.5).sum(1)

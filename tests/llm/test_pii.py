@@ -45,16 +45,28 @@ def digest(spans) -> str:
     return hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
 
 
+def by_kind(spans) -> list[int]:
+    return [sum(k == kind for _, k, _ in spans) for kind in range(len(pii.KINDS))]
+
+
+def reported(docs) -> dict:
+    return {r["doc_id"]: (r["base_sha256"], [r[f"n_{kind}"] for kind in pii.KINDS]) for r in pii.report(docs).collect()}
+
+
 def test_base_spans_match_plain_patterns(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    got = {r["doc_id"]: r["base_sha256"] for r in pii.report(docs).collect()}
-    assert got == {i: digest(plain(t or "")) for i, t in enumerate(TEXTS)}
+    assert reported(docs) == {i: (digest(found), by_kind(found)) for i, t in enumerate(TEXTS) for found in [plain(t or "")]}
+
+
+def test_counts_are_of_each_kind(spark):
+    docs = spark.createDataFrame([(1, "a@b.co c@d.co e@f.co"), (2, "ip 10.0.0.1"), (3, "4111 1111 1111 1111, +4912345678901, +49 1234567890")], "doc_id long, text string")
+    assert {i: n for i, (_, n) in reported(docs).items()} == {1: [3, 0, 0, 0], 2: [0, 1, 0, 0], 3: [0, 0, 1, 2]}
 
 
 def test_whole_table(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
-    want = {r["doc_id"]: digest(plain(r["text"] or "")) for r in docs.collect()}
-    assert {r["doc_id"]: r["base_sha256"] for r in pii.report(docs).collect()} == want
+    want = {r["doc_id"]: (digest(found), by_kind(found)) for r in docs.collect() for found in [plain(r["text"] or "")]}
+    assert reported(docs) == want and any(sum(n) > 1 for _, n in want.values())
 
 
 def test_context_discovers_unseen_identifiers(spark):

@@ -228,10 +228,15 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def n_of(spans: Column, kind: str) -> Column:
+    """How many of the spans are of the kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == F.lit(NUMBERED[kind]))).cast("long")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Counts of base spans by kind, the digest of base spans and all spans of every document."""
     found = find(docs)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind, k in NUMBERED.items()]
+    counts = [n_of(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 

@@ -59,7 +59,7 @@ def test_base_spans_match_plain_patterns(spark):
 
 
 def test_counts_are_of_each_kind(spark):
-    docs = spark.createDataFrame([(1, "a@b.co c@d.co e@f.co"), (2, "ip 10.0.0.1"), (3, "4111 1111 1111 1111, +4912345678901, +49 1234567890")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a@b.co c@d.co e@f.co"), (2, "ip 10.0.0.1"), (3, "4111 1111 1111 1111; +49 1234 5678, +1 (437) 555-0689")], "doc_id long, text string")
     assert {i: n for i, (_, n) in reported(docs).items()} == {1: [3, 0, 0, 0], 2: [0, 1, 0, 0], 3: [0, 0, 1, 2]}
 
 

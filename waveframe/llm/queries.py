@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, merkle, minhash, mixing, pages, pieces, pii, quality, toxicity, vectors
+from . import bpe, licences, merkle, minhash, mixing, pages, pieces, pii, quality, resampling, toxicity, vectors, whitening
 from .common import table
 
 
@@ -48,7 +48,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sentencepiece, op3_vectors, op4_quality, op5_mixing, op6_toxicity, op7_licences, op8_merkle, op9_html, op10_pii)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash, op2_sentencepiece, op3_vectors, op4_quality, op5_mixing, op6_toxicity, op7_licences, op8_merkle, op9_html, op10_pii,
+        op11_bpe, op12_whitening, op13_resampling,
+    )
+}
 
 ORACLES = {
     "op5_mixing": r"""

@@ -142,5 +142,38 @@ SELECT doc_id, n_chars, edited_sha256,
   (2 * len(list_intersect(list_distinct(la), list_distinct(lc))))::DOUBLE / (len(list_distinct(la)) + len(list_distinct(lc)))::DOUBLE AS near_next,
   len(apart)::BIGINT AS n_edited_paragraphs, apart[1] AS first_edit
 FROM leaves
+""",
+    "op13_resampling": r"""
+WITH RECURSIVE texts AS (
+  SELECT true AS own, CAST(doc_id AS BIGINT) AS doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT false, NULL, -row_number() OVER (), coalesce(text, '') FROM benchmark),
+split AS (
+  SELECT own, doc_id, row_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+docs AS (
+  SELECT *, len(w)::BIGINT AS n_words, (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::BIGINT AS n_features FROM split),
+runs AS (
+  SELECT own, row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM docs),
+counted AS (SELECT own, row_id, f, count(*) AS n FROM runs GROUP BY ALL),
+crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(f), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), crc_table),
+entries AS (SELECT own, row_id, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+sums AS (
+  SELECT b AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t, sum(coalesce(s, 0)) OVER () AS all_s, sum(coalesce(t, 0)) OVER () AS all_t
+  FROM (SELECT unnest(range(10000)) AS b) LEFT JOIN (SELECT bucket, sum(n) FILTER (own)::BIGINT AS s, sum(n) FILTER (NOT own)::BIGINT AS t FROM entries GROUP BY bucket) ON b = bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+weighed AS (SELECT row_id, sum(n * gain)::BIGINT AS weight FROM entries JOIN gains USING (bucket) WHERE own GROUP BY row_id),
+scored AS (
+  SELECT doc_id, n_words, n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weighed USING (row_id) WHERE own),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY n_words < 20, score DESC, doc_id NULLS LAST, weight DESC, n_features DESC, n_words) AS place,
+         5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM placed
 """,
 }

@@ -38,7 +38,9 @@ N_BUCKETS, LONGEST = 10_000, 3
 PERCENT, LEAST_WORDS, SEED = 5, 20, 42
 #: What is no part of a word becomes a space, and A-Z lower case.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-BLOCKS = "doc_ids array<long>, n_words array<long>, n_features array<long>, starts array<int>, buckets array<short>, counts array<int>"
+#: buckets are 16-bit, counts of the block's least width; as binary a block is read and sent without a step for each entry.
+BLOCKS = "doc_ids array<long>, n_words array<long>, n_features array<long>, starts array<int>, buckets binary, counts binary, width int"
+BUCKET = np.dtype("<u2")
 
 
 def pieces(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
@@ -82,22 +84,30 @@ def features(text: str, n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> t
     return buckets, sums[buckets], n_words, n_features
 
 
+def packed(rows: list[tuple[np.ndarray, np.ndarray, int, int]], ids: pa.Array) -> pa.RecordBatch:
+    """A block of the rows that `features` gives."""
+    counts = np.concatenate([r[1] for r in rows])
+    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))).newbyteorder("<"))
+    each = [ids, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([0, *accumulate(len(r[0]) for r in rows)], pa.int32())]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in each]
+    binary = [np.concatenate([r[0] for r in rows]).astype(BUCKET).tobytes(), counts.tobytes()]
+    return pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in binary], pa.array([counts.itemsize], pa.int32())], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
+def unpacked(buckets: pa.Scalar, counts: pa.Scalar, width: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(buckets.as_buffer(), BUCKET), np.frombuffer(counts.as_buffer(), f"<u{width.as_py()}")
+
+
 def count_blocks(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> DataFrame:
     """The matrix as CSR blocks, written: of the documents of a block the ids, words and features, and the
     nonzero counts; those of its k-th document stand from starts[k] to starts[k + 1]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, part in steps(batch.column(1)):
-                rows = [features(t, n_buckets, longest) for t in part.to_pylist()]
-                starts = [0, *accumulate(len(r[0]) for r in rows)]
-                columns = [
-                    batch.column(0).slice(lo, hi - lo), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(starts, pa.int32()),
-                    pa.array(np.concatenate([r[0] for r in rows]).astype(np.int16)), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=[x.split()[0] for x in BLOCKS.split(", ")])
-
-    if n_buckets > 1 << 15:
+            for lo, hi, part in steps(batch.column(1), STEP_BYTES // 2):
+                yield packed([features(t, n_buckets, longest) for t in part.to_pylist()], batch.column(0).slice(lo, hi - lo))
+
+    if n_buckets > 1 << 16:
         raise ValueError("buckets are held as 16 bits")
     return written(docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).mapInArrow(run, BLOCKS))
 
@@ -108,11 +118,13 @@ def column_sums(blocks: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(n_buckets, np.int64)
         for batch in batches:
-            np.add.at(sums, batch.column(0).flatten().to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False))
+            for block in zip(*batch.columns, strict=True):
+                buckets, counts = unpacked(*block)
+                sums += np.bincount(buckets, counts, n_buckets).astype(np.int64)  # exact: a block's sums are far below 2^53
         held = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(sums[held])], names=["bucket", "n"])
 
-    return blocks.select("buckets", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return blocks.select("buckets", "counts", "width").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(source: DataFrame, target: DataFrame, n_buckets: int = N_BUCKETS) -> list[int]:
@@ -131,11 +143,11 @@ def weights(blocks: DataFrame, gain: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                ids, n_words, n_features, starts, buckets, counts = (c[k].values for c in batch.columns)
-                starts = starts.to_numpy()
-                upto = np.concatenate([[0], np.cumsum(held[buckets.to_numpy()] * counts.to_numpy())])
-                yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(upto[starts[1:]] - upto[starts[:-1]])], names=["doc_id", "n_words", "n_features", "weight"])
+            for ids, n_words, n_features, starts, *block in zip(*batch.columns, strict=True):
+                buckets, counts = unpacked(*block)
+                at = starts.values.to_numpy()
+                upto = np.concatenate([[0], np.cumsum(held[buckets] * counts)])
+                yield pa.RecordBatch.from_arrays([ids.values, n_words.values, n_features.values, pa.array(upto[at[1:]] - upto[at[:-1]])], names=["doc_id", "n_words", "n_features", "weight"])
 
     return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 

@@ -111,7 +111,7 @@ def test_decode_in_the_same_task_equals_decode(spark):
 
 
 def test_decode_of_null_and_unknown_ids(spark):
-    rows = spark.createDataFrame([(1, None), (2, []), (3, [320, 60000, -1])], "k int, ids array<int>")
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [320, 60000, -1, None])], "k int, ids array<int>")
     assert {r["k"]: r["decoded"] for r in bpe.decode(rows).collect()} == {1: "", 2: "", 3: LIBRARY.decode([320], skip_special_tokens=False)}
 
 

@@ -39,10 +39,11 @@ from .common import STEP_BYTES, steps
 #: White space at which every chunk ends; what other white space does is left to the file's own rules.
 CHUNK = re.compile("[^ \t\n\r\x0b\x0c]+")
 #: Entries of a generation of the table, and of arcs that are known to be there or not.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 250_000
 #: Longer chunks are encoded each time and not kept.
 KEPT_CHARS = 64
 NEVER = 1 << 62
+HEAD = 3
 #: Chunks of ASCII and Latin-1 letters, which normalising only lower-cases, and their words as SPLIT has them.
 LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -62,14 +63,19 @@ class Automaton:
     """States and arcs after all merges: made[t] is when t's arcs were added, beside those of left[t],
     with a copy of the state behind right[t]; cut[(s, t)] is when state s lost arc t."""
 
-    def __init__(self, symbols: Iterable[str], merges: Iterable[tuple[str, str]]):
+    def __init__(self, symbols: Iterable[str], merges: Iterable[tuple[str, str]], end: str = ""):
         self.left: dict[str, str] = {}
         self.right: dict[str, str] = {}
         self.made: dict[str, int] = dict.fromkeys(symbols, -1)
         self.cut: dict[tuple[str, str], int] = {}
         for now, (a, b) in enumerate(merges):
             self._merge(a, b, now)
-        self.longest = max(map(len, self.made), default=0)
+        self.end = end
+        #: By its first symbols, how far the longest label goes in a word.
+        self.reach: dict[str, int] = {}
+        for label in self.made:
+            own = label.removesuffix(end)
+            self.reach[own[:HEAD]] = max(len(own), self.reach.get(own[:HEAD], 0))
         self.known: dict[str | None, dict[str, bool]] = {}
         self.n_known = 0
 
@@ -104,21 +110,21 @@ class Automaton:
             self.n_known += 1
         return found
 
-    def path(self, word: str, end: str = "") -> list[str]:
-        """The labels of the one path that spells the word, whose last symbol has `end` behind it.
+    def path(self, word: str) -> list[str]:
+        """The labels of the one path that spells the word, whose last symbol has the automaton's `end` behind it.
 
         The longest arc goes first. A place reached is reached by the only path that spells the word so far, so one
         from which the word can't be finished is left for good: no place is gone through twice.
         """
-        if (whole := word + end) in self.made:
+        if (whole := word + self.end) in self.made:
             return [whole]
-        n, made, longest = len(word), self.made, self.longest
+        n, made, reach = len(word), self.made, self.reach
         out: list[str] = []
         starts: list[int] = []
         left = set()
-        at, state, to = 0, None, min(n, longest)
+        at, state, to = 0, None, min(n, reach.get(word[:HEAD], HEAD))
         while True:
-            known = self.known.get(state, {})
+            known = self.known.get(state) or {}
             while to > at:
                 arc = word[at:to] if to < n else whole[at:]
                 if arc in made and to not in left:
@@ -137,7 +143,7 @@ class Automaton:
             if to == n:
                 return out
             starts.append(at)
-            at, state, to = to, arc, min(n, to + longest)
+            at, state, to = to, arc, min(n, to + reach.get(word[to : to + HEAD], HEAD))
 
 
 class Table:
@@ -176,7 +182,7 @@ class Encoder:
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         joined = {a + b for a, b in merges}
-        self.automaton = Automaton((t for t in model["vocab"] if t not in joined), merges)
+        self.automaton = Automaton((t for t in model["vocab"] if t not in joined), merges, self.end)
         self.ids = model["vocab"]
         self.packed = {t: np.int32(i).tobytes() for t, i in self.ids.items()}
         self.special = {x["content"]: x["id"] for x in added}
@@ -188,7 +194,7 @@ class Encoder:
         self.chunks, self.words = Table(entries, self._segment), Table(entries, self._word)
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.packed.__getitem__, self.automaton.path(word, self.end)))
+        return b"".join(map(self.packed.__getitem__, self.automaton.path(word)))
 
     def _split(self, part: str) -> list[str]:
         """The words of a text without special tokens, each a string of one character a byte."""
@@ -218,7 +224,10 @@ class Encoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the ids, joined as the file says; ids without a label have none."""
-        labels = [t for i in ids if (t := self.labels.get(i)) is not None]
+        try:
+            labels = list(map(self.labels.__getitem__, ids))
+        except KeyError:
+            labels = [t for i in ids if (t := self.labels.get(i)) is not None]
         return self.decoder.decode(labels) if self.decoder else " ".join(labels)
 
 
@@ -244,7 +253,10 @@ def _lists(found: list[bytes]) -> pa.Array:
 
 
 def decoded_texts(encoder: Encoder, lists: pa.Array) -> pa.Array:
-    return pa.array([encoder.decode(x or ()) for x in lists.to_pylist()], pa.string())
+    sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    upto = np.cumsum(sizes).tolist()
+    ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).tolist()
+    return pa.array([encoder.decode(ids[lo:hi]) for lo, hi in zip([0, *upto], upto)], pa.string())
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None, table_entries: int = TABLE_ENTRIES) -> DataFrame:

@@ -9,12 +9,15 @@ Window, centring and padding: periodic Hann, centred, padded with zeros.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks as chunk_form
+
 SIZE, HOP = 4096, 1024
 #: Frames of a chunk.
 CHUNK = 64
@@ -140,23 +143,96 @@ def spectral_ensemble(signal: DataFrame, keys: list[str], model: str, algo: str
     return istft(picked(spectra, keys, model, algo), lengths, keys, size, hop)
 
 
+def chunk_ensemble(chunks: DataFrame, keys: list[str], model: str, algo: str = "max", size: int = SIZE, hop: int = HOP, span: int = chunk_form.SIZE) -> DataFrame:
+    """spectral_ensemble of signals in chunk form (keys, model, chunk, samples of `span`): keys, chunk, samples.
+
+    Each chunk of the result gets the members' samples that it needs, which are its own and a frame on either side, in one
+    shuffle; the members' spectra, the choice per bin and the inverse exist within one task's chunk only.
+    """
+    if algo == "avg":
+        return chunk_form.ensemble(chunks, keys, model, "avg", span)
+    lengths = chunk_form.lengths(chunks, [*keys, model], span).groupBy(*keys).agg(F.min("n").alias("n")).where("n > 0")
+    start = F.col("chunk") * F.lit(span).cast("long")
+    stop = F.least(chunk_form.end(span), F.col("n"))
+    last = F.floor((F.col("n") - 1) / span)
+    wanted = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((start - size) / span)), F.least(last, F.floor((stop - 1 + size) / span)))
+    dealt = chunks.join(lengths, keys).where(start < F.col("n")).withColumns({"start": start, "stop": stop}).select(*keys, model, "n", "start", "stop", "samples", F.explode(wanted).alias("chunk"))
+    lo = F.greatest(F.col("start"), F.col("chunk") * F.lit(span).cast("long") - size)
+    hi = F.least(F.col("stop"), (F.col("chunk") + 1) * F.lit(span).cast("long") + size)
+    piece = F.slice("samples", (lo - F.col("start") + 1).cast("int"), F.greatest(F.lit(0).cast("long"), hi - lo).cast("int"))
+    each = F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), lo.alias("at"), piece.alias("x"))))
+    met = dealt.groupBy(*keys, "chunk", "n").agg(each.alias("each"))
+    ranks = F.transform("each", lambda e: F.array_position(F.array_distinct(F.transform("each", lambda o: o["m"])), e["m"]))
+    kernel = _chunk_kernel(algo, size, hop, span)
+    return met.select(*keys, "chunk", kernel(ranks, F.transform("each", lambda e: e["at"]), F.transform("each", lambda e: e["x"]), "chunk", "n").alias("samples"))
+
+
+def _chunk_kernel(algo: str, size: int, hop: int, span: int):
+    half, shape = size // 2, window(size)
+
+    def of(ranks, places, pieces, chunk: int, n: int) -> np.ndarray:
+        begin, length = chunk * span, min(span, n - chunk * span)
+        first = max(0, (begin + half - size) // hop + 1)
+        frames = min(n // hop, -(-(begin + length + half) // hop) - 1) - first + 1
+        base = first * hop - half
+        members = np.zeros((int(max(ranks)), (frames - 1) * hop + size))
+        for rank, at, x in zip(ranks, places, pieces, strict=True):
+            lo, hi = max(0, at - base), min(members.shape[1], at - base + len(x))
+            if lo < hi:
+                members[rank - 1, lo:hi] = x[lo - (at - base) : hi - (at - base)]
+        spectra = [np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * shape, axis=1) for x in members]
+        parts = np.fft.irfft(merged(spectra, algo) if len(spectra) > 1 else spectra[0], n=size, axis=1) * shape
+        sums, weight = np.zeros(members.shape[1]), np.zeros(members.shape[1])
+        for k, part in enumerate(parts):
+            sums[k * hop : k * hop + size] += part
+            weight[k * hop : k * hop + size] += shape**2
+        return (sums / np.where(weight > 1e-10, weight, 1))[begin - base : begin - base + length]
+
+    @F.pandas_udf(chunk_form.SAMPLES)
+    def kernel(ranks: pd.Series, places: pd.Series, pieces: pd.Series, chunk: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([of(*row) for row in zip(ranks, places, pieces, chunk, n, strict=True)], dtype=object)
+
+    return kernel
+
+
 def resampled(x: np.ndarray, rate: int, wanted: int, width: int = 32) -> np.ndarray:
     """x at another rate, by a polyphase filter: a sinc under a Kaiser window, `width` zero crossings to either side."""
     if rate == wanted or not len(x):
         return x
+    return resampled_range(x, 0, len(x), 0, resampled_length(len(x), rate, wanted), rate, wanted, width)
+
+
+def resampled_length(n: int, rate: int, wanted: int) -> int:
+    return -(-n * (wanted // math.gcd(rate, wanted)) // (rate // math.gcd(rate, wanted)))
+
+
+@lru_cache(maxsize=8)
+def polyphase(rate: int, wanted: int, width: int) -> tuple[int, int, int, np.ndarray]:
+    """(up, down, delay, taps by phase) of the filter from one rate to the other."""
     up, down = wanted // math.gcd(rate, wanted), rate // math.gcd(rate, wanted)
     most = max(up, down)
     t = np.arange(-width * most, width * most + 1) / most
     taps = np.sinc(t) * np.kaiser(len(t), 12.0) * up / most
-    taps = np.concatenate([taps, np.zeros(-len(taps) % up)])
-    out = np.arange(-(-len(x) * up // down))
-    phase = (out * down + width * most) % up
-    newest = (out * down + width * most) // up
+    return up, down, width * most, np.concatenate([taps, np.zeros(-len(taps) % up)]).reshape(-1, up)
+
+
+def needed(lo: int, hi: int, rate: int, wanted: int, width: int = 32) -> tuple[int, int]:
+    """The input samples from which the output samples lo to hi are made; they may lie beyond the signal."""
+    up, down, delay, taps = polyphase(rate, wanted, width)
+    return (lo * down + delay) // up - len(taps) + 1, ((hi - 1) * down + delay) // up + 1
+
+
+def resampled_range(x: np.ndarray, offset: int, total: int, lo: int, hi: int, rate: int, wanted: int, width: int = 32) -> np.ndarray:
+    """Output samples lo to hi of a signal of `total` samples, of which x holds those from `offset` on that they need:
+    the phase of an output sample follows from its own number, so ranges are the same as the whole."""
+    up, down, delay, taps = polyphase(rate, wanted, width)
+    out = np.arange(lo, hi)
+    phase, newest = (out * down + delay) % up, (out * down + delay) // up
     sums = np.zeros(len(out))
-    for k, column in enumerate(taps.reshape(-1, up)):  # a filter's taps by phase
+    for k, column in enumerate(taps):
         at = newest - k
-        inside = (at >= 0) & (at < len(x))
-        sums[inside] += column[phase[inside]] * x[at[inside]]
+        inside = (at >= 0) & (at < total)
+        sums[inside] += column[phase[inside]] * x[at[inside] - offset]
     return sums
 
 

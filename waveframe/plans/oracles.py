@@ -175,4 +175,14 @@ best AS (SELECT user_id, frame, bin, re, im FROM (SELECT *, row_number() OVER (P
 back AS (SELECT user_id, frame, p, sum(CASE WHEN bin IN (0, 32) THEN re * cos(pi() * bin * p / 32) ELSE 2 * (re * cos(pi() * bin * p / 32) - im * sin(pi() * bin * p / 32)) END) / 64 AS y FROM best, (SELECT unnest(range(64)) AS p) GROUP BY ALL),
 laid AS (SELECT user_id, frame * 16 + p - 32 AS i, y * (0.5 - 0.5 * cos(pi() * p / 32)) AS a, pow(0.5 - 0.5 * cos(pi() * p / 32), 2) AS b FROM back)
 SELECT l.user_id, i, round(CASE WHEN sum(b) > 1e-10 THEN sum(a) / sum(b) ELSE sum(a) END, 6) + 0.0 AS v FROM laid l JOIN n ON n.user_id = l.user_id WHERE i >= 0 AND i < n.n GROUP BY l.user_id, i""",
+    "chunk_level": f"""WITH {KINDS} SELECT user_id, max(abs(v)) AS peak, round(sqrt(sum(v * v) / count(*)), 12) AS rms, round(20 * log10(sqrt(sum(v * v) / count(*)) + 1e-9), 9) AS loudness, 44100 AS sr,
+  count(DISTINCT event_type)::BIGINT AS channels, (max(i) + 1) / 44100.0::DOUBLE AS duration_s FROM sig GROUP BY user_id""",
+    "chunk_normalize": f"WITH {KINDS}, g AS (SELECT user_id, 0.5623413251903491 / max(abs(v)) AS gain FROM sig GROUP BY user_id) SELECT user_id, event_type, i, v * gain AS v FROM sig JOIN g USING (user_id)",
+    "chunk_residual": f"WITH {VECTORS} SELECT a.vec_id, a.i::BIGINT AS i, a.v::DOUBLE - b.v::DOUBLE AS v FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1 AND b.i = a.i",
+    "chunk_envelope": f"""WITH {SIGNAL}, n AS (SELECT user_id, greatest(1, count(*) // 16) AS step FROM sig GROUP BY user_id)
+SELECT user_id, i // step AS bucket, min(v) AS lo, max(v) AS hi FROM sig JOIN n USING (user_id) GROUP BY user_id, i // step""",
+} | {
+    f"chunk_ensemble_{algo}": f"""WITH {KINDS}, n AS (SELECT user_id, min(n) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM sig GROUP BY ALL) GROUP BY user_id)
+SELECT user_id, i, round({value}, 9) AS v FROM sig JOIN n USING (user_id) WHERE i < n GROUP BY user_id, i"""
+    for algo, value in (("avg", "avg(v)"), ("max", "first(v ORDER BY abs(v) DESC, event_type)"), ("min", "first(v ORDER BY abs(v), event_type)"))
 }

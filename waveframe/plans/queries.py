@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, incremental, jobs, signal, spectral
+from ..operators import catalog, chunks, incremental, jobs, signal, spectral
 from ..sources import readers, writers
 from ..streaming import job_fold as fold_module
 from ..streaming import job_states
@@ -17,6 +17,10 @@ from ..streaming import job_states
 LINES = {"click": "[ensemble] file", "view": "=== loading model (tag) ===", "purchase": "DONE: processed 1 file(s)", "signup": "JOB: processing 1 file(s)", "error": "[manifest] slug_x: 6 entries"}
 
 
+#: Samples of a chunk of the events' short signals.
+EVENT_CHUNK = 32
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -482,7 +486,42 @@ def stft_roundtrip(spark, sf_dir):
 
 def spectral_ensemble(spark, sf_dir):
     s = event_signal(spark, sf_dir, "event_type").where(F.col("event_type").isin("click", "view"))
-    return spectral.spectral_ensemble(s, ["user_id"], "event_type", "max", 64, 16).select("user_id", "i", (F.round("v", 6) + 0.0).alias("v"))
+    held = chunks.chunked(s, ["user_id", "event_type"], EVENT_CHUNK)
+    found = spectral.chunk_ensemble(held, ["user_id"], "event_type", "max", 64, 16, EVENT_CHUNK)
+    return chunks.long_form(found, ["user_id"], EVENT_CHUNK).select("user_id", "i", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def event_chunks(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Events' values in chunk form."""
+    return chunks.chunked(event_signal(spark, sf_dir, *keys), ["user_id", *keys], EVENT_CHUNK)
+
+
+def chunk_level(spark, sf_dir):
+    """Levels of all users, whose event types are the channels; the power is exact and rounded once."""
+    found = chunks.level(event_chunks(spark, sf_dir, "event_type"), ["user_id"], size=EVENT_CHUNK, ch="event_type")
+    return found.select("user_id", "peak", F.round("rms", 12).alias("rms"), F.round("loudness", 9).alias("loudness"), "sr", "channels", "duration_s")
+
+
+def chunk_normalize(spark, sf_dir):
+    return chunks.long_form(chunks.normalize(event_chunks(spark, sf_dir, "event_type"), ["user_id"]), ["user_id", "event_type"], EVENT_CHUNK)
+
+
+def chunk_residual(spark, sf_dir):
+    """Differences of neighbouring embeddings, each one chunk of its own table."""
+    held = load(spark, sf_dir, "embeddings").select("vec_id", F.lit(0).cast("long").alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
+    return chunks.long_form(chunks.residual(held, held.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"]), ["vec_id"])
+
+
+def _chunk_ensemble(algo):
+    def query(spark, sf_dir):
+        found = chunks.ensemble(event_chunks(spark, sf_dir, "event_type"), ["user_id"], "event_type", algo, EVENT_CHUNK)
+        return chunks.long_form(found, ["user_id"], EVENT_CHUNK).withColumn("v", F.round("v", 9))
+
+    return query
+
+
+def chunk_envelope(spark, sf_dir):
+    return chunks.envelope(event_chunks(spark, sf_dir), ["user_id"], 16, EVENT_CHUNK)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -492,4 +531,5 @@ QUERIES = {f.__name__: f for f in (
     job_snapshot, job_actions, job_transitions, crash_recovery, fifo_next, job_fold_stream, stem_classify, cleanup_pick, title_search, format_fields, path_fields, range_slice,
     upload_triage, stft_bins, stft_roundtrip, spectral_ensemble, first_source, title_duration, limited_inputs, newest_jobs, job_by_id, job_states_fold, job_states_stream, first_ready,
     slot_with_fallback, longest_chosen, card_upgrade, metrics_fields, clock_fields, upload_result, rejected_union, stream_plan, one_shot, manifest_files, index_files, peaks_files, wav_files, jobs_files,
-)} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")}
+    chunk_level, chunk_normalize, chunk_residual, chunk_envelope,
+)} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")} | {f"chunk_ensemble_{algo}": _chunk_ensemble(algo) for algo in ("max", "min", "avg")}

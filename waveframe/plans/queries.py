@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog, chunks, incremental, jobs, signal, spectral
-from ..sources import readers, writers
+from ..sources import readers, wav, writers
 from ..streaming import job_fold as fold_module
 from ..streaming import job_states
 
@@ -463,6 +463,15 @@ def wav_files(spark, sf_dir):
     return back.select(F.col("path").cast("long").alias("user_id"), "ch", "i", "v")
 
 
+def wav_source(spark, sf_dir):
+    """Users' signals written as loose 24-bit files of two channels and read back in byte ranges: user_id, ch, i, v."""
+    held = event_chunks(spark, sf_dir).withColumn("samples", F.transform("samples", lambda v: v / 1000)).withColumn("path", F.format_string("%d/%d.wav", F.col("user_id") % 10, F.col("user_id")))
+    both = held.select("path", F.explode(F.array(F.lit(0), F.lit(1))).alias("ch"), "chunk", "samples")
+    wav.write(both, folder := shared_folder(spark), 44100, 24, size=EVENT_CHUNK)
+    back = wav.read(spark, folder, chunk=EVENT_CHUNK)
+    return chunks.long_form(back.withColumn("user_id", F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("long")), ["user_id", "ch"], EVENT_CHUNK)
+
+
 def jobs_files(spark, sf_dir):
     """Jobs written as a table and loaded as after a crash."""
     j = event_jobs(spark, sf_dir).select(F.col("seq").cast("string").alias("id"), "status", "slug", F.col("started").alias("started_at"), F.array(F.lit("a"), "slug").alias("log_tail"))
@@ -531,5 +540,5 @@ QUERIES = {f.__name__: f for f in (
     job_snapshot, job_actions, job_transitions, crash_recovery, fifo_next, job_fold_stream, stem_classify, cleanup_pick, title_search, format_fields, path_fields, range_slice,
     upload_triage, stft_bins, stft_roundtrip, spectral_ensemble, first_source, title_duration, limited_inputs, newest_jobs, job_by_id, job_states_fold, job_states_stream, first_ready,
     slot_with_fallback, longest_chosen, card_upgrade, metrics_fields, clock_fields, upload_result, rejected_union, stream_plan, one_shot, manifest_files, index_files, peaks_files, wav_files, jobs_files,
-    chunk_level, chunk_normalize, chunk_residual, chunk_envelope,
+    chunk_level, chunk_normalize, chunk_residual, chunk_envelope, wav_source,
 )} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")} | {f"chunk_ensemble_{algo}": _chunk_ensemble(algo) for algo in ("max", "min", "avg")}

@@ -175,6 +175,9 @@ best AS (SELECT user_id, frame, bin, re, im FROM (SELECT *, row_number() OVER (P
 back AS (SELECT user_id, frame, p, sum(CASE WHEN bin IN (0, 32) THEN re * cos(pi() * bin * p / 32) ELSE 2 * (re * cos(pi() * bin * p / 32) - im * sin(pi() * bin * p / 32)) END) / 64 AS y FROM best, (SELECT unnest(range(64)) AS p) GROUP BY ALL),
 laid AS (SELECT user_id, frame * 16 + p - 32 AS i, y * (0.5 - 0.5 * cos(pi() * p / 32)) AS a, pow(0.5 - 0.5 * cos(pi() * p / 32), 2) AS b FROM back)
 SELECT l.user_id, i, round(CASE WHEN sum(b) > 1e-10 THEN sum(a) / sum(b) ELSE sum(a) END, 6) + 0.0 AS v FROM laid l JOIN n ON n.user_id = l.user_id WHERE i >= 0 AND i < n.n GROUP BY l.user_id, i""",
+    "manifest_merge": """WITH again AS (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE '%1' AND p_partkey % 2 = 0)
+SELECT p_brand AS slug, p_partkey AS position, 'v' || p_partkey AS id, CASE WHEN p_brand IN (FROM again) THEN 'again' ELSE p_type END AS kind, p_retailprice AS duration_s, 'original' AS inputs
+FROM part WHERE p_brand NOT IN (FROM again) OR p_partkey % 2 = 0""",
     "wav_source": f"WITH {SIGNAL} SELECT user_id, unnest([0, 1])::INT AS ch, i, round_even(v / 1000 * 8388608, 0) / 8388608 AS v FROM sig",
     "chunk_level": f"""WITH {KINDS} SELECT user_id, max(abs(v)) AS peak, round(sqrt(sum(v * v) / count(*)), 12) AS rms, round(20 * log10(sqrt(sum(v * v) / count(*)) + 1e-9), 9) AS loudness, 44100 AS sr,
   count(DISTINCT event_type)::BIGINT AS channels, (max(i) + 1) / 44100.0::DOUBLE AS duration_s FROM sig GROUP BY user_id""",
@@ -187,3 +190,4 @@ SELECT user_id, i // step AS bucket, min(v) AS lo, max(v) AS hi FROM sig JOIN n
 SELECT user_id, i, round({value}, 9) AS v FROM sig JOIN n USING (user_id) WHERE i < n GROUP BY user_id, i"""
     for algo, value in (("avg", "avg(v)"), ("max", "first(v ORDER BY abs(v) DESC, event_type)"), ("min", "first(v ORDER BY abs(v), event_type)"))
 }
+ORACLES["card_merge"] = ORACLES["card_upgrade"]

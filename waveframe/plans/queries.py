@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog, chunks, incremental, jobs, signal, spectral
-from ..sources import readers, wav, writers
+from ..sources import readers, snapshots, wav, writers
 from ..streaming import job_fold as fold_module
 from ..streaming import job_states
 
@@ -397,6 +397,26 @@ def card_upgrade(spark, sf_dir):
     return catalog.upgraded(cards.where("doc_id % 3 != 0"), cards.where("doc_id % 3 != 1").withColumn("audio_ready", F.lit(True)).withColumn("duration_s", F.col("duration_s") + 1), ["slug", "id"])
 
 
+def card_merge(spark, sf_dir):
+    """card_upgrade through a versioned table: the first cards are its first version, a merge brings the refreshed ones."""
+    cards = ready_cards(spark, sf_dir).select("slug", "id", "audio_ready", "duration_s", "doc_id")
+    fresh = cards.where("doc_id % 3 != 1").withColumn("audio_ready", F.lit(True)).withColumn("duration_s", F.col("duration_s") + 1)
+    root = shared_folder(spark)
+    snapshots.commit(cards.where("doc_id % 3 != 0"), root, ["slug", "id"], buckets=8)
+    snapshots.merge(fresh, root, ["slug", "id"], lambda old, new: catalog.upgraded(old, new, ["slug", "id"]))
+    return snapshots.read(spark, root)
+
+
+def manifest_merge(spark, sf_dir):
+    """All brands' manifests as a versioned table, then those of some brands written again with every second record."""
+    p = load(spark, sf_dir, "part").select(F.col("p_brand").alias("slug"), F.col("p_partkey").alias("position"), F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("kind"), F.col("p_retailprice").alias("duration_s"), F.lit("original").alias("input"))
+    root = shared_folder(spark)
+    writers.write_manifest_table(p, root, 8)
+    again = p.where(F.col("slug").endswith("1") & (F.col("position") % 2 == 0)).withColumn("kind", F.lit("again"))
+    writers.write_manifest_table(again, root)
+    return readers.manifest_table(spark, root).select("slug", "position", "id", "kind", "duration_s", F.array_join("inputs", ",").alias("inputs"))
+
+
 def metrics_fields(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_id", F.col("value").alias("duration_s"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") / 8).alias("peak"), F.when(F.col("event_id") % 3 == 0, 0.5).alias("rms"), F.lit(None).cast("double").alias("lufs_approx"), F.element_at(F.array(F.lit(44100), F.lit(48000), F.lit(0)), (F.col("event_id") % 3 + 1).cast("int")).alias("sr"), (F.col("event_id") % 3).cast("int").alias("channels"))
     return catalog.metrics(e).select("event_id", F.array_join("metrics", "|").alias("metrics"))
@@ -540,5 +560,5 @@ QUERIES = {f.__name__: f for f in (
     job_snapshot, job_actions, job_transitions, crash_recovery, fifo_next, job_fold_stream, stem_classify, cleanup_pick, title_search, format_fields, path_fields, range_slice,
     upload_triage, stft_bins, stft_roundtrip, spectral_ensemble, first_source, title_duration, limited_inputs, newest_jobs, job_by_id, job_states_fold, job_states_stream, first_ready,
     slot_with_fallback, longest_chosen, card_upgrade, metrics_fields, clock_fields, upload_result, rejected_union, stream_plan, one_shot, manifest_files, index_files, peaks_files, wav_files, jobs_files,
-    chunk_level, chunk_normalize, chunk_residual, chunk_envelope, wav_source,
+    chunk_level, chunk_normalize, chunk_residual, chunk_envelope, wav_source, card_merge, manifest_merge,
 )} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")} | {f"chunk_ensemble_{algo}": _chunk_ensemble(algo) for algo in ("max", "min", "avg")}

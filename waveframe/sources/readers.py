@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.spectral import resampled
-from . import schemas
+from . import schemas, snapshots
 
 
 def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -85,7 +85,9 @@ def manifests(spark: SparkSession, library: str, mode: str = "last", name: str =
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The index's files; none if it is missing or no object."""
+    """The index's files, of a document or of what writers.write_index left; none if it is missing or no object."""
+    if found := snapshots.current(spark, path):
+        path = f"{path.rstrip('/')}/{found['folders']['']}"
     try:
         whole = spark.read.schema(f"{schemas.INDEX}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     except Exception as e:
@@ -104,12 +106,23 @@ def peaks(spark: SparkSession, glob: str) -> DataFrame:
 
 def index_table(spark: SparkSession, folder: str) -> DataFrame:
     """The index's files as writers.write_index_table leaves them, one JSON line each."""
-    return spark.read.schema(schemas.FILE).json(f"{folder.rstrip('/')}/files")
+    return snapshots.read(spark, folder, schemas.FILE)
+
+
+def index_summary(spark: SparkSession, folder: str) -> dict:
+    """When the index table was generated, and its files' count."""
+    found = snapshots.current(spark, folder)
+    return {"generated": found["about"]["generated"], "count": index_table(spark, folder).count()} if found else {}
+
+
+def manifest_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of all slugs as writers.write_manifest_table leaves them."""
+    return snapshots.read(spark, folder, f"slug string, position long, {schemas.VARIANT}").withColumn("inputs", inputs(F.col("input"))).drop("input")
 
 
 def jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Jobs as writers.write_jobs leaves them, one JSON line each."""
-    return spark.read.schema(schemas.JOB).json(path)
+    """Jobs as writers.write_jobs leaves them, one JSON line each; none if there are none yet."""
+    return snapshots.read(spark, path, schemas.JOB)
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:

@@ -1,4 +1,8 @@
-"""Sinks: manifests, index, peaks, WAV. Spark's committers make each write whole or absent."""
+"""Sinks: manifests, index, jobs, peaks, WAV files as rows.
+
+Jobs, the index and the manifest table are versions (snapshots): a reader sees the old rows or the new ones.
+Folders of manifests and of peaks are overwritten by Spark, which deletes the old files first.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import snapshots
 from .readers import wav_header
 
 
 def write_manifests(variants: DataFrame, folder: str) -> None:
-    """One folder of JSON lines a slug, each slug's records in order of position; only the slugs written are replaced."""
+    """One folder of JSON lines a slug, each slug's records in order of position; only the slugs written are replaced.
+    A write that fails can leave such a slug without records; write_manifest_table can't."""
     rows = variants.repartition("slug").sortWithinPartitions("slug", "position").drop("position")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(folder)
 
 
+def write_manifest_table(variants: DataFrame, folder: str, buckets: int = snapshots.BUCKETS) -> None:
+    """Records of all slugs as one versioned table: those of the slugs written replace these slugs' old ones, at once."""
+    snapshots.merge(variants, folder, ["slug"], kind="json", buckets=buckets)
+
+
 def index_document(files: DataFrame, generated: int) -> DataFrame:
     """The index as one JSON string: generated, count, files by slug. It is one document by its format."""
     each = F.array_sort(F.collect_list(F.struct("slug", *[c for c in files.columns if c != "slug"])))
@@ -23,18 +34,18 @@ def index_document(files: DataFrame, generated: int) -> DataFrame:
 
 
 def write_index(files: DataFrame, folder: str, generated: int) -> None:
-    index_document(files, generated).write.mode("overwrite").text(folder)
+    """The document as the next version."""
+    snapshots.commit(index_document(files, generated), folder, kind="text")
 
 
 def write_index_table(files: DataFrame, folder: str, generated: int) -> None:
-    """The index for a library of any size: files/ has one JSON line a file in ranges of slug, summary/ generated and count."""
-    files.orderBy("slug").write.mode("overwrite").json(f"{folder.rstrip('/')}/files")
-    files.agg(F.lit(generated).cast("long").alias("generated"), F.count("*").alias("count")).write.mode("overwrite").json(f"{folder.rstrip('/')}/summary")
+    """The index for a library of any size: one JSON line a file in ranges of slug, as the next version."""
+    snapshots.commit(files.orderBy("slug"), folder, kind="json", about={"generated": generated})
 
 
 def write_jobs(jobs: DataFrame, folder: str) -> None:
-    """Jobs as JSON lines; a reader sees the old table or the new one, as the committer moves files when all are there."""
-    jobs.write.mode("overwrite").json(folder)
+    """Jobs as JSON lines, the next version: a reader sees the old table or the new one."""
+    snapshots.commit(jobs, folder, kind="json")
 
 
 def write_peaks(envelope: DataFrame, keys: list[str], folder: str) -> None:

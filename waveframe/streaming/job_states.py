@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.catalog import upgraded
 from ..operators.jobs import TERMINAL
+from ..sources import snapshots
 
 MOVES = {("queued", "start"): "running", ("queued", "cancel"): "canceled", ("running", "stop"): "stopped", ("running", "finish"): "done", ("running", "fail"): "failed"} | {(state, "remove"): "removed" for state in TERMINAL}
 OUT = "job string, status string, refused int"
@@ -46,18 +47,16 @@ def states_available(spark: SparkSession, actions: DataFrame, folder: str) -> Da
     return rows.groupBy("job").agg(F.max_by(F.struct("status", "refused"), "epoch").alias("s")).select("job", "s.*")
 
 
-def cards_available(spark: SparkSession, cards: DataFrame, keys: list[str], folder: str) -> DataFrame:
+def cards_available(spark: SparkSession, cards: DataFrame, keys: list[str], folder: str, buckets: int = snapshots.BUCKETS) -> DataFrame:
     """Upsert a stream of cards (keys, columns, audio_ready) and return the table: complete cards stay, pending ones are replaced.
 
-    Every trigger writes a new version from the last one, so a trigger that is run again gives the same.
+    A trigger rewrites only the buckets that its cards' keys are in; one that is run again changes nothing.
     """
-    fields, versions = cards.schema, []
+    fields, root = cards.schema, f"{folder}/cards"
 
     def keep(rows: DataFrame, epoch: int) -> None:
-        versions.append(epoch)
-        old = spark.read.schema(fields).parquet(f"{folder}/cards/{epoch - 1}") if epoch else spark.createDataFrame([], fields)
         last = rows.groupBy(*keys).agg(F.max(F.struct("audio_ready", *[c for c in rows.columns if c not in (*keys, "audio_ready")])).alias("row")).select(*keys, "row.*").select(*rows.columns)
-        upgraded(old, last, keys).write.mode("overwrite").parquet(f"{folder}/cards/{epoch}")
+        snapshots.merge(last, root, keys, lambda old, new: upgraded(old, new, keys), buckets=buckets, epoch=epoch)
 
     cards.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(fields).parquet(f"{folder}/cards/{versions[-1]}") if versions else spark.createDataFrame([], fields)
+    return snapshots.read(spark, root, fields)

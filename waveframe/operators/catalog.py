@@ -13,15 +13,49 @@ ORIGINAL_NAMES = ["original.mp3", "original.wav", "original.flac", "original.m4a
 GROUP_LABELS = {0: "original", 1: "instrumental", 2: "vocals", 3: "other", 4: "diff"}
 
 
-def discover(files: DataFrame, top: str = "top") -> DataFrame:
-    """path, name, size of inputs: mp3 and wav, no dot files, none below an excluded directory; of files with
+def discover(files: DataFrame, top: str = "top", root: str = "") -> DataFrame:
+    """path, name, size of inputs: mp3 and wav, no dot files, none below an excluded directory of the root; of files with
     the same name and size the first by (top level last, path). files: path, size, top (boolean)."""
     name = X.basename(F.col("path"))
-    below = F.exists(F.split("path", "/"), lambda d: d.isin(EXCLUDED_DIRS))
+    plain = root.split("://")[-1].removeprefix("file:").rstrip("/")
+    inside = F.substring_index("path", f"{plain}/", -1) if plain else F.col("path")
+    below = F.exists(F.split(inside, "/"), lambda d: d.isin(EXCLUDED_DIRS))
     kept = files.withColumn("name", name).where(~F.col("name").startswith(".") & F.lower("name").rlike(r"\.(mp3|wav)$") & (F.col(top) | ~below))
     return kept.groupBy("name", "size").agg(F.min_by("path", F.struct(F.col(top), F.col("path"))).alias("path")).select("path", "name", "size")
 
 
+def both_listings(tree: DataFrame, root: DataFrame, top: str = "top") -> DataFrame:
+    """The recursive listing of the input tree and the root's own files, marked by `top`; of equal files discover() prefers the tree's."""
+    columns = ["path", "size"]
+    return tree.select(*columns, F.lit(False).alias(top)).unionByName(root.select(*columns, F.lit(True).alias(top)))
+
+
+def free_names(files: DataFrame, existing: DataFrame, order: str, name: str = "name") -> DataFrame:
+    """files with `stored`, a name that nothing else has: a name's first file (in the order given) keeps it if it is
+    free; each other one gets the smallest number that is free for it, as base_number.ext.
+
+    Names that exist and names that come are taken, so numbers fill the gaps between them. The j-th taken number t of
+    a name (from 0) has t - j free ones before it, so the k-th file's number is k and the taken ones that stand before
+    it by that measure: a window by name instead of a search. existing: name.
+    """
+    coming = files.select(F.col(name).alias("_name")).distinct()
+    there = existing.select(F.col(name).alias("_name")).distinct()
+    base = X.stem(F.col("_name"))
+    parts = F.regexp_extract(base, "^(.*)_([1-9][0-9]{0,17})$", 1), F.regexp_extract(base, "^(.*)_([1-9][0-9]{0,17})$", 2)
+    of = F.concat(parts[0], F.substr("_name", F.char_length(base) + 1))
+    numbered = there.unionByName(coming).distinct().where(parts[1] != "").select(of.alias("_name"), parts[1].cast("long").alias("number"))
+    taken = there.select("_name", F.lit(0).cast("long").alias("number")).unionByName(numbered).join(coming, "_name", "left_semi")
+    before = F.row_number().over(Window.partitionBy("_name").orderBy("number")) - 1
+    places = taken.select("_name", (F.col("number") - before).alias("place"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("_at"))
+    own = (F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1).cast("long")
+    rows = files.withColumn("_at", own)
+    both = places.unionByName(rows.select(F.col(name).alias("_name"), F.col("_at").alias("place"), F.lit(1).alias("side"), "_at"))
+    upto = F.sum(1 - F.col("side")).over(Window.partitionBy("_name").orderBy("place", "side").rowsBetween(Window.unboundedPreceding, 0))
+    numbers = both.withColumn("number", F.col("_at") + upto).where("side = 1").select(F.col("_name").alias("_own"), F.col("_at").alias("_its"), "number")
+    met = rows.join(numbers, rows[name].eqNullSafe(numbers["_own"]) & (rows["_at"] == numbers["_its"]))
+    return met.withColumn("stored", X.numbered(F.col(name), F.col("number"))).select(*files.columns, "stored")
+
+
 def original_of(assets: DataFrame) -> DataFrame:
     """slug, original: the first of the known names that a slug has. assets: slug, rel."""
     place = F.array_position(F.array(*[F.lit(x) for x in ORIGINAL_NAMES]), F.col("rel"))

@@ -77,3 +77,10 @@ def counted(rows: DataFrame, **conditions: Column) -> tuple[DataFrame, Observati
     """rows, and an observation that has `processed` and the number of rows of each condition once rows are read."""
     seen = Observation()
     return rows.observe(seen, F.count("*").alias("processed"), *[F.count_if(c).alias(name) for name, c in conditions.items()]), seen
+
+
+def present_models(models: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """The configured models (column file) whose file is in the listing (column path); with suffixes, of those endings only."""
+    names = files.select(F.substring_index("path", "/", -1).alias("file")).distinct()
+    kept = models.where(F.lower(F.regexp_extract("file", r"(\.[^.]*)$", 1)).isin(list(suffixes))) if suffixes else models
+    return kept.join(names, "file", "left_semi")

@@ -127,3 +127,8 @@ def transition(status: Column, action: Column) -> Column:
     for name, before, after in moves:
         out = F.when((action == name) & status.isin(before), after).otherwise(out)
     return out
+
+
+def new_id() -> Column:
+    """A random id of 12 hex digits; write it once, as each evaluation gives another."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_exact
+
 RATE = 44_100
 BUCKETS = 1600
 EPSILON = 1e-9
@@ -32,9 +34,9 @@ def level(signal: DataFrame, keys: list[str], rate: int = RATE) -> DataFrame:
 
 
 def rounded_level(levels: DataFrame) -> DataFrame:
-    """Levels as records hold them: peak to 4 decimals, rms to 5, loudness to 1, duration to 2."""
+    """Levels as records hold them: peak to 4 decimals, rms to 5, loudness to 1, duration to 2, by their exact values."""
     for name, places in (("peak", 4), ("rms", 5), ("loudness", 1), ("duration_s", 2)):
-        levels = levels.withColumn(name, F.round(name, places))
+        levels = levels.withColumn(name, round_exact(F.col(name), places))
     return levels
 
 

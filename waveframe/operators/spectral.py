@@ -240,3 +240,22 @@ def bins(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Long form of stft(): keys, frame, bin, v as struct(re, im, mag), for ensemble() and to_db()."""
     each = frames.select(*keys, "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
     return each.select(*keys, "frame", "bin", F.struct(F.col("z.re").alias("re"), F.col("z.im").alias("im"), F.sqrt(F.col("z.re") * F.col("z.re") + F.col("z.im") * F.col("z.im")).alias("mag")).alias("v"))
+
+
+def log_bins(size: int, rate: int, rows: int, least: float = 20.0) -> list[int]:
+    """The bin nearest to each of `rows` frequencies from `least` to half the rate, in equal ratios."""
+    top = rate / 2
+    return [min(size // 2, math.floor(least * (top / least) ** (k / max(1, rows - 1)) * size / rate + 0.5)) for k in range(rows)]
+
+
+def log_spectrogram(frames: DataFrame, keys: list[str], size: int = SIZE, rate: int = 44_100, rows: int = 256, amin: float = 1e-5, top: float = 80.0) -> DataFrame:
+    """keys, frame, db (array over frequencies in equal ratios from 20 Hz to half the rate), relative to the signal's greatest
+    magnitude over all its bins and not below -top. frames: those of stft(). A first pass over the frames has each one's greatest
+    magnitude, a second one the few bins that are shown; no bin becomes a row.
+    """
+    size_of = F.zip_with("re", "im", lambda a, b: F.sqrt(a * a + b * b))
+    sizes = frames.select(*keys, "frame", size_of.alias("m"))
+    most = sizes.groupBy(*keys).agg(F.greatest(F.max(F.array_max("m")), F.lit(amin)).alias("most"))
+    shown = F.array(*[F.lit(b) for b in log_bins(size, rate, rows)])
+    db = F.transform(shown, lambda b: F.greatest(20 * F.log10(F.greatest(F.get("m", b), F.lit(amin)) / F.col("most")), F.lit(-top)))
+    return sizes.join(most, keys).select(*keys, "frame", db.alias("db"))

@@ -191,3 +191,27 @@ SELECT user_id, i, round({value}, 9) AS v FROM sig JOIN n USING (user_id) WHERE
     for algo, value in (("avg", "avg(v)"), ("max", "first(v ORDER BY abs(v) DESC, event_type)"), ("min", "first(v ORDER BY abs(v), event_type)"))
 }
 ORACLES["card_merge"] = ORACLES["card_upgrade"]
+ORACLES |= {
+    # printf rounds a double's exact value
+    "rounded_fields": "SELECT event_id, " + ", ".join(f"CAST(printf('%.{k}f', value / 8) AS DOUBLE) AS r{k}" for k in range(6)) + " FROM events",
+    "rounded_levels": f"""WITH {SIGNAL}, l AS (SELECT user_id, max(abs(v)) AS peak, sqrt(sum(v * v) / count(*)) AS rms, count(*) / 44100.0::DOUBLE AS duration_s FROM sig GROUP BY user_id)
+SELECT user_id, CAST(printf('%.4f', peak) AS DOUBLE) AS peak, CAST(printf('%.5f', rms) AS DOUBLE) AS rms, CAST(printf('%.1f', 20 * log10(rms + 1e-9)) AS DOUBLE) AS loudness, CAST(printf('%.2f', duration_s) AS DOUBLE) AS duration_s FROM l""",
+    "stored_names": """WITH coming AS (SELECT p_partkey, 'take' || (p_partkey % 9) || CASE WHEN p_partkey % 7 = 0 THEN '_' || (p_partkey % 4) ELSE '' END AS base FROM part),
+there AS (SELECT DISTINCT 'take' || (s_suppkey % 5) || CASE WHEN s_suppkey % 3 > 0 THEN '_' || (s_suppkey % 11) ELSE '' END AS base FROM supplier),
+files AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS place FROM coming),
+wanted AS (SELECT base, unnest(range(count(*) + (SELECT count(*) FROM there) + (SELECT count(DISTINCT base) FROM coming) + 2)) AS n FROM coming GROUP BY base),
+named AS (SELECT base, n, base || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS stored FROM wanted),
+free AS (SELECT base, stored, row_number() OVER (PARTITION BY base ORDER BY n) AS place FROM named
+  WHERE stored NOT IN (SELECT base FROM there) AND (n = 0 OR stored NOT IN (SELECT base FROM coming)))
+SELECT p_partkey, base || '.wav' AS name, stored || '.wav' AS stored FROM files JOIN free USING (base, place)""",
+    "log_spectrogram": f"""WITH {SIGNAL}, {_frames('sig', 'user_id', 'SELECT user_id, count(*) AS n FROM sig GROUP BY user_id')},
+sizes AS (SELECT user_id, frame, bin, sqrt(re * re + im * im) AS m FROM spectra),
+most AS (SELECT user_id, greatest(max(m), 1e-5) AS most FROM sizes GROUP BY user_id),
+shown AS (SELECT y::INT AS y, least(32, floor(20.0::DOUBLE * pow(22050.0::DOUBLE / 20, y / 11.0::DOUBLE) * 64 / 44100 + 0.5)) AS bin FROM (SELECT unnest(range(12)) AS y))
+SELECT user_id, frame, y, round(greatest(20 * log10(greatest(m, 1e-5) / most), -80.0), 5) + 0.0 AS db FROM sizes JOIN most USING (user_id) JOIN shown USING (bin)""",
+    "both_listings": f"""WITH {FILES}, every AS (SELECT '/srv/output/' || path AS path, name, size, 0 AS top, contains(path, '/models/') AS pruned FROM named
+  UNION ALL SELECT '/srv/output/' || name, name, size, 1, false FROM named)
+SELECT path, name, size FROM (SELECT *, row_number() OVER (PARTITION BY name, size ORDER BY top, path) AS r FROM every WHERE name NOT LIKE '.%' AND regexp_matches(lower(name), '\\.(mp3|wav)$') AND NOT pruned) WHERE r = 1""",
+    "present_models": """WITH m AS (SELECT p_partkey, (p_partkey % 500) || CASE WHEN p_partkey % 2 = 0 THEN '.onnx' ELSE '.ckpt' END AS file FROM part)
+SELECT * FROM m WHERE file IN (SELECT (s_suppkey % 70) || CASE WHEN s_suppkey % 3 = 0 THEN '.ckpt' ELSE '.onnx' END FROM supplier)""",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.numbers import round_exact
 from ..operators import catalog, chunks, incremental, jobs, signal, spectral
 from ..sources import readers, snapshots, wav, writers
 from ..streaming import job_fold as fold_module
@@ -397,6 +398,47 @@ def card_upgrade(spark, sf_dir):
     return catalog.upgraded(cards.where("doc_id % 3 != 0"), cards.where("doc_id % 3 != 1").withColumn("audio_ready", F.lit(True)).withColumn("duration_s", F.col("duration_s") + 1), ["slug", "id"])
 
 
+def rounded_fields(spark, sf_dir):
+    """Events' values over 8 (many exact halves) to 0 to 5 decimals, by their exact values."""
+    x = F.col("value") / 8
+    return load(spark, sf_dir, "events").select("event_id", *[round_exact(x, k).alias(f"r{k}") for k in range(6)])
+
+
+def rounded_levels(spark, sf_dir):
+    """Levels as records hold them."""
+    return signal.rounded_level(chunks.level(event_chunks(spark, sf_dir), ["user_id"], size=EVENT_CHUNK, ch="user_id")).drop("sr", "channels")
+
+
+def stored_names(spark, sf_dir):
+    """Parts as uploads among suppliers' files, with gaps between the numbers that exist."""
+    n = F.col("p_partkey")
+    name = F.concat(F.lit("take"), (n % 9).cast("string"), F.when(n % 7 == 0, F.concat(F.lit("_"), (n % 4).cast("string"))).otherwise(""), F.lit(".wav"))
+    k = F.col("s_suppkey")
+    there = F.concat(F.lit("take"), (k % 5).cast("string"), F.when(k % 3 > 0, F.concat(F.lit("_"), (k % 11).cast("string"))).otherwise(""), F.lit(".wav"))
+    return catalog.free_names(load(spark, sf_dir, "part").select("p_partkey", name.alias("name")), load(spark, sf_dir, "supplier").select(there.alias("name")), "p_partkey")
+
+
+def log_spectrogram(spark, sf_dir):
+    """Twelve frequencies of every frame of every user, in dB."""
+    found = spectral.log_spectrogram(spectral.stft(event_signal(spark, sf_dir), ["user_id"], 64, 16), ["user_id"], 64, 44_100, 12)
+    return found.select("user_id", "frame", F.posexplode("db").alias("y", "db")).withColumn("db", F.round("db", 5) + 0.0)
+
+
+def both_listings(spark, sf_dir):
+    """The pages' files as an input tree and as a root's own files, discovered together below a root."""
+    f = page_files(spark, sf_dir)
+    below = f.select(F.concat(F.lit("/srv/output/"), "path").alias("path"), "size")
+    own = f.select(F.concat(F.lit("/srv/output/"), X.basename(F.col("path"))).alias("path"), "size")
+    return catalog.discover(catalog.both_listings(below, own), root="file:/srv/output")
+
+
+def present_models(spark, sf_dir):
+    """Parts as configured models, kept if a file of that name is among the suppliers'."""
+    models = load(spark, sf_dir, "part").select("p_partkey", F.concat((F.col("p_partkey") % 500).cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".onnx").otherwise(".ckpt")).alias("file"))
+    files = load(spark, sf_dir, "supplier").select(F.concat(F.lit("/models/"), (F.col("s_suppkey") % 70).cast("string"), F.when(F.col("s_suppkey") % 3 == 0, ".ckpt").otherwise(".onnx")).alias("path"))
+    return incremental.present_models(models, files, (".onnx", ".ckpt"))
+
+
 def card_merge(spark, sf_dir):
     """card_upgrade through a versioned table: the first cards are its first version, a merge brings the refreshed ones."""
     cards = ready_cards(spark, sf_dir).select("slug", "id", "audio_ready", "duration_s", "doc_id")
@@ -561,4 +603,5 @@ QUERIES = {f.__name__: f for f in (
     upload_triage, stft_bins, stft_roundtrip, spectral_ensemble, first_source, title_duration, limited_inputs, newest_jobs, job_by_id, job_states_fold, job_states_stream, first_ready,
     slot_with_fallback, longest_chosen, card_upgrade, metrics_fields, clock_fields, upload_result, rejected_union, stream_plan, one_shot, manifest_files, index_files, peaks_files, wav_files, jobs_files,
     chunk_level, chunk_normalize, chunk_residual, chunk_envelope, wav_source, card_merge, manifest_merge,
+    rounded_fields, rounded_levels, stored_names, log_spectrogram, both_listings, present_models,
 )} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")} | {f"chunk_ensemble_{algo}": _chunk_ensemble(algo) for algo in ("max", "min", "avg")}

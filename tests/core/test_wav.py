@@ -59,6 +59,10 @@ def test_ranges_equal_the_whole_file(spark, library, rate, split):
         assert df.rdd.getNumPartitions() > 20
 
 
+def test_empty_folder_has_no_rows(spark, tmp_path):
+    assert wav.read(spark, str(tmp_path)).count() == 0
+
+
 def test_chunks_are_read_by_one_range_each(spark, library):
     counts = wav.read(spark, library, chunk=100, split=777).groupBy("path", "ch", "chunk").count().where("count > 1").count()
     assert counts == 0

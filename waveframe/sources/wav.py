@@ -33,6 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..operators import chunks as chunk_form
 from ..operators.spectral import needed, resampled_length, resampled_range
+from .files import below, opened
 
 NAME = "waveframe_wav"
 SCHEMA = "path string, ch int, chunk long, start long, rate int, samples array<double>"
@@ -42,13 +43,6 @@ PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 UNKNOWN_SIZE = 0xFFFFFFFF
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 @dataclass(frozen=True)
 class Header:
     data: int  # the place of the first sample
@@ -134,8 +128,7 @@ class WavReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         where, path = opened(self.folder)
-        selected = where.get_file_info(fs.FileSelector(path, recursive=True)) if where.get_file_info(path).type == fs.FileType.Directory else [where.get_file_info(path)]
-        files = sorted((f.path, f.size) for f in selected if f.is_file and f.extension.lower() == "wav" and not any(p[:1] in "._" for p in f.path.removeprefix(path).strip("/").split("/") if p))
+        files = [(f.path, f.size) for f in below(where, path, "wav")]
         out, room = [], 0
         for name, size in files:
             for lo in range(0, size, self.split):
@@ -147,7 +140,9 @@ class WavReader(DataSourceReader):
                 room -= hi - lo
         return out
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one part of a source without parts
+            return
         where, _ = opened(self.folder)
         for path, size, lo, hi in partition.ranges:
             with where.open_input_file(path) as file:

@@ -211,3 +211,18 @@ def test_separator(spark):
     frames = spark.createDataFrame([("s", 0, [1.0, 2.0, 3.0])], "slug string, ch int, samples array<double>")
     rows = {r["id"]: r["samples"] for r in plugins.separate(frames, HalfSplit, "t").collect()}
     assert np.allclose(np.add(rows["t_instrumental"], rows["t_vocals"]), [1, 2, 3])
+
+
+def test_replayed_actions_change_nothing_in_later_triggers(spark, tmp_path):
+    schema, rows = "job long, seq long, action string", [(1, 0, "start"), (1, 1, "cancel"), (1, 2, "finish"), (2, 0, "cancel")]
+    got = {}
+    for k, part in enumerate((rows[:2], rows[:3], rows, rows)):
+        spark.createDataFrame(part, schema).coalesce(1).write.json(str(tmp_path / "in" / str(k)))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+
+        def keep(df, _):
+            got.update({r["job"]: (r["status"], r["refused"]) for r in df.collect()})
+
+        job_states.states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    want = {str(r["job"]): (r["status"], r["refused"]) for r in jobs.final_states(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want == {"1": ("done", 1), "2": ("canceled", 0)}

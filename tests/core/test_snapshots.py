@@ -5,7 +5,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from waveframe.operators import catalog
 from waveframe.sources import readers, snapshots, writers
 from waveframe.streaming import job_states
 
@@ -144,4 +143,3 @@ def test_cards_stay_without_new_ones_and_rows_written_follow_the_batch(spark, tm
     after = snapshots.current(spark, str(tmp_path / "out" / "cards"))["folders"]
     assert second[1] == (True, "new") and second[2] == (True, "old") and second[1000] == (False, "new") and len(second) == 401
     assert sum(before.get(b) != f for b, f in after.items()) <= 3
-    assert catalog.upgraded is not None

@@ -1,7 +1,8 @@
 """The states of jobs as a stream: a state machine by job, and cards that are upgraded once they are ready.
 
 A job is queued when its first action comes. Actions within a trigger are taken in the order of seq;
-one that the state doesn't allow is counted and changes nothing. A removed job stays removed.
+one that the state doesn't allow is counted and changes nothing. A removed job stays removed. Actions whose
+seq an earlier trigger has passed are repeats and change nothing.
 """
 
 from __future__ import annotations
@@ -22,18 +23,19 @@ OUT = "job string, status string, refused int"
 
 
 def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, refused = state.get if state.exists else ("queued", 0)
-    rows = pd.concat(batches).drop_duplicates().sort_values("seq")
-    for action in rows["action"]:
+    status, refused, seen = state.get if state.exists else ("queued", 0, -1)
+    rows = pd.concat(batches).drop_duplicates().sort_values(["seq", "action"])
+    new = rows[rows["seq"] > seen]
+    for action in new["action"]:
         after = MOVES.get((status, action))
         status, refused = (status, refused + 1) if after is None else (after, refused)
-    state.update((status, refused))
+    state.update((status, refused, int(max([seen, *new["seq"]]))))
     yield pd.DataFrame({"job": [key[0]], "status": [status], "refused": [refused]})
 
 
 def states(actions: DataFrame) -> DataFrame:
     """job, status, refused of the jobs that a trigger changes. actions: job, seq, action (a stream)."""
-    return actions.select(F.col("job").cast("string").alias("job"), "seq", "action").groupBy("job").applyInPandasWithState(update, OUT, "status string, refused int", "update", GroupStateTimeout.NoTimeout)
+    return actions.select(F.col("job").cast("string").alias("job"), "seq", "action").groupBy("job").applyInPandasWithState(update, OUT, "status string, refused int, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
 def states_available(spark: SparkSession, actions: DataFrame, folder: str) -> DataFrame:

@@ -111,3 +111,61 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
     assert sorted(r["n_chars"] for r in pages.extract(df).collect()) == [0, 1, 399_999]
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def shown(page):
+    return [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|ul|ol|li|div|section|article|body|main|h[1-6]|fieldset|legend)\b[^>]*>", page) if re.sub("<[^>]*>", "", x).strip()]
+
+
+def section(name, kind="section"):
+    return f"<{kind} {name}><h2>A heading</h2>{paragraphs(1)}</{kind}>"
+
+
+LIST = "".join(f"<li><a href=/{k}>Source number {k}</a></li>" for k in range(5))
+
+
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "{}", "<main>{}</main>"])
+@pytest.mark.parametrize("words", [["elementor-widget"], ["widget", "share"], ["notice"], ["popular widget"], ["copyright", "cookies", "social"]])
+def test_containers_of_a_page_builder_keep_their_text(inside, words):
+    if inside == "{}" and len(words) > 1:
+        pytest.skip("without an article, words that hold less than half are believed")
+    body = "".join(f"<div class='{words[k % len(words)]}'>{paragraphs(2)}</div>" for k in range(5))
+    page = inside.format(f"<h1>Title</h1>{body}")
+    assert pages.main_text(f"<html><body><nav>Menu</nav>{page}<footer>f</footer></body></html>").split("\n") == shown(page)
+
+
+@pytest.mark.parametrize("part", [section("id='cookies'"), section("id='related-work'"), section("id='copyright'", "div"), f"<h2>References</h2><ul>{LIST}</ul>", f"<fieldset><legend>Example</legend>{paragraphs(1)}</fieldset>"])
+def test_parts_of_an_article_with_a_heading_stay(part):
+    page = f"<article><h1>Title</h1>{paragraphs(4)}{part}{paragraphs(1)}</article>"
+    assert pages.main_text(f"<body><div class=menu>{LINKS}</div>{page}<div class=related><h3>More</h3>{paragraphs(1)}</div></body>").split("\n") == shown(page)
+
+
+@pytest.mark.parametrize("open_", ["<video src=x>", "<select><option>a", "<button>b", "<aside>also", "<nav>menu", "<audio>"])
+@pytest.mark.parametrize("content", ["article", "main"])
+def test_what_is_never_closed_ends_at_the_content(open_, content):
+    page = f"<{content}><h1>Title</h1>{paragraphs(3)}</{content}>"
+    assert pages.main_text(f"<html><body><div>{open_}</div>{page}</body></html>").split("\n") == shown(page)
+    assert pages.main_text(f"<html><body>{open_}{page}</body></html>").split("\n") == shown(page)
+
+
+def test_articles_within_a_closed_aside_are_not_the_text():
+    page = f"<main><h1>Title</h1>{paragraphs(3)}</main>"
+    assert pages.main_text(f"<body>{page}<aside><article>{paragraphs(2)}</article></aside></body>").split("\n") == shown(page)
+
+
+@pytest.mark.parametrize("comments", ["<div class='comments'>{}</div>", "<section id=comments>{}</section>", "<ol class='commentlist'>{}</ol>", "<div class=comment-list>{}</div>"])
+@pytest.mark.parametrize("post", ["<div id=post><h1>Title</h1>{}</div>", "<article><h1>Title</h1>{}</article>"])
+def test_comments_longer_than_the_post_go(comments, post):
+    page = post.format(paragraphs(2))
+    assert pages.main_text(f"<body><nav>Menu</nav>{page}{comments.format(paragraphs(12))}<footer>f</footer></body>").split("\n") == shown(page)
+
+
+def test_comments_within_the_article_go():
+    page = f"<h1>Title</h1>{paragraphs(3)}"
+    assert pages.main_text(f"<article>{page}<div class=comments><h2>Comments</h2>{paragraphs(2)}</div></article>").split("\n") == shown(page)
+
+
+def test_adverts_within_the_article_go():
+    page = f"<h1>Title</h1>{paragraphs(3)}"
+    advert = f"<div class='ad-slot'>{paragraphs(1)}</div><div class=share>Tell your friends</div>"
+    assert pages.main_text(f"<article>{page}{advert}{paragraphs(2)}</article>").split("\n") == shown(page + paragraphs(2))

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a robust-pruned flat graph on overlapping shards.
 
-1. Shards: centres come from a bounded sample; every distinct vector goes to its `OVERLAP`
-   nearest centres' shards. A shard above `CAP` vectors is dealt into blocks, and each two blocks
+1. Shards: centres come from a bounded sample, those of one dense group become one; every distinct vector goes to its `OVERLAP`
+   nearest centres' shards, but for those where nothing nearest to the centre can be in range. A shard above `CAP` vectors is dealt into blocks, and each two blocks
    are a group of their own, so no group is larger than that and none is searched in part.
 2. Graph: within a group each vector's nearest ones are pruned (a candidate that is nearer to a
    chosen neighbour, by the factor ALPHA, than to the vector is dropped) and edges get their
@@ -9,8 +9,9 @@
 3. Search: within a group, from its medoid, each vector walks greedily over the united lists with
    a beam; from what it finds in range the search expands over neighbours until no new one is in
    range.
-4. Verification: cosines of what was found in double precision. A pair that shares several shards
-   is counted in the first of them alone; components come from each group's own.
+4. Verification: cosines of what was found in double precision give each group's components; an exact check
+   of each component's own pairs follows, so that none within one is lost. A pair that shares several shards
+   is counted in the first of them alone.
 
 Equal vectors are one node with a count, so copies are not expanded into pairs.
 
@@ -39,6 +40,8 @@ THRESHOLD = 0.9
 #: Vectors of a shard to aim at, shards that a vector is in, and the most of a group.
 SHARD, OVERLAP, CAP = 1500, 6, 5000
 SAMPLE_ROWS, MOST_CENTRES, SEED = 20_000, 4096, 11
+#: Centres nearer than this become one if such a share of the pairs of their sampled vectors (so many of each) links.
+MERGED, LINKED_SHARE, LINKED_OF = 0.9, 0.02, 200
 #: What the length counts in a shard's number.
 LENGTH = 1 << 20
 #: Candidates, edges before their reverses, pruning factor, beam.
@@ -106,6 +109,17 @@ def pruned(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def reached(fresh: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """[queries, n] whether an edge leads there from a node that is fresh for the query."""
+    out = np.zeros_like(fresh)
+    for k, own in enumerate(fresh):
+        if own.any():
+            out[k, edges[own]] = True  # places without an edge are -1, the last node
+    last = (edges == fresh.shape[1] - 1).any(1)
+    out[:, -1] = (fresh & last).any(1)
+    return out
+
+
 def searched(x: np.ndarray, edges: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, found) pairs in range, other than a query itself, by beam search and range expansion."""
     n, beam = len(x), min(BEAM, len(x))
@@ -143,25 +157,18 @@ def searched(x: np.ndarray, edges: np.ndarray, least: float) -> tuple[np.ndarray
             top = np.argpartition(-all_near, beam - 1, axis=1)[:, :beam]
             ids[active], near[active], done[active] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_near, all_done))
         hit[np.arange(len(q)), q] = True  # a query's own edges expand too
-        r, c = np.nonzero(hit)
-        while len(r):
-            next_r, next_c = [], []
-            for k in range(0, len(r), STEP // edges.shape[1]):
-                who, at = r[k : k + STEP // edges.shape[1]], c[k : k + STEP // edges.shape[1]]
-                around = edges[at]
-                row = np.repeat(who, edges.shape[1])
-                node = around.reshape(-1)
-                keep = node >= 0
-                row, node = row[keep], node[keep]
-                new = ~hit[row, node]
-                code = np.unique(row[new] * n + node[new])
-                row, node = code // n, code % n
-                inside = np.einsum("kd,kd->k", x[node], x[q[row]]) >= least
-                row, node = row[inside], node[inside]
-                hit[row, node] = True
-                next_r.append(row)
-                next_c.append(node)
-            r, c = np.concatenate(next_r), np.concatenate(next_c)
+        seen |= hit
+        fresh = hit.copy()
+        while fresh.any():
+            around = reached(fresh, edges) & ~seen
+            seen |= around
+            fresh = np.zeros_like(hit)
+            r, c = np.nonzero(around)
+            for k in range(0, len(r), STEP):  # each node is compared with a query once
+                who, at = r[k : k + STEP], c[k : k + STEP]
+                inside = np.einsum("kd,kd->k", x[at], x[q[who]]) >= least
+                fresh[who[inside], at[inside]] = True
+            hit |= fresh
         hit[np.arange(len(q)), q] = False
         r, c = np.nonzero(hit)
         pairs.append((q[r], c))
@@ -215,16 +222,51 @@ def even(lists: pa.Array, width: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def dealt(nodes: DataFrame) -> DataFrame:
-    """shard (by length and centre), i, j, block, first, vector, n, shards: the groups' members."""
+def apart(found: np.ndarray, sample: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The centres without those that stand for the same dense group as a centre with more of the sample: near it, and
+    a good share of the sampled vectors of both link. So a dense group has one shard (dealt into blocks if it is large)."""
+    near = np.concatenate([(sample[k : k + 2000] @ found.T).argmax(1) for k in range(0, len(sample), 2000)])
+    counts = np.bincount(near, minlength=len(found))
+    order = np.argsort(near, kind="stable")
+    ends = np.cumsum(counts)
+    own = [sample[order[max(end - n, end - LINKED_OF) : end]] for n, end in zip(counts, ends, strict=True)]
+    kept: list[int] = []
+    for k in np.argsort(-counts, kind="stable"):
+        close = found[kept] @ found[k] if kept else np.zeros(0)
+        best = np.argsort(-close)[:3]
+        if not any(close[b] >= MERGED and len(own[k]) and (own[k] @ own[kept[b]].T >= threshold).mean() >= LINKED_SHARE for b in best):
+            kept.append(int(k))
+    return found[kept]
+
+
+def reaches(nodes: DataFrame, centre: np.ndarray, width: int, threshold: float) -> np.ndarray:
+    """For each centre the cosine below which a vector can link with none of those nearest to that centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.ones(len(centre))
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                close = even(batch.column(0).slice(lo, 2000), width) @ centre.T
+                np.minimum.at(least, close.argmax(1), close.max(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centre))), pa.array(least)], names=["centre", "least"])
+
+    least = np.ones(len(centre))
+    for k, v in nodes.select("vector").mapInArrow(run, "centre long, least double").groupBy("centre").agg(F.min("least")).collect():  # a row a centre
+        least[k] = v
+    angle = np.arccos(np.clip(least, -1, 1)) + np.arccos(threshold) + 1e-6
+    return np.where(angle < np.pi, np.cos(np.minimum(angle, np.pi)), -2.0)
+
+
+def dealt(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """shard (by length and centre), i, j, block, first, vector, n, shards (-1 fills up): the groups' members."""
     total = nodes.count()
     n = max(1, min(MOST_CENTRES, round(total * OVERLAP / SHARD)))
     chosen = nodes.orderBy(F.xxhash64("first"), "first").limit(SAMPLE_ROWS).select("first", "vector").collect()  # SAMPLE_ROWS at most
     lists = pa.array([r["vector"] for r in sorted(chosen, key=lambda r: r["first"])], pa.list_(pa.float64()))
     width = max(map(len, lists.to_pylist()), default=1)
     sample = even(lists, width) if chosen else np.zeros((1, width))
-    centre = centres(sample, n)
-    overlap = min(OVERLAP, len(centre))
+    centre = apart(centres(sample, n), sample, threshold)
+    overlap, least = min(OVERLAP, len(centre)), reaches(nodes, centre, width, threshold)
     schema = nodes.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +275,14 @@ def dealt(nodes: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 2000)
                 close = even(part.column(1), width) @ centre.T
                 top = np.sort(np.argpartition(-close, overlap - 1, axis=1)[:, :overlap], axis=1)
-                top = top + np.asarray(part.column(1).value_lengths()).astype(np.int64)[:, None] * LENGTH
+                near = np.take_along_axis(close, top, 1)
+                useful = (near >= least[top]) | (near == near.max(1, keepdims=True))
+                top = np.where(useful, top + np.asarray(part.column(1).value_lengths()).astype(np.int64)[:, None] * LENGTH, -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * overlap), pa.array(top.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*schema.names, "shards"])
 
     placed = nodes.mapInArrow(run, "first long, vector array<double>, n long, shards array<long>")
-    members = written(placed.select("first", "vector", "n", "shards", F.explode("shards").alias("shard")))
+    members = written(placed.select("first", "vector", "n", "shards", F.explode("shards").alias("shard")).where("shard >= 0"))
     sizes = small(written(members.groupBy("shard").agg(F.ceil(F.count("*") / (CAP // 2)).cast("int").alias("half"), F.count("*").alias("size"))))
     blocks = F.when(F.col("size") <= CAP, 1).otherwise(F.col("half"))
     block = F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")
@@ -270,6 +314,31 @@ def built(rows: DataFrame) -> DataFrame:
     return lists.groupBy("first").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # a list for each group it is in
 
 
+def counted(x: np.ndarray, root: np.ndarray, shards: np.ndarray, shard: int, block: np.ndarray | None, weight: np.ndarray, threshold: float) -> np.ndarray:
+    """Links of each vector that this group counts: all those within the components that the search found, by an exact
+    check, of pairs that share no earlier shard (there they are counted) and, with blocks, are in different ones."""
+    count = np.zeros(len(x), np.int64)
+    order = np.argsort(root, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        if len(members) < 2:
+            continue
+        own, earlier = x[members], np.where(shards[members] < shard, shards[members], -1)
+        names, place = np.unique(earlier, return_inverse=True)
+        within = np.zeros((len(members), len(names)), np.float32)
+        within[np.arange(len(members))[:, None], place.reshape(earlier.shape)] = 1
+        within[:, names == -1] = 0
+        for lo in range(0, len(members), 512):
+            close = own[lo : lo + 512] @ own.T
+            p, q = np.nonzero(np.abs(close - threshold) < 1e-9)  # products of matrices may round otherwise
+            close[p, q] = np.einsum("kd,kd->k", own[lo + p], own[q])
+            mine = (close >= threshold) & (within[lo : lo + 512] @ within.T == 0)
+            mine[np.arange(len(mine)), lo + np.arange(len(mine))] = False
+            if block is not None:
+                mine &= block[members[lo : lo + 512]][:, None] != block[members][None, :]
+            count[members[lo : lo + 512]] = mine @ weight[members]
+    return count
+
+
 def found(rows: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
     """first, links (by number of vectors), root: of each vector in each group in which it has links."""
 
@@ -290,27 +359,13 @@ def found(rows: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
             edges = np.full((n, max(1, int(counts.max()))), -1, np.int64)
             edges[own, np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)] = at
             a, b = searched(x, edges, threshold - 1e-9)
-            code = np.unique(np.concatenate([a * n + b, b * n + a]))
-            a, b = code // n, code % n
+            parts = [np.einsum("kd,kd->k", x[a[lo : lo + STEP]], x[b[lo : lo + STEP]]) >= threshold for lo in range(0, len(a), STEP)]
+            linked = np.concatenate([*parts, np.zeros(0, bool)])
+            root = local_components(n, a[linked], b[linked])
             i, j, block = group["i"][0].as_py(), group["j"][0].as_py(), group["block"].to_numpy()
             shards = group["shards"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-            count, weight = np.zeros(n, np.int64), group["n"].to_numpy()
-            keep_a, keep_b = [], []
-            for lo in range(0, len(a), STEP):
-                p, q = a[lo : lo + STEP], b[lo : lo + STEP]
-                if i != j:
-                    apart = block[p] != block[q]
-                    p, q = p[apart], q[apart]
-                linked = np.einsum("kd,kd->k", x[p], x[q]) >= threshold
-                p, q = p[linked], q[linked]
-                keep_a.append(p)
-                keep_b.append(q)
-                shared = np.where((shards[p][:, :, None] == shards[q][:, None, :]).any(2), shards[p], np.iinfo(np.int64).max).min(1)
-                mine = shared == group["shard"][0].as_py()
-                np.add.at(count, p[mine], weight[q[mine]])
-            a, b = np.concatenate(keep_a or [a]), np.concatenate(keep_b or [b])
-            some = np.unique(np.concatenate([a, b]))
-            root = local_components(n, a, b)
+            count = counted(x, root, shards, group["shard"][0].as_py(), block if i != j else None, group["n"].to_numpy(), threshold)
+            some = np.flatnonzero(np.bincount(root, minlength=n)[root] > 1)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(ids[root[some]])], names=["first", "links", "root"])
 
@@ -323,7 +378,7 @@ def found(rows: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     nodes = nodes_of(vectors)
-    rows = written(dealt(nodes))
+    rows = written(dealt(nodes, threshold))
     graph = written(built(rows))
     parts = written(found(rows, graph, threshold))
     own = parts.groupBy("first").agg(F.sum("links").alias("links"))

@@ -8,7 +8,7 @@ from waveframe.plans.queries import QUERIES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"]
 WITH_PYTHON = {"stft_bins", "stft_roundtrip", "spectral_ensemble", "job_fold_stream", "job_states_stream", "wav_files", "wav_source"}
-WITH_PYTHON |= {name for name in QUERIES if name.startswith("chunk_")} | {"rounded_levels", "log_spectrogram"}
+WITH_PYTHON |= {name for name in QUERIES if name.startswith("chunk_")} | {"rounded_levels", "log_spectrogram", "log_stream"}
 
 
 @pytest.fixture(scope="module")

@@ -215,3 +215,4 @@ SELECT path, name, size FROM (SELECT *, row_number() OVER (PARTITION BY name, si
     "present_models": """WITH m AS (SELECT p_partkey, (p_partkey % 500) || CASE WHEN p_partkey % 2 = 0 THEN '.onnx' ELSE '.ckpt' END AS file FROM part)
 SELECT * FROM m WHERE file IN (SELECT (s_suppkey % 70) || CASE WHEN s_suppkey % 3 = 0 THEN '.ckpt' ELSE '.onnx' END FROM supplier)""",
 }
+ORACLES["log_stream"] = ORACLES["job_fold_stream"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.numbers import round_exact
 from ..operators import catalog, chunks, incremental, jobs, signal, spectral
-from ..sources import readers, snapshots, wav, writers
+from ..sources import logs, readers, snapshots, wav, writers
 from ..streaming import job_fold as fold_module
 from ..streaming import job_states
 
@@ -294,6 +294,14 @@ def job_fold_stream(spark, sf_dir):
     return fold_module.fold_available(spark, log, shared_folder(spark))
 
 
+def log_stream(spark, sf_dir):
+    """Every job's log as a file of lines, read as a stream of byte ranges and folded."""
+    folder = shared_folder(spark)
+    lines = event_log(spark, sf_dir).withColumn("name", F.col("job").cast("string"))
+    lines.repartition("name").sortWithinPartitions("name", "seq").select("name", "line").write.partitionBy("name").text(f"{folder}/logs")
+    return fold_module.fold_available(spark, logs.stream(spark, f"{folder}/logs", "txt", by="folder"), folder)
+
+
 def stem_classify(spark, sf_dir):
     name = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 0, "_(Instrumental)").when(F.col("doc_id") % 4 == 1, "_Vocals").when(F.col("doc_id") % 4 == 2, " No Vocals").otherwise(""))
     return load(spark, sf_dir, "documents").select("doc_id", catalog.stem_of(name).alias("stem"))
@@ -603,5 +611,5 @@ QUERIES = {f.__name__: f for f in (
     upload_triage, stft_bins, stft_roundtrip, spectral_ensemble, first_source, title_duration, limited_inputs, newest_jobs, job_by_id, job_states_fold, job_states_stream, first_ready,
     slot_with_fallback, longest_chosen, card_upgrade, metrics_fields, clock_fields, upload_result, rejected_union, stream_plan, one_shot, manifest_files, index_files, peaks_files, wav_files, jobs_files,
     chunk_level, chunk_normalize, chunk_residual, chunk_envelope, wav_source, card_merge, manifest_merge,
-    rounded_fields, rounded_levels, stored_names, log_spectrogram, both_listings, present_models,
+    rounded_fields, rounded_levels, stored_names, log_spectrogram, both_listings, present_models, log_stream,
 )} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")} | {f"chunk_ensemble_{algo}": _chunk_ensemble(algo) for algo in ("max", "min", "avg")}

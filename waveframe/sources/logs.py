@@ -4,7 +4,7 @@ An offset is a number of bytes for each file: up to its last line end. A line th
 end is there. A trigger reads the bytes between two offsets in ranges, so a long log is read by many tasks;
 a line belongs to the range that holds its first byte.
 
-Defined results: job is the file's name without its extension, seq the line's first byte, so a line has the same seq
+Defined results: job is the file's name without its extension (or its folder's, after `key=` if it has that), seq the line's first byte, so a line has the same seq
 whenever it is read; bytes that are no UTF-8 become replacement characters; a carriage return at the end goes; empty lines
 are rows; a file that shrinks gives nothing new until it is longer than it was; a folder that isn't there yet is empty.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from posixpath import basename, splitext
+from posixpath import basename, dirname, splitext
 
 import pyarrow as pa
 from pyarrow import fs
@@ -52,6 +52,7 @@ def line_end(file, size: int) -> int:
 class _Logs:
     def __init__(self, options: dict):
         self.folder, self.extension, self.split = options["path"], options.get("extension", "log"), int(options.get("split", SPLIT))
+        self.by_folder = options.get("by") == "folder"
 
     def ends(self) -> dict[str, int]:
         where, path = opened(self.folder)
@@ -69,7 +70,7 @@ class _Logs:
         if partition is None:  # Spark's one part of a source without parts
             return
         where, _ = opened(self.folder)
-        job = splitext(basename(partition.path))[0]
+        job = basename(dirname(partition.path)).split("=", 1)[-1] if self.by_folder else splitext(basename(partition.path))[0]
         with where.open_input_file(partition.path) as file:
             at = partition.lo
             if at > 0:  # the line that the byte before belongs to is another range's, unless it ends there
@@ -130,13 +131,13 @@ class LogSource(DataSource):
         return LogStream(dict(self.options))
 
 
-def read(spark: SparkSession, folder: str, extension: str = "log", split: int = SPLIT) -> DataFrame:
+def read(spark: SparkSession, folder: str, extension: str = "log", split: int = SPLIT, by: str = "file") -> DataFrame:
     """job, seq, line of all whole lines that are there now."""
     spark.dataSource.register(LogSource)
-    return spark.read.format(NAME).options(path=folder, extension=extension, split=split).load()
+    return spark.read.format(NAME).options(path=folder, extension=extension, split=split, by=by).load()
 
 
-def stream(spark: SparkSession, folder: str, extension: str = "log", split: int = SPLIT) -> DataFrame:
+def stream(spark: SparkSession, folder: str, extension: str = "log", split: int = SPLIT, by: str = "file") -> DataFrame:
     """job, seq, line as a stream, of files that grow and files that come."""
     spark.dataSource.register(LogSource)
-    return spark.readStream.format(NAME).options(path=folder, extension=extension, split=split).load()
+    return spark.readStream.format(NAME).options(path=folder, extension=extension, split=split, by=by).load()

@@ -151,3 +151,15 @@ def test_resampling_by_ranges_is_the_same_bits_as_the_whole(rates):
         a, b = max(0, a), min(len(x), b)
         parts.append(spectral.resampled_range(x[a:b], a, len(x), lo, hi, *rates))
     assert np.array_equal(np.concatenate(parts), whole)
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 100, 333, 1599, 3200])
+def test_pyramid_equals_the_envelope_at_any_width(spark, width):
+    rows = [(k, b, -float(v), float(v) + 1) for k, n in (("a", 1), ("b", 2), ("c", 100), ("d", 1023), ("e", 3199)) for b, v in enumerate(RNG.uniform(0, 9, n))]
+    peaks = spark.createDataFrame([r for r in rows if r[1] % 50 != 49 or r[1] > 900], "slug string, bucket long, lo double, hi double")
+    nodes = signal.pyramid(peaks, ["slug"])
+    assert rows_of(signal.from_pyramid(nodes, ["slug"], width)) == rows_of(signal.rebucket(peaks, ["slug"], width))
+
+
+def rows_of(df):
+    return rows(df, "slug", "x", "lo", "hi")

@@ -64,6 +64,35 @@ def rebucket(peaks: DataFrame, keys: list[str], width: int) -> DataFrame:
     return joined.groupBy(*keys, "x").agg(F.coalesce(F.min("lo"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("hi"), F.lit(0.0)).alias("hi"))
 
 
+def pyramid(peaks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, depth, node, lo, hi: the extremes of 2^depth buckets each, up to the depth at which one node has all.
+
+    peaks: keys, bucket, lo, hi. An envelope has fewer than 3,200 buckets, so 12 doublings at most.
+    """
+    spans = peaks.groupBy(*keys).agg(F.ceil(F.log2(F.max("bucket") + 1)).cast("int").alias("top"))
+    placed = peaks.join(spans, keys).select(*keys, "bucket", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("depth"))
+    node = F.floor(F.col("bucket") / F.pow(F.lit(2.0), F.col("depth")))
+    return placed.groupBy(*keys, "depth", node.alias("node")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def from_pyramid(nodes: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """x, lo, hi as rebucket() has them: a column's buckets are two nodes of each depth at most, so what is read
+    grows with the width and the depths and not with the buckets."""
+    spans = nodes.where("depth = 0").groupBy(*keys).agg((F.max("node") + 1).alias("n"))
+    columns = spans.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    first = F.floor(F.col("x") / F.lit(float(width)) * F.col("n"))
+    last = F.greatest(first + 1, F.floor((F.col("x") + 1) / F.lit(float(width)) * F.col("n")))
+    deep = columns.select(*keys, "x", "n", first.alias("first"), last.alias("last"))
+    deep = deep.withColumn("depth", F.explode(F.sequence(F.lit(0), F.ceil(F.log2("n")).cast("int"))))
+    size = F.pow(F.lit(2.0), F.col("depth"))
+    lo, hi = F.ceil(F.col("first") / size), F.floor(F.col("last") / size)
+    # of the whole nodes of a depth, those that no node of the next depth covers
+    ends = F.array(F.when(lo % 2 == 1, lo), F.when(hi % 2 == 1, hi - 1))
+    wanted = deep.select(*keys, "x", "depth", F.explode(F.when(lo < hi, F.array_compact(ends)).otherwise(F.array().cast("array<long>"))).alias("node"))
+    joined = columns.select(*keys, "x").join(wanted, [*keys, "x"], "left").join(nodes, [*keys, "depth", "node"], "left")
+    return joined.groupBy(*keys, "x").agg(F.coalesce(F.min("lo"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("hi"), F.lit(0.0)).alias("hi"))
+
+
 def divergence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """x, delta: the larger of the differences of upper and lower envelopes at the same columns."""
     left = a.select(*keys, "x", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))

@@ -216,3 +216,4 @@ SELECT path, name, size FROM (SELECT *, row_number() OVER (PARTITION BY name, si
 SELECT * FROM m WHERE file IN (SELECT (s_suppkey % 70) || CASE WHEN s_suppkey % 3 = 0 THEN '.ckpt' ELSE '.onnx' END FROM supplier)""",
 }
 ORACLES["log_stream"] = ORACLES["job_fold_stream"]
+ORACLES["envelope_pyramid"] = ORACLES["envelope_rebucket"]

@@ -88,6 +88,11 @@ def envelope_rebucket(spark, sf_dir):
     return signal.rebucket(signal.envelope(event_signal(spark, sf_dir), ["user_id"]), ["user_id"], 120)
 
 
+def envelope_pyramid(spark, sf_dir):
+    """envelope_rebucket read from a pyramid of doubled buckets."""
+    return signal.from_pyramid(signal.pyramid(signal.envelope(event_signal(spark, sf_dir), ["user_id"]), ["user_id"]), ["user_id"], 120)
+
+
 def envelope_divergence(spark, sf_dir):
     e = event_signal(spark, sf_dir, "event_type")
     sides = [signal.rebucket(signal.envelope(e.where(F.col("event_type") == kind).drop("event_type"), ["user_id"]), ["user_id"], 60) for kind in ("click", "view")]
@@ -611,5 +616,5 @@ QUERIES = {f.__name__: f for f in (
     upload_triage, stft_bins, stft_roundtrip, spectral_ensemble, first_source, title_duration, limited_inputs, newest_jobs, job_by_id, job_states_fold, job_states_stream, first_ready,
     slot_with_fallback, longest_chosen, card_upgrade, metrics_fields, clock_fields, upload_result, rejected_union, stream_plan, one_shot, manifest_files, index_files, peaks_files, wav_files, jobs_files,
     chunk_level, chunk_normalize, chunk_residual, chunk_envelope, wav_source, card_merge, manifest_merge,
-    rounded_fields, rounded_levels, stored_names, log_spectrogram, both_listings, present_models, log_stream,
+    rounded_fields, rounded_levels, stored_names, log_spectrogram, both_listings, present_models, log_stream, envelope_pyramid,
 )} | {f"ensemble_{algo}": _ensemble(algo) for algo in ("max", "min", "avg")} | {f"chunk_ensemble_{algo}": _chunk_ensemble(algo) for algo in ("max", "min", "avg")}

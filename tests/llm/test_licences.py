@@ -10,7 +10,7 @@ from waveframe.llm import licences
 
 def test_families(spark, sf_small):
     texts = {
-        None: "none", "": "none", "See the license file": "unknown", "driver license lost": "unknown", "no anchor": "none",
+        None: "none", "": "none", "See the license file": "unknown", "driver license lost": "none", "no anchor": "none",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software")': "mit",
         "x\nSPDX-License-Identifier: BSD-3-Clause\ny": "bsd", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
         "This work is licensed under the GNU General Public License, version 3.": "gpl", "word " * 30_000 + "Released under the MIT License. " + "word " * 10: "mit",
@@ -116,3 +116,53 @@ def test_whole_table_matches_brute_force(spark, sf_small):
         found = got[r["doc_id"]]
         assert (found["families"], found["n_lines"]) == (families, n), r["doc_id"]
         assert abs(found["probability"] - probability) < 1e-6 and (family is None or found["family"] == family)
+
+
+FOREIGN = [
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "MIT License", "SPDX-License-Identifier: 0BSD", "Licensed under the WTFPL", "distributed under the OpenSSL license",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "Not released under the GPL", "This work is not licensed under the MIT license.",
+]
+MENTIONS = ["the nurse got her license in June after the exam", "copyright", "a fishing license costs ten dollars", "The camera comes with a two year warranty", "They were denied permission to land", "the domain of the function is open", "tables are reserved"]
+
+
+def likeliest(text):
+    """Highest probability of all classes but none around an anchor, in plain Python."""
+    table, biases, temperature = licences.fitted()
+    weights, best = {}, 0.0
+    for gram, family, weight in table:
+        weights.setdefault(gram, []).append((family, weight))
+    known = set().union(*(licences.grams_of(licences.words_of(t)) for ts in licences.TEMPLATES.values() for t in ts))
+    paragraphs, words = [[]], None
+    for line in text.split("\n"):
+        words = licences.words_of(line)
+        paragraphs[-1] += words
+        if not words:
+            paragraphs.append([])
+    for words in paragraphs:
+        for i, word in enumerate(words):
+            grams = licences.grams_of(words[max(0, i - licences.BEFORE) : i + licences.AFTER + 1]) & known
+            if re.search(licences.ANCHOR, word) and any(g in weights for g in grams):
+                z = np.array(biases)
+                for g in grams:
+                    for family, weight in weights.get(g, ()):
+                        z[family] += weight
+                e = np.exp((z - z.max()) / temperature)
+                best = max(best, 1 - e[licences.FAMILIES.index(licences.NONE)] / e.sum())
+    return best
+
+
+def test_unknown_comes_from_the_classifier(spark, sf_small):
+    wrapped = ["Words before.\n" + textwrap.fill(t, 22) + "\n\nlicense" for t in FOREIGN[:1]]
+    texts = [*FOREIGN, *MENTIONS, *wrapped, "", "\n\n \n", "license " * 50_000, "the terms of the\n\nlicense", *(r["text"] or "" for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect())]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, FOREIGN[0]), (None, FOREIGN[0]), (0, "x")], "doc_id long, text string")
+    found = licences.scan(df).collect()
+    assert [r["family"] for r in found if r["doc_id"] is None] == ["unknown", "unknown"] and sorted(r["family"] for r in found if r["doc_id"] == 0) == ["none", "unknown"]
+    got = {r["doc_id"]: r for r in found if r["doc_id"]}
+    for i, t in enumerate(texts):
+        if i and not got[i]["families"]:
+            want = likeliest(t)
+            assert got[i]["family"] == ("unknown" if want >= 0.5 else "none"), t
+            assert abs(got[i]["probability"] - (want if want >= 0.5 else 0)) < 1e-6
+    n = len(FOREIGN)
+    assert [got[i]["family"] for i in range(1, n)] == ["unknown"] * (n - 1) and [got[n + i]["family"] for i in range(len(MENTIONS))] == ["none"] * len(MENTIONS)
+    assert got[n + len(MENTIONS)]["family"] == "unknown"

@@ -1,9 +1,10 @@
 """Licence families of documents' paragraphs, scanned in DataFrame operations only.
 
 A multinomial logistic regression over the distinct words, pairs and triples of words of a
-paragraph names its family. It is fitted on the driver from the short templates below, whole and
-in parts and within other words, with texts that merely mention licences as the class unknown;
-a temperature fitted on held-out variants calibrates its probabilities. Its weights are a small
+paragraph names its family, or the class unknown (a statement on licences that is of no family here, or denies
+one) or none (a text that merely mentions such words). It is fitted on the driver from the short statements below,
+whole and in parts and within other words; a temperature fitted on statements and mentions of
+CALIBRATION, which take no part in the fit, calibrates its probabilities. Its weights are a small
 table (their number is fixed by the templates), so scoring is a broadcast join of paragraphs' n-grams with
 it and sums by paragraph. A prediction stands if its probability is at least 0.5 and a
 template of the family confirms it: the paragraph has at least 0.6 of the template's n-grams, and
@@ -15,8 +16,12 @@ as many of those two lines' ends count: twice the longest template. Of confirmed
 each other the shortest count. Only runs with a word of `needed()` are cut into n-grams: without any,
 no template reaches 0.6.
 
-Defined results: null and empty texts and texts with neither an anchor nor a confirmed run have family `none`;
-anchored texts (with one of the words of ANCHOR) in which no run is confirmed have `unknown`; of several confirmed families the
+A document in which no run is confirmed is unknown if the classifier says so of the words around one of its
+anchors (ANCHOR; BEFORE and AFTER words of its paragraph): the probability of all classes but none is at least 0.5 there.
+So a family that no template confirms makes it unknown too.
+
+Defined results: null and empty texts and texts with neither a confirmed run nor such an anchor have family `none`
+and probability 0; an unknown one has the highest such probability; of several confirmed families the
 document's is the one of the highest probability, then by name, and `families` lists all;
 repeated rows count each; other columns are not read.
 """
@@ -32,9 +37,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import small, text_of, written
 
-ANCHOR = r"licen[cs]e|copyright|warrant|spdx|public\s+domain|creative\s+commons|\bcc[\s-]?(by|0)|\b[al]?gpl|redistribut|permission|rights\s+reserved"
+ANCHOR = r"licen[cs]|copyright|warrant|spdx|redistribut|permission|gpl|\breserved\b|\bdomain\b|\bcommons\b|\bcc0?\b"
 # Usual statements of licences.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0", "spdx license identifier apache 2.0", "apache license version 2.0 january 2004 terms and conditions for use reproduction and distribution"],
@@ -53,11 +58,39 @@ TEMPLATES = {
     "public-domain": ["this work is released into the public domain", "this is free and unencumbered software released into the public domain"],
     "proprietary": ["all rights reserved no part of this publication may be reproduced", "copyright all rights reserved", "proprietary and confidential unauthorized copying of this file is strictly prohibited"],
 }
-UNKNOWN = "unknown"
-MENTIONS = ["the driver showed a license to the officer", "see the license file for details", "a license is needed to fish in this lake", "permission from the owner is needed", "the warranty card is in the box", "copyright law is taught in the second year", "the license plate of the car", "please ask for permission before you enter", "a creative commons of ideas", "they warranted a closer look", "licensed under terms that are to be found elsewhere", "the work was released under pressure", "this software is free of charge", "under the terms of the contract", "the general public was not informed", "the public domain of the town", "the version 2.0 of the program", "an international conference on the redistribution of wealth", "the license", "copyright", "license version"]
+UNKNOWN, NONE = "unknown", "none"
+# Usual statements of licences that have no family here. Those of CALIBRATION take no part in the fit.
+FOREIGN = [
+    "the contents of this file are subject to the terms of the common development and distribution license you may not use this file except in compliance with the license",
+    "licensed under the european union public licence version 1.2 or later", "this package is licensed under the artistic license 2.0",
+    "this program and the accompanying materials are made available under the terms of the common public license version 1.0",
+    "distributed under the boost software license version 1.0", "this font software is licensed under the sil open font license version 1.1",
+    "use of this source code is governed by a license that can be found in the license file", "see the license file for details", "license terms are described in the accompanying documentation",
+    "released under the open database license", "spdx license identifier postgresql", "permission is granted to copy and distribute verbatim copies of this document with this notice",
+    "you are free to use copy and modify this software for any purpose without fee", "this software is provided as is without any express or implied warranty", "the public license of this work",
+    "this product is provided under a commercial license and its redistribution needs written permission", "licensed under terms that are to be found elsewhere",
+]
+CALIBRATION = [
+    "this software is distributed under the microsoft public license", "the files in this folder are subject to the terms of the academic free license version 3.0", "released under the python software foundation license",
+    "this work is licensed under the free art license 1.3", "refer to the license for the terms of redistribution", "spdx license identifier ofl 1.1", "copyright holders permit use in source and binary forms under the license below",
+]
+MENTIONS = [
+    "the driver showed a license to the officer", "a license is needed to fish in this lake", "permission from the owner is needed", "the warranty card is in the box", "copyright law is taught in the second year", "the license plate of the car",
+    "please ask for permission before you enter", "a creative commons of ideas", "they warranted a closer look", "the work was released under pressure", "this software is free of charge", "under the terms of the contract",
+    "the general public was not informed", "the public domain of the town", "the version 2.0 of the program", "an international conference on the redistribution of wealth", "license", "copyright", "warranty", "permission",
+    "he lost his driver license on the way to the city", "the bar had its liquor license revoked", "a warrant for their arrest was issued", "the court heard the copyright case in may",
+]
+# Names alone state a family that no template confirms.
+NAMES = {"apache-2.0": "apache license", "mit": "mit license", "gpl": "gpl license", "lgpl": "lgpl license", "agpl": "agpl license", "bsd": "bsd license", "mpl-2.0": "mozilla public license", "isc": "isc license"}
+CALIBRATION_MENTIONS = [
+    "a pilot needs a license and many hours in the air", "the judge signed a search warrant", "she asked for permission to leave the room", "the redistribution of land took years", "poetic license is not a crime",
+    "the band sued over copyright of the song", "the warranty on the fridge ended last year", "their hunting license had expired",
+]
 SEED = 5
 LEAST_PROBABILITY, LEAST_COVER = 0.5, 0.6
-FAMILIES = [*TEMPLATES, UNKNOWN]
+FAMILIES = [*TEMPLATES, UNKNOWN, NONE]
+#: Words before and after an anchor that its window has.
+BEFORE, AFTER = 10, 18
 TOKEN = r"[^a-z0-9.+]+"
 
 
@@ -73,6 +106,11 @@ def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def denied() -> list[str]:
+    """Statements that a work isn't under a licence."""
+    return [re.sub(r"\b(licensed|released) under", r"not \1 under", t) for ts in TEMPLATES.values() for t in ts if re.search(r"\b(licensed|released) under", t)]
+
+
 def needed() -> list[str]:
     """Words of which a text must have one to cover LEAST_COVER of any template: frequent in templates, not in English."""
     plain = set("a all and any as at by for from have in is it may no not of on or part be the this to under with without work you can that are use free code file copy person author extent purpose available 3 2.1 3.0".split())
@@ -101,10 +139,10 @@ def fitted(turns: int = 300, penalty: float = 1e-3) -> tuple[list[tuple[str, int
         at = int(rng.integers(0, len(around) + 1))
         return around[:at] + words + around[at:]
 
-    def examples(times: int):
+    def examples(times: int, unknown: list[str], none: list[str]):
         rows, classes = [], []
         for k, family in enumerate(FAMILIES):
-            for text in TEMPLATES.get(family, MENTIONS):
+            for text in {UNKNOWN: unknown, NONE: none}.get(family) or [*TEMPLATES[family], *([NAMES[family]] if family in NAMES else [])]:
                 for _ in range(times):
                     rows.append([number[g] for g in grams_of(varied(text)) if g in number])
                     classes.append(k)
@@ -120,7 +158,7 @@ def fitted(turns: int = 300, penalty: float = 1e-3) -> tuple[list[tuple[str, int
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    x, y = examples(6)
+    x, y = examples(6, [*FOREIGN, *denied()], MENTIONS)
     one = np.eye(len(FAMILIES))[y]
     w, b = np.zeros((len(known), len(FAMILIES))), np.zeros(len(FAMILIES))
     fast_w, fast_b = np.zeros_like(w), np.zeros_like(b)
@@ -129,7 +167,7 @@ def fitted(turns: int = 300, penalty: float = 1e-3) -> tuple[list[tuple[str, int
         fast_w = 0.9 * fast_w - 2.0 * (x.T @ gap + penalty * w)
         fast_b = 0.9 * fast_b - 2.0 * gap.sum(0)
         w, b = w + fast_w, b + fast_b
-    held, truth = examples(2)
+    held, truth = examples(4, CALIBRATION, CALIBRATION_MENTIONS)
     z = logits(held)
     loss = {t: -np.log(softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.25, 4, 33)}
     table = [(g, k, round(float(w[i, k]), 6)) for i, g in enumerate(known) for k in range(len(FAMILIES)) if abs(w[i, k]) > 0.02]
@@ -198,30 +236,58 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "copy", F.explode(starts).alias("run")).select("doc_id", "copy", "run.line", "run.last", F.array_intersect(grams(F.col("run.words")), known).alias("grams")).where((F.size("grams") >= least) & (F.size(F.filter("grams", lambda g: g.contains(" "))) >= longer))
 
 
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, copy and the distinct windows (words joined by a space) of the anchors of texts."""
+    text = text_of(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.lower(text).alias("text")).where(F.col("text").rlike(ANCHOR))
+    paragraphs = F.filter(F.split("text", r"\n[^a-z0-9+]*\n"), lambda x: x.rlike(ANCHOR))
+
+    def around(words: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.try_element_at(words, i).rlike(ANCHOR))
+        return F.transform(places, lambda i: F.concat_ws(" ", F.slice(words, F.greatest(i - BEFORE, F.lit(1)), F.least(i, F.lit(BEFORE + 1)) + AFTER)))
+
+    each = F.array_distinct(F.flatten(F.transform(paragraphs, lambda x: let(line_words(x), around))))
+    return rows.select("doc_id", "copy", F.explode(each).alias("window"))
+
+
+def scored(long: DataFrame, own: list[str]) -> DataFrame:
+    """own, family and probability of the likeliest class, licensed (probability of all classes but none) of rows with grams (own, gram)."""
+    table, biases, temperature = fitted()
+    weights = F.broadcast(_rows(long.sparkSession, table, "gram string, family int, weight double"))
+    sums = long.join(weights, "gram").groupBy(*own, "family").agg(F.sum("weight").alias("z"))
+    by_own = sums.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("family", "z"))).alias("z"))  # classes are few
+    z = F.transform(F.array(*[F.lit(v) for v in biases]), lambda b, k: (b + F.coalesce(F.try_element_at("z", k), F.lit(0.0))) / temperature)
+    top = by_own.select(*own, z.alias("z")).select(*own, "z", F.array_max("z").alias("most"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("most")))
+    family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("z", F.col("most")).cast("int"))
+    licensed = 1 - F.exp(F.element_at("z", FAMILIES.index(NONE) + 1) - F.col("most")) / total
+    return top.select(*own, family.alias("family"), (1 / total).alias("probability"), licensed.alias("licensed"))
+
+
+def stated(found: DataFrame) -> DataFrame:
+    """doc_id, copy and the highest licensed of the windows (doc_id, copy, window), if it is LEAST_PROBABILITY or more."""
+    known = F.lit(sorted(set().union(*(grams_of(words_of(t)) for ts in TEMPLATES.values() for t in ts))))
+    own = ["doc_id", "copy", "window"]
+    long = found.select(*own, F.explode(F.array_intersect(grams(F.split("window", " ")), known)).alias("gram"))
+    return scored(long, own).groupBy("doc_id", "copy").agg(F.max("licensed").alias("licensed")).where(F.col("licensed") >= LEAST_PROBABILITY)
+
+
 def classified(docs: DataFrame) -> DataFrame:
     """doc_id, copy, line, last, family, probability, confirmed of every run of `lines`."""
-    spark = docs.sparkSession
-    table, biases, temperature = fitted()
-    weights = F.broadcast(_rows(spark, table, "gram string, family int, weight double"))
     families = {}
     for family, ts in TEMPLATES.items():
         for g in set().union(*(grams_of(words_of(t)) for t in ts)):
             families.setdefault(g, set()).add(family)
     cases = [(family, k, g, len(grams_of(words_of(t))), len(families[g]) == 1) for family, ts in TEMPLATES.items() for k, t in enumerate(ts) for g in sorted(grams_of(words_of(t)))]
-    templates = F.broadcast(_rows(spark, cases, "family string, template int, gram string, n int, own boolean"))
+    templates = F.broadcast(_rows(docs.sparkSession, cases, "family string, template int, gram string, n int, own boolean"))
     own = ["doc_id", "copy", "line", "last"]
     each = written(lines(docs).dropDuplicates(own))
     long = each.select(*own, F.explode("grams").alias("gram"))
-    sums = long.join(weights, "gram").groupBy(*own, "family").agg(F.sum("weight").alias("z"))
-    by_line = sums.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("family", "z"))).alias("z"))
-    z = F.transform(F.array(*[F.lit(v) for v in biases]), lambda b, k: (b + F.coalesce(F.try_element_at("z", k), F.lit(0.0))) / temperature)
-    top = by_line.select(*own, z.alias("z")).select(*own, "z", F.array_max("z").alias("most"))
-    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("most")))
-    named = top.select(*own, F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("z", F.col("most")).cast("int")).alias("family"), (1 / total).alias("probability"))
+    named = scored(long, own).drop("licensed")
     cover = long.join(templates, "gram").groupBy(*own, "family", "template").agg((F.count("*") / F.first("n")).alias("cover"), F.max("own").alias("own")).where("own").groupBy(*own, "family").agg(F.max("cover").alias("cover"))
     both = each.select(*own).join(named, own, "left").join(cover, [*own, "family"], "left")
-    stands = (F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("cover") >= LEAST_COVER)
-    return both.select(*own, F.coalesce("family", F.lit(UNKNOWN)).alias("family"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce(stands, F.lit(False)).alias("confirmed"))
+    stands = ~F.col("family").isin(UNKNOWN, NONE) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("cover") >= LEAST_COVER)
+    return both.select(*own, F.coalesce("family", F.lit(NONE)).alias("family"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce(stands, F.lit(False)).alias("confirmed"))
 
 
 def shortest(found: DataFrame) -> DataFrame:
@@ -239,9 +305,13 @@ def scan(docs: DataFrame) -> DataFrame:
     found = shortest(classified(docs).where("confirmed"))
     sure = F.when(F.col("confirmed"), F.struct((-F.col("probability")).alias("order"), "family"))
     by_doc = written(found.groupBy("doc_id", "copy").agg(F.min(sure).alias("best"), F.count_if("begins").alias("n_lines"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families")))  # families are few
-    text = text_of(docs)
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.lower(text).rlike(ANCHOR).alias("anchored"))
-    right = by_doc.select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"), "best", "n_lines", "families")
+    done = by_doc.select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"))
+    # windows are moved, texts are not
+    rest = windows(docs).dropDuplicates()
+    rest = rest.join(small(done), rest["doc_id"].eqNullSafe(done["its_id"]) & (rest["copy"] == done["its_copy"]), "left_anti")
+    unknown = written(stated(rest)).select("doc_id", "copy", F.struct((-F.col("licensed")).alias("order"), F.lit(UNKNOWN).alias("family")).alias("best"), F.lit(0).alias("n_lines"), F.lit("").alias("families"))
+    right = by_doc.unionByName(unknown).select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"), "best", "n_lines", "families")
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("copy"))
     both = slim.join(right, slim["doc_id"].eqNullSafe(right["its_id"]) & (slim["copy"] == right["its_copy"]), "left")
-    family = F.coalesce("best.family", F.when(F.col("anchored"), UNKNOWN), F.lit("none"))
+    family = F.coalesce("best.family", F.lit(NONE))
     return both.select("doc_id", family.alias("family"), F.coalesce(-F.col("best.order"), F.lit(0.0)).alias("probability"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))

@@ -306,8 +306,8 @@ def scan(docs: DataFrame) -> DataFrame:
     sure = F.when(F.col("confirmed"), F.struct((-F.col("probability")).alias("order"), "family"))
     by_doc = written(found.groupBy("doc_id", "copy").agg(F.min(sure).alias("best"), F.count_if("begins").alias("n_lines"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families")))  # families are few
     done = by_doc.select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"))
-    # windows are moved, texts are not
-    rest = windows(docs).dropDuplicates()
+    # written, so that the join isn't pushed below them: windows are moved, texts never
+    rest = written(windows(docs).dropDuplicates())
     rest = rest.join(small(done), rest["doc_id"].eqNullSafe(done["its_id"]) & (rest["copy"] == done["its_copy"]), "left_anti")
     unknown = written(stated(rest)).select("doc_id", "copy", F.struct((-F.col("licensed")).alias("order"), F.lit(UNKNOWN).alias("family")).alias("best"), F.lit(0).alias("n_lines"), F.lit("").alias("families"))
     right = by_doc.unionByName(unknown).select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"), "best", "n_lines", "families")

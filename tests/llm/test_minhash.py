@@ -166,3 +166,38 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.classes(docs).count() == 0
     assert minhash.dedup(docs).count() == 0
+
+
+def test_homes_of_partners():
+    sketch = np.zeros((4, minhash.REGISTERS), np.uint8)
+    sketch[3] = 9
+    ids, homes = minhash.near_homes(sketch, np.array([1, 1, 2, 3]), np.array([7, 8, 8, 9]), np.zeros(4, int), (0, 0))
+    assert sorted(zip(ids.tolist(), homes.tolist(), strict=True)) == [(0, 8), (1, 8), (2, 7), (2, 8)]
+    ids, _ = minhash.near_homes(sketch, np.array([1, 1, 2, 3]), np.array([7, 8, 8, 9]), np.array([0, 1, 1, 0]), (0, 1))
+    assert sorted(set(ids.tolist())) == [0, 2]
+
+
+def test_a_loose_group_sends_a_text_once_for_each_block(spark, monkeypatch):
+    random.seed(8)
+    words, rows = [f"v{i}" for i in range(300)], []
+    base = random.choices(words, k=100)
+    for k in range(240):
+        text = base[:]
+        for _ in range(random.randint(1, 2)):
+            text[random.randrange(100)] = random.choice(words)
+        rows.append((k, " ".join(text)))
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)
+    sizes, kept = [], minhash.written
+
+    def counted(df):
+        out = kept(df)
+        if set(out.columns) == {"doc_id", "label", "home", "h", "k"}:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    for block, copies in ((1024, 1.1), (60, 4.5)):  # 60: homes and buckets of several blocks each
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "HOME", block)
+        assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()} == want
+        assert sizes.pop() <= copies * len(rows)

@@ -14,14 +14,16 @@ similarity of 0.8 a pair shares none with probability (1 - 0.8^6)^36 < 0.00002.
 
 Candidates come twice. First every document proposes one partner: the least document of its
 bucket, the one that most of its buckets have. Proposals are verified exactly from the texts and
-components are joined. Then buckets that still hold two components are searched to their end, in
-tasks of two blocks each (at most 1,024 documents and 32 MB of text a block, so no group is in one task): of pairs of
-different components, those whose signatures estimate 0.66 or more (five standard deviations below
-0.8) are verified exactly there, unless links found before have joined them; a pair that shares several
-buckets is left to the first. Only links leave a task, never lists of pairs.
+components are joined. Then buckets that still hold two components are searched to their end, in two
+passes of tasks of two blocks each (at most 1,024 documents a block, so no group is in one task). The first has
+signatures only, block by block of every bucket, and says of each document which homes hold a partner of
+another component whose signature estimates 0.66 or more (five standard deviations below 0.8). A home is a block of the documents whose proposals lead to the same
+document in four steps, of at most 2,048 documents and 32 MB of text. The second has the texts of two homes, each document once
+for every home that holds a partner, however many buckets they share: pairs of different components with such an estimate are verified
+exactly there, unless links found before have joined them. Only documents and links leave a task, never lists of pairs.
 
 Exact copies are one node from the start. Ids, keys and signatures are shuffled, texts only of
-documents that share a bucket.
+documents that share a bucket, and in the search only of those with a partner left: one copy of a text for each home of its partners.
 
 Defined results: texts without words (null and empty ones too) and rows without a doc_id are
 classes of their own; a text of fewer than five words is one run; rows that share a doc_id are one
@@ -46,8 +48,8 @@ REGISTERS = BANDS * WIDTH
 SIZE, THRESHOLD, LEAST_ESTIMATE = 5, 0.8, 0.66
 #: For rounding: similarities are fractions that lie further apart.
 SLACK = 1e-9
-#: Documents and bytes of text of a block.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Documents of a block of a bucket; documents and bytes of text of a home.
+BLOCK, HOME, HOME_BYTES = 1024, 2048, 32 << 20
 
 
 def weighted_runs(part: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,32 +248,80 @@ def first_proposals(members: DataFrame) -> DataFrame:
     return votes.groupBy("doc_id").agg(F.max_by("low", F.struct(F.col("count"), -F.col("low"))).alias("a")).select("a", F.col("doc_id").alias("b"))
 
 
+def near_homes(sketch, label, home, block, own, least: float = LEAST_ESTIMATE) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and homes, each pair once: which rows have a partner of another label in which home, or are it, of the blocks {own}.
+
+    Rows of the commonest label don't ask, as their partners of other labels do. If the blocks differ, pairs are across them.
+    """
+    homes, at = np.unique(home, return_inverse=True)
+    values, parent = np.unique(label, return_inverse=True)
+    counts = np.bincount(parent)
+    quiet = counts.argmax() if counts.max() > 1 else -1
+    asks = np.flatnonzero(parent != quiet)
+    mark = np.zeros((len(label), len(homes)), bool)
+    for lo in range(0, len(asks), 16):
+        who = asks[lo : lo + 16]
+        near = (sketch[who][:, None, :] == sketch[None, :, :]).mean(2) >= least
+        near &= parent[who][:, None] != parent[None, :]
+        if own[0] != own[1]:
+            near &= block[who][:, None] != block[None, :]
+        i, j = np.nonzero(near)
+        mark[who[i], at[j]] = True
+        mark[j, at[who[i]]] = True
+    row, which = np.nonzero(mark)
+    return row, homes[which]
+
+
+def homes_of(named: DataFrame, tested: DataFrame) -> DataFrame:
+    """doc_id, label, home of the rows (doc_id, label, bytes), home being a number of the block and the document that proposals (a, b) lead to in four steps."""
+    led = tested.select(F.col("b").alias("doc_id"), F.col("a").alias("led"))
+    for _ in range(2):  # two steps, then four
+        further = led.select(F.col("doc_id").alias("led"), F.col("led").alias("further"))
+        led = written(led.join(further, "led", "left").select("doc_id", F.coalesce("further", "led").alias("led")))
+    each = written(named.select("doc_id", "label", "bytes").distinct().join(led, "doc_id", "left").withColumn("led", F.coalesce("led", "doc_id")))
+    blocks = F.greatest(F.ceil(F.count("*") / HOME), F.ceil(F.sum("bytes") / HOME_BYTES))
+    sizes = each.groupBy("led").agg(blocks.cast("int").alias("blocks"))
+    # homes are named by a hash: two that share a name are searched as one
+    return each.join(sizes, "led").select("doc_id", "label", F.xxhash64("led", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).alias("home"))
+
+
 def searched(members: DataFrame, held: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between components, from the buckets (band, doc_id) that hold more than one and aren't just a pair of `tested`."""
     named = members.select("band", "doc_id").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     named = written(named.join(held.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")), "doc_id"))
-    parted = named.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("low < high")
+    parted = named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("low < high")
     parted = parted.join(tested.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left").where("n > 2 OR known IS NULL")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    rows = named.drop("bytes").join(written(parted.select("band", blocks.alias("blocks"))), "band")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "doc_id").join(held, "doc_id")
+    rows = written(named.join(written(parted.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))), "band"))
+    homes = written(homes_of(rows, tested))
+    dealt = rows.select("band", "doc_id", "blocks").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id").join(homes, "doc_id").join(held.select("doc_id", "sketch"), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
-            ids = group["doc_id"].to_numpy()
-            if len(ids) < 2:
+            if len(group) < 2:
                 continue
-            sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            bands = pa.concat_arrays(group["bands"].chunks).flatten().to_numpy().reshape(len(ids), -1)
+            sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(group), -1)
+            ids, label, home, block = (group[c].to_numpy() for c in ("doc_id", "label", "home", "block"))
+            row, other = near_homes(sketch, label, home, block, (group["i"][0].as_py(), group["j"][0].as_py()))
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], label[row], home[row], np.minimum(home[row], other), np.maximum(home[row], other))], names=["doc_id", "label", "home", "h", "k"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 2):
+            sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(group), -1)
             texts = pa.concat_arrays([c.cast(pa.large_string()) for c in group["text"].chunks])
-            own = group["i"][0].as_py(), group["j"][0].as_py()
-            found = found_links(ids, sketch, bands, texts, group["label"].to_numpy(), group["block"].to_numpy(), own, group["band"][0].as_py(), threshold)
+            ids, label, home = (group[c].to_numpy() for c in ("doc_id", "label", "home"))
+            own = group["h"][0].as_py(), group["k"][0].as_py()
+            found = found_links(ids, sketch, np.zeros((len(ids), 1), np.int64), texts, label, home, own, 0, threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    spread = dealt.select("band", "i", "j", "block", "label", "doc_id", "sketch", "bands", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return spread.mapInArrow(run, "a long, b long").where("a < b").distinct()
+    # as a number, so that small tables don't become few tasks: pairs cost time, not bytes
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = dealt.select("band", "i", "j", "block", "label", "doc_id", "home", "sketch").repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    asked = written(spread.mapInArrow(estimate, "doc_id long, label long, home long, h long, k long").distinct())
+    paired = asked.join(held.select("doc_id", "sketch", "text"), "doc_id").select("h", "k", "doc_id", "label", "home", "sketch", "text").repartition(tasks, "h", "k").sortWithinPartitions("h", "k")
+    return paired.mapInArrow(verify, "a long, b long").where("a < b").distinct()
 
 
 @scoped

@@ -302,9 +302,8 @@ def job_fold_stream(spark, sf_dir):
 def log_stream(spark, sf_dir):
     """Every job's log as a file of lines, read as a stream of byte ranges and folded."""
     folder = shared_folder(spark)
-    lines = event_log(spark, sf_dir).withColumn("name", F.col("job").cast("string"))
-    lines.repartition("name").sortWithinPartitions("name", "seq").select("name", "line").write.partitionBy("name").text(f"{folder}/logs")
-    return fold_module.fold_available(spark, logs.stream(spark, f"{folder}/logs", "txt", by="folder"), folder)
+    logs.write(event_log(spark, sf_dir), f"{folder}/logs")
+    return fold_module.fold_available(spark, logs.stream(spark, f"{folder}/logs"), folder)
 
 
 def stem_classify(spark, sf_dir):

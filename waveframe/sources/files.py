@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from typing import TypeVar
+
 from pyarrow import fs
 
+#: Files of a task at most, whatever their sizes: opening a small file takes longer than reading it.
+FILES_EACH = 1024
+#: Threads for what the driver does file by file (pyarrow waits without Python's lock).
+THREADS = 16
+T = TypeVar("T")
+
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
@@ -18,3 +27,16 @@ def below(where: fs.FileSystem, path: str, extension: str) -> list[fs.FileInfo]:
     found = where.get_file_info(fs.FileSelector(path, recursive=True)) if info.type == fs.FileType.Directory else [info]
     hidden = lambda f: any(p[:1] in "._" for p in f.path.removeprefix(path).strip("/").split("/") if p)
     return sorted((f for f in found if f.is_file and f.extension.lower() == extension and not hidden(f)), key=lambda f: f.path)
+
+
+def dealt(ranges: Iterable[tuple[T, int]], split: int) -> list[list[T]]:
+    """Ranges, given with their bytes, as the lists that tasks read: up to `split` bytes and FILES_EACH files each."""
+    out, room = [], 0
+    for found, size in ranges:
+        size += split // FILES_EACH
+        if not out or size > room or len(out[-1]) >= FILES_EACH:
+            out.append([])
+            room = split
+        out[-1].append(found)
+        room -= size
+    return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +24,17 @@ STATE = "phase string, phase_seq long, progress double, slug string, slug_seq lo
 
 def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     phase, phase_seq, progress, slug, slug_seq, done, lines = state.get if state.exists else (None, -1, 0.0, None, 1 << 62, False, 0)
-    for rows in batches:
+    for rows in batches:  # most jobs are short: numpy rather than pandas, which takes longer for each call
         lines += len(rows)
-        progress = max([progress, *rows["progress"].dropna()])
-        done = done or bool(rows["done"].any())
-        seen = rows[rows["phase"].notna()]
-        if len(seen) and (last := seen.loc[seen["seq"].idxmax()])["seq"] > phase_seq:
-            phase, phase_seq = last["phase"], int(last["seq"])
-        named = rows[rows["slug"].notna()]
-        if len(named) and (first := named.loc[named["seq"].idxmin()])["seq"] < slug_seq:
-            slug, slug_seq = first["slug"], int(first["seq"])
+        seq = rows["seq"].to_numpy()
+        progress = np.fmax.reduce(rows["progress"].to_numpy(np.float64), initial=progress)
+        done = done or bool(rows["done"].to_numpy().any())
+        seen = np.flatnonzero(rows["phase"].notna().to_numpy())
+        if len(seen) and seq[last := seen[seq[seen].argmax()]] > phase_seq:
+            phase, phase_seq = rows["phase"].iat[last], int(seq[last])
+        named = np.flatnonzero(rows["slug"].notna().to_numpy())
+        if len(named) and seq[first := named[seq[named].argmin()]] < slug_seq:
+            slug, slug_seq = rows["slug"].iat[first], int(seq[first])
     state.update((phase, phase_seq, float(progress), slug, slug_seq, done, lines))
     yield pd.DataFrame({"job": [key[0]], "phase": [phase], "progress": [float(progress)], "slug": [slug], "done": [done], "lines": [lines]})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waveframe.functions import text as X
 from waveframe.operators import catalog, incremental, jobs, plugins, signal, spectral
+from waveframe.plans.queries import peaks_files
 from waveframe.sources import readers, writers
 from waveframe.streaming import job_fold, job_states
 
@@ -47,6 +48,30 @@ def test_byte_range(spark, header, want):
     assert tuple(df.select(catalog.byte_range(F.col("size"), F.col("header")).alias("r")).select("r.*").first()) == want
 
 
+def test_long_positions_equal_positions_in_slices(spark):
+    n = F.col("id")
+    rows = spark.range(6000).select((n % 3).alias("key"), F.when(n % 50 > 0, (n * 7919) % 1000 - 300).alias("by"), n.alias("id"), F.sin("id").alias("v"))
+    rows = rows.select("*", F.struct("by", "id").alias("at"))
+    found = signal.long_positions(rows, ["key"], "by", "at", "v", 100)
+    want = signal.positions(rows, ["key"], "at", "v").select("key", "i", "v", F.lit(2000).cast("long").alias("n"))
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert signal.long_positions(rows.limit(0), ["key"], "by", "at", "v").count() == 0
+    assert sorted(signal.envelope(found, ["key"], 16).collect()) == sorted(signal.envelope(want.drop("n"), ["key"], 16).collect())
+
+
+def test_peaks_of_few_long_signals_are_dealt_to_many_tasks(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(signal, "SLICE_ROWS", 500)
+    held = []
+    monkeypatch.setattr(writers, "write_peaks", lambda envelope, keys, folder: held.append(envelope))
+    monkeypatch.setattr(readers, "peaks", lambda spark, glob: spark.createDataFrame([], "path string, bucket int, lo double, hi double"))
+    seen = []
+    kept = signal.envelope
+    monkeypatch.setattr(signal, "envelope", lambda s, *rest: seen.append(s) or kept(s, *rest))
+    peaks_files(spark, sf_small)
+    counts = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) > 5000 and max(counts) < sum(counts) / 8
+
+
 @pytest.mark.parametrize(("n", "buckets"), [(1, 1), (1599, 1599), (1600, 1600), (3199, 3199), (3200, 1600), (3201, 1601)])
 def test_envelope_lengths(spark, n, buckets):
     s = spark.range(n).select(F.lit("a").alias("id"), F.col("id").alias("i"), F.sin("id").alias("v")).select("id", "i", "v")

@@ -14,6 +14,8 @@ from ..functions.numbers import round_exact
 RATE = 44_100
 BUCKETS = 1600
 EPSILON = 1e-9
+#: Rows of a slice of long_positions, over all signals.
+SLICE_ROWS = 1 << 18
 
 
 def mono(signal: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,10 +47,13 @@ def loudness(rms: Column) -> Column:
 
 
 def envelope(signal: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """bucket, lo, hi: extremes of runs of max(1, n div buckets) samples, so up to 2 * buckets - 1 of them."""
+    """bucket, lo, hi: extremes of runs of max(1, n div buckets) samples, so up to 2 * buckets - 1 of them.
+
+    Lengths are found and joined by key unless the signal has them as n, as long_positions() gives them.
+    """
     lengths = signal.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
     step = F.greatest(F.lit(1), F.expr(f"n div {buckets}"))
-    placed = signal.join(lengths, keys).withColumn("bucket", F.floor(F.col("i") / step))
+    placed = (signal if "n" in signal.columns else signal.join(lengths, keys)).withColumn("bucket", F.floor(F.col("i") / step))
     return placed.groupBy(*keys, "bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
@@ -155,3 +160,26 @@ def positions(rows: DataFrame, keys: list[str], order: str, value: str) -> DataF
     """A signal from rows: i numbers a key's rows in the order given."""
     at = Window.partitionBy(*keys).orderBy(order)
     return rows.select(*keys, (F.row_number().over(at) - 1).cast("long").alias("i"), F.col(value).alias("v"))
+
+
+def long_positions(rows: DataFrame, keys: list[str], by: str, order: str, value: str, slice_rows: int | None = None) -> DataFrame:
+    """positions() of few and long signals, and their lengths: keys (not null), i, v, n. `by` is a column of whole numbers
+    that never falls along `order`.
+
+    Rows are cut by equal widths of `by` into slices of about slice_rows (SLICE_ROWS); a row's number is the rows of its key's slices
+    before, and its number within its own, so no task has a whole signal. The widths are equal, so a slice is
+    as many times larger as `by` is denser there than on average; the numbers are right whatever the slices.
+    """
+    slice_rows = slice_rows or SLICE_ROWS
+    low, high, n = rows.agg(F.min(by), F.max(by), F.count("*")).first()
+    width = max(1, (high - low + 1) * slice_rows // n) if low is not None else 1
+    # nulls come first in the order
+    place = F.coalesce(F.expr(f"({by} - {low or 0}) div {width}"), F.lit(-1)).cast("long")
+    placed = rows.select(*keys, place.alias("slice"), F.col(order).alias("at"), F.col(value).alias("v"))
+    counts = placed.groupBy(*keys, "slice").agg(F.count("*").alias("held"))
+    own = Window.partitionBy(*keys)
+    upto = own.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "slice", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("start"), F.sum("held").over(own).alias("n"))
+    within = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("at")) - 1
+    dealt = placed.repartition(max(1, -(-n // slice_rows)), *keys, "slice").select(*keys, "slice", within.alias("k"), "v")
+    return dealt.join(starts, [*keys, "slice"]).select(*keys, (F.col("start") + F.col("k")).cast("long").alias("i"), "v", "n")

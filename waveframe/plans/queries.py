@@ -523,7 +523,8 @@ def index_files(spark, sf_dir):
 
 def peaks_files(spark, sf_dir):
     """Envelopes written as peaks documents and read back."""
-    s = signal.positions(load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("user_id"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate").alias("at"), F.col("l_extendedprice").alias("value")), ["user_id"], "at", "value")
+    rows = load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("user_id"), "l_orderkey", F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate").alias("at"), F.col("l_extendedprice").alias("value"))
+    s = signal.long_positions(rows, ["user_id"], "l_orderkey", "at", "value")
     writers.write_peaks(signal.envelope(s, ["user_id"], 100), ["user_id"], folder := shared_folder(spark))
     return readers.peaks(spark, f"{folder}/*/*.json").select(F.regexp_extract("path", "user_id=([0-9]+)", 1).cast("long").alias("user_id"), "bucket", "lo", "hi")
 

@@ -163,3 +163,17 @@ def test_pyramid_equals_the_envelope_at_any_width(spark, width):
 
 def rows_of(df):
     return rows(df, "slug", "x", "lo", "hi")
+
+
+def test_residual_and_gain_need_no_python(spark):
+    nan = float("nan")
+    made = [(1, 0, [1.0, None, 3.0, nan]), (2, 0, [1.0, 2.0]), (3, 0, None), (4, 0, []), (5, 0, [None, None]), (6, 0, [1.0])]
+    others = [(1, 0, [0.5, 1.0, 1.0]), (2, 0, [1.0, 1.0, 1.0]), (3, 0, [1.0]), (4, 0, [2.0]), (5, 0, [1.0, 2.0]), (6, 0, None)]
+    a, b = (spark.createDataFrame(x, "k int, chunk long, samples array<double>") for x in (made, others))
+    less, scaled = chunks.residual(a, b, ["k"]), chunks.normalize(a.where("k > 1"), ["k"])
+    assert sorted(map(tuple, less.collect())) == [(1, 0, [0.5, None, 2.0]), (2, 0, [0.0, 1.0]), (3, 0, []), (4, 0, []), (5, 0, [None, None]), (6, 0, [])]
+    gain = 10 ** (-5 / 20)
+    assert sorted(map(tuple, scaled.collect())) == [(2, 0, [gain / 2, gain / 2 * 2], gain / 2), (3, 0, [], 1.0), (4, 0, [], 1.0), (5, 0, [None, None], 1.0), (6, 0, [gain], gain)]
+    for df in (less, scaled):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan

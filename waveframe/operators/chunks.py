@@ -1,7 +1,7 @@
 """Signals in chunk form: one row (keys, ch, chunk, samples) for each run of `size` samples of a channel.
 
 All chunks of a channel but its last hold `size` samples, the first begins at sample 0. Kernels are
-numpy over a chunk's array; what is shuffled are chunks or a few numbers of each, never single
+column expressions (residual, normalize) or numpy over a chunk's array; what is shuffled are chunks or a few numbers of each, never single
 samples, and a task holds a batch of chunks, not a signal. A signal's channels and an ensemble's
 members are taken to be few (they meet in one group for each chunk); its chunks may be any number.
 
@@ -72,14 +72,23 @@ def _total(exponents: pd.Series, high: pd.Series, low: pd.Series) -> pd.Series:
     return pd.Series([exact.total(*x) for x in zip(exponents, high, low, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(SAMPLES)
-def _minus(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x[: len(y)] - y[: len(x)] for x, y in zip(_rows(a), _rows(b), strict=True)], dtype=object)
+def _held(samples: Column) -> Column:
+    return F.coalesce(samples, F.array().cast(SAMPLES))
 
 
-@F.pandas_udf(SAMPLES)
-def _times(samples: pd.Series, gain: pd.Series) -> pd.Series:
-    return pd.Series([x * g for x, g in zip(_rows(samples), gain, strict=True)], dtype=object)
+def _number(x: Column) -> Column:
+    """x, or null if it is no number."""
+    return F.when(~F.isnan(x), x)
+
+
+def _minus(a: Column, b: Column) -> Column:
+    """a - b as far as both go, in the JVM."""
+    a, b = _held(a), _held(b)
+    return F.slice(F.zip_with(a, b, lambda x, y: _number(x - y)), F.lit(1), F.least(F.size(a), F.size(b)))
+
+
+def _times(samples: Column, gain: Column) -> Column:
+    return F.transform(_held(samples), lambda x: _number(x * gain))
 
 
 @F.pandas_udf(SAMPLES)
@@ -164,7 +173,7 @@ def align(chunks: DataFrame, keys: list[str], member: str, size: int = SIZE) ->
 def residual(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """keys, chunk, samples: a - b at the positions that both have."""
     both = a.select(*keys, "chunk", "samples").join(b.select(*keys, "chunk", F.col("samples").alias("other")), [*keys, "chunk"])
-    return both.select(*keys, "chunk", _minus("samples", "other").alias("samples"))
+    return both.select(*keys, "chunk", _minus(F.col("samples").cast(SAMPLES), F.col("other").cast(SAMPLES)).alias("samples"))
 
 
 def peaks(chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -176,7 +185,7 @@ def peaks(chunks: DataFrame, keys: list[str]) -> DataFrame:
 def normalize(chunks: DataFrame, keys: list[str], dbfs: float = -5.0) -> DataFrame:
     """samples scaled so that the signal's peak, over all its channels, is at dbfs, and gain; silence is left as it is."""
     gain = F.when(F.col("peak") > EPSILON, F.lit(10 ** (dbfs / 20)) / F.col("peak")).otherwise(1.0)
-    return chunks.join(peaks(chunks, keys), keys).withColumn("gain", gain).withColumn("samples", _times("samples", "gain")).drop("peak")
+    return chunks.join(peaks(chunks, keys), keys).withColumn("gain", gain).withColumn("samples", _times(F.col("samples").cast(SAMPLES), F.col("gain"))).drop("peak")
 
 
 def ensemble(chunks: DataFrame, keys: list[str], member: str, algo: str = "avg", size: int = SIZE) -> DataFrame:

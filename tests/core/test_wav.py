@@ -141,3 +141,15 @@ def test_header_beyond_four_gigabytes_is_read_back(tmp_path):
     os.truncate(tmp_path / "l.wav", 80 + 4 * n)  # sparse
     with open(tmp_path / "l.wav", "rb") as f:
         assert wav.header_of(f, 80 + 4 * n) == wav.Header(80, n, 2, 44100, 2, False)
+
+
+def test_small_files_share_batches_and_tasks_open_few(tmp_path):
+    for k in range(1100):
+        put(tmp_path / f"{k}.wav", np.full((1, 70), k / 2000))
+    reader = wav.WavReader({"path": str(tmp_path), "chunk": "32"})
+    parts = reader.partitions()
+    assert max(len(p.ranges) for p in parts) <= 1024 and sum(len(p.ranges) for p in parts) == 1100
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(batches) < 10 and sum(b.num_rows for b in batches) == 1100 * 2 * 3
+    found = {(r["path"].rsplit("/", 1)[-1], r["ch"], r["chunk"]): (r["start"], len(r["samples"]), r["samples"][0]) for b in batches for r in b.to_pylist()}
+    assert all(found[f"{k}.wav", ch, c][:2] == (32 * c, (32, 32, 6)[c]) and abs(found[f"{k}.wav", ch, c][2] - k / 2000) < 1e-4 for k in range(1100) for ch in (0, 1) for c in range(3))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyarrow import fs
@@ -11,7 +12,7 @@ from pyarrow import fs
 FILES_EACH = 1024
 #: Threads for what the driver does file by file (pyarrow waits without Python's lock).
 THREADS = 16
-T = TypeVar("T")
+T, U = TypeVar("T"), TypeVar("U")
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -40,3 +41,10 @@ def dealt(ranges: Iterable[tuple[T, int]], split: int) -> list[list[T]]:
         out[-1].append(found)
         room -= size
     return out
+
+
+def in_threads(f: Callable[[T], U], items: list[T], block: int = 256) -> list[U]:
+    """f of each, in blocks of items."""
+    blocks = [items[k : k + block] for k in range(0, len(items), block)]
+    with ThreadPoolExecutor(THREADS) as pool:
+        return [x for done in pool.map(lambda part: [f(x) for x in part], blocks) for x in done]

@@ -1,6 +1,6 @@
 """WAV files as a partitioned source and as a sink of loose files, for Spark's Python data sources.
 
-Source: a file is cut into byte ranges, small files share a task. A range reads the header (a few bytes) and then
+Source: a file is cut into byte ranges, small files share a task, up to 1,024 of them. A range reads the header (a few bytes) and then
 only its own chunks; a chunk belongs to the range that holds its first byte. Resampled chunks read the
 input samples around them that the filter needs, so they equal those of the whole file bit for bit.
 
@@ -33,12 +33,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..operators import chunks as chunk_form
 from ..operators.spectral import needed, resampled_length, resampled_range
-from .files import below, opened
+from .files import below, dealt, in_threads, opened
 
 NAME = "waveframe_wav"
 SCHEMA = "path string, ch int, chunk long, start long, rate int, samples array<double>"
 #: Bytes of a task, of one file or of several.
 SPLIT = 64 << 20
+#: Samples and rows of a batch, of one file or of several.
+BATCH, BATCH_ROWS = 1 << 18, 10_000
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 UNKNOWN_SIZE = 0xFFFFFFFF
 
@@ -129,21 +131,24 @@ class WavReader(DataSourceReader):
     def partitions(self) -> list[Ranges]:
         where, path = opened(self.folder)
         files = [(f.path, f.size) for f in below(where, path, "wav")]
-        out, room = [], 0
-        for name, size in files:
-            for lo in range(0, size, self.split):
-                hi = min(size, lo + self.split)
-                if hi - lo > room:
-                    out.append(Ranges([]))
-                    room = self.split
-                out[-1].ranges.append((name, size, lo, hi))
-                room -= hi - lo
-        return out
+        ranges = [((name, size, lo, min(size, lo + self.split)), min(size, lo + self.split) - lo) for name, size in files for lo in range(0, size, self.split)]
+        return [Ranges(x) for x in dealt(ranges, self.split)]
 
     def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's one part of a source without parts
             return
         where, _ = opened(self.folder)
+        held, n = [], 0
+        for row in self._rows(where, partition):
+            held.append(row)
+            n += len(row[-1])
+            if n >= BATCH or len(held) >= BATCH_ROWS:
+                yield _batch(held)
+                held, n = [], 0
+        if held:
+            yield _batch(held)
+
+    def _rows(self, where: fs.FileSystem, partition: Ranges) -> Iterator[tuple]:
         for path, size, lo, hi in partition.ranges:
             with where.open_input_file(path) as file:
                 try:
@@ -152,7 +157,7 @@ class WavReader(DataSourceReader):
                     raise ValueError(f"{path}: {e}") from e
                 yield from self._chunks(file, path, header, lo, hi)
 
-    def _chunks(self, file, path: str, header: Header, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+    def _chunks(self, file, path: str, header: Header, lo: int, hi: int) -> Iterator[tuple]:
         rate = self.rate or header.rate
         same = rate == header.rate
         total = header.n if same else resampled_length(header.n, header.rate, rate)
@@ -173,12 +178,18 @@ class WavReader(DataSourceReader):
             if not same and first < last:
                 x = np.stack([resampled_range(c, a, header.n, first, last, header.rate, rate) for c in x])
             for ch, samples in enumerate([x[0], x[0]] if len(x) == 1 else x):
-                lists = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(np.ascontiguousarray(samples)))
-                columns = [pa.array([path]), pa.array([ch], pa.int32()), pa.array([k], pa.int64()), pa.array([first], pa.int64()), pa.array([rate], pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield path, ch, k, first, rate, samples
             k += 1
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    *plain, samples = zip(*rows, strict=True)
+    offsets = np.cumsum([0, *map(len, samples)]).astype(np.int32)
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    columns = [pa.array(x, kind) for x, kind in zip(plain, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(samples)))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Files of a task: where they are and the names that they get."""
@@ -234,8 +245,7 @@ class WavWriter(DataSourceArrowWriter):
             raise ValueError("a file was written by two tasks: rows must be dealt by path")
         for parent in sorted({dirname(to) for to in names}):
             where.create_dir(parent, recursive=True)
-        for at, to in files:
-            where.move(at, to)
+        in_threads(lambda f: where.move(*f), files)
         self.abort(messages)
         if self.overwrite:
             for f in where.get_file_info(fs.FileSelector(folder, recursive=True)):

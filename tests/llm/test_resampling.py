@@ -2,10 +2,14 @@
 
 import hashlib
 import math
+import os
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,3 +102,46 @@ def test_resampled_rows_keep_their_columns(spark):
     target = spark.createDataFrame([("word1 word1",)], "text string")
     got = resampling.resampled(docs, target)
     assert got.columns == docs.columns and got.count() == 5
+
+
+def test_nothing_of_the_size_of_the_texts_is_written(spark, monkeypatch):
+    made, at = random.Random(5), []
+    docs = [(k, " ".join(f"{made.getrandbits(24):x}" for _ in range(600))) for k in range(400)]
+    write = resampling.written
+
+    def measured(df):
+        found = write(df)
+        at.append(sum(os.path.getsize(f.removeprefix("file://")) for f in found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(resampling, "written", measured)
+    assert ordered(drawn(spark, docs, ["one two"])) == ordered(brute(docs, ["one two"]))
+    assert at and sum(at) < sum(len(t) for _, t in docs) // 10
+
+
+LONG = st.integers(60, 70).map(lambda n: "w" * n) | st.just("\u65e5" * 500)
+TEXTS = st.lists(st.lists(st.text(alphabet="aB1 .\u00e9\n", max_size=12) | LONG, max_size=4).map(" ".join), max_size=8)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXTS)
+def test_rows_of_a_step_do_not_mix(texts):
+    column, gain = pa.array(texts, pa.large_string()), np.random.default_rng(3).integers(-9000, 9000, 10000)
+    each = [counts(t) for t in texts]
+    if texts:
+        weight, n_words = resampling.row_gains(column, gain)
+        assert weight.tolist() == [sum(int(gain[b]) * n for b, n in c.items()) for c, _, _ in each] and n_words.tolist() == [n for _, n, _ in each]
+        sums, n = resampling.bucket_sums(column)
+        assert Counter({b: k for b, k in enumerate(sums.tolist()) if k}) == sum((c for c, _, _ in each), Counter()) and n == sum(n for _, n, _ in each)
+
+
+@pytest.mark.parametrize("longest", [1, 2, 5])
+def test_runs_of_other_lengths_in_pieces(longest, monkeypatch):
+    cut = resampling.pieces
+    monkeypatch.setattr(resampling, "pieces", lambda t: cut(t, 5))
+    text = "a bb ccc " * 7 + "x" * 80 + " y " + "z" * 90
+    w = words(text)
+    runs = [" ".join(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1)]
+    buckets, n, n_words, n_features = resampling.features(text, 1000, longest)
+    assert Counter(dict(zip(buckets.tolist(), n.tolist(), strict=True))) == Counter(zlib.crc32(r.encode()) % 1000 for r in runs)
+    assert (n_words, n_features) == (len(w), len(runs))

@@ -1,17 +1,18 @@
 """Importance resampling towards a target distribution over hashed n-gram buckets.
 
-Each document is a row of a sparse document-by-bucket matrix of counts, persisted as CSR blocks (one
-row of the table holds a run of documents: ids, row offsets, bucket numbers, counts). Column sums
-of the corpus and of the target give a gain for each bucket; the product of the matrix with the
-gains gives each document's weight. Documents are drawn without replacement by the Gumbel trick:
-the highest weight plus noise, where the noise depends on the doc_id alone.
+Each document is a row of a sparse document-by-bucket matrix of counts. The matrix is never kept: it is several
+times the texts, and blocks of it, read back, filled the executors. A first pass over the texts adds up its columns,
+for the corpus and for the target, which gives a gain for each bucket; a second one makes the rows again and
+multiplies them with the gains, which gives each document's weight. Documents are drawn without replacement by the
+Gumbel trick: the highest weight plus noise, where the noise depends on the doc_id alone. As `docs` is read twice,
+it should be a table or cheap to make, and the same each time.
 
 The gains (one number a bucket) are the only thing that goes to every task, and the only thing
 that is collected. Ranks come from a sort by ranges with each range's rows counted, so no task holds all rows.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z: ASCII digits and letters and all other
-characters, so texts are handled as bytes. Features are all runs of 1 to 3 words; a run's crc32 goes on from
-that of the run without its last word.
+characters, so texts are handled as bytes. Features are all runs of 1 to 3 words; the crc32 of a run that ends in a word
+goes on from that of the run before the word. crc32 is linear, so this is done for all words of a step at once, by tables.
 
 Defined results: null and empty texts have no features, weight 0 and are never drawn; an empty target or corpus
 has sums of 0; rows without a doc_id take part with the noise of an empty id and stand last among ties;
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -31,19 +32,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, scoped, steps, written
+from .common import STEP_BYTES, scoped, steps, text_bytes, text_of, written
 
 N_BUCKETS, LONGEST = 10_000, 3
 #: Draws this share, in hundredths, of the documents with so many words.
 PERCENT, LEAST_WORDS, SEED = 5, 20, 42
 #: What is no part of a word becomes a space, and A-Z lower case.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: buckets are 16-bit, counts of the block's least width; as binary a block is read and sent without a step for each entry.
-BLOCKS = "doc_ids array<long>, n_words array<long>, n_features array<long>, starts array<int>, buckets binary, counts binary, width int"
-BUCKET = np.dtype("<u2")
+#: Bytes of text that are handled at once; arrays of that many words stay in a processor's cache.
+AT_ONCE = STEP_BYTES // 8
+#: Words of more bytes than this go through crc32 one by one.
+TABLED = 64
 
 
-def pieces(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
+def pieces(text: bytes, limit: int = AT_ONCE) -> Iterator[bytes]:
     """The text cut before spaces into pieces of about `limit` bytes."""
     at = 0
     while len(text) - at > limit:
@@ -55,76 +57,117 @@ def pieces(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def features(text: str, n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(buckets in order, their counts, words, features) of a whole text, in steps of bounded memory."""
-    found, n_words, n_features = [], 0, 0
-    carried: list[bytes] = []  # the last words of the piece before, each with a space in front
-    for piece in pieces(text.encode().translate(LETTERS)):
-        spaced = carried + [b" " + w for w in piece.split()]
-        new = len(spaced) - len(carried)
-        if not new:
-            continue
-        each = []
-        # runs of k + 1 words from those of k; a run of words of the piece before only was counted there
-        runs = [crc32(w[1:]) for w in spaced]
-        for k in range(min(longest, len(spaced))):
-            if k:
-                runs = list(map(crc32, spaced[k:], runs))
-            each.append(np.array(runs[max(0, len(carried) - k) :], np.int64))
-        own = np.concatenate(each) % n_buckets
-        found.append(np.unique(own, return_counts=True))
-        n_words, n_features = n_words + new, n_features + len(own)
-        carried = spaced[1 - longest :] if longest > 1 else []
-    if len(found) < 2:
-        return *(found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))), n_words, n_features
-    sums = np.zeros(n_buckets, np.int64)
-    for buckets, counts in found:
-        sums[buckets] += counts
-    buckets = np.flatnonzero(sums)
-    return buckets, sums[buckets], n_words, n_features
-
-
-def packed(rows: list[tuple[np.ndarray, np.ndarray, int, int]], ids: pa.Array) -> pa.RecordBatch:
-    """A block of the rows that `features` gives."""
-    counts = np.concatenate([r[1] for r in rows])
-    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))).newbyteorder("<"))
-    each = [ids, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([0, *accumulate(len(r[0]) for r in rows)], pa.int32())]
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in each]
-    binary = [np.concatenate([r[0] for r in rows]).astype(BUCKET).tobytes(), counts.tobytes()]
-    return pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in binary], pa.array([counts.itemsize], pa.int32())], names=[x.split()[0] for x in BLOCKS.split(", ")])
-
+@cache
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a byte adds to a word's crc32 by the bytes after it; the crc32 of zeros by their number, and of a
+    space and zeros; what a byte of a crc32 becomes when so many bytes follow."""
+    zeros = [bytes(n) for n in range(TABLED + 2)]
+    of_zeros = np.array([crc32(z) for z in zeros], np.uint32)
+    spaced = np.array([crc32(b" " + z) for z in zeros], np.uint32)
+    added = np.array([[crc32(zeros[n], crc32(bytes([b]))) for b in range(256)] for n in range(TABLED)], np.uint32) ^ of_zeros[1 : TABLED + 1, None]
+    moved = np.array([[crc32(z, b << k) for k in (0, 8, 16, 24) for b in range(256)] for z in zeros], np.uint32) ^ of_zeros[:, None]
+    return added.ravel(), of_zeros, spaced, moved.ravel()
 
-def unpacked(buckets: pa.Scalar, counts: pa.Scalar, width: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(buckets.as_buffer(), BUCKET), np.frombuffer(counts.as_buffer(), f"<u{width.as_py()}")
 
+def runs(text: bytes, offsets: np.ndarray, longest: int = LONGEST, before: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(crc32 of the runs of 1, 2, ... words, by the words they end with; those words' places; each row's offset into
+    the words) of rows that stand side by side in `text`, to which LETTERS is applied. There is a run of k + 1 words
+    where the place is k or more.
 
-def count_blocks(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> DataFrame:
-    """The matrix as CSR blocks, written: of the documents of a block the ids, words and features, and the
-    nonzero counts; those of its k-th document stand from starts[k] to starts[k + 1]."""
+    `before` has the crc32 of the runs of 1, 2, ... words after which the first row, a piece of a text, goes on.
+    """
+    added, of_zeros, spaced, moved = tables()
+    data = np.frombuffer(text, np.uint8)
+    inside = data != 32
+    edges = np.zeros(len(data) + 1, bool)
+    edges[1:-1] = inside[1:] != inside[:-1]
+    edges[offsets] = True
+    starts, ends = np.flatnonzero(inside & edges[:-1]), np.flatnonzero(inside & edges[1:]) + 1
+    sizes = ends - starts
+    rows = np.searchsorted(starts, offsets)
+    long = [(i, text[starts[i] : ends[i]]) for i in np.flatnonzero(sizes > TABLED).tolist()]
+    tabled = np.where(sizes > TABLED, 0, sizes)
+    upto = np.cumsum(tabled)
+    byte = np.arange(upto[-1] if len(upto) else 0)
+    left = np.repeat(upto, tabled) - 1 - byte
+    sums = np.zeros(len(byte) + 1, np.uint32)
+    np.bitwise_xor.accumulate(added[(left << 8) + data[np.repeat(ends - upto, tabled) + byte]], out=sums[1:])
+    words = sums[upto] ^ sums[upto - tabled] ^ of_zeros[tabled]
+    for i, word in long:
+        words[i] = crc32(word)
+    found, goes_on = [words], words ^ of_zeros[tabled] ^ spaced[tabled]
+    for k in range(1, longest):
+        shorter = np.zeros(len(words), "<u4")
+        shorter[1:] = found[-1][:-1]
+        if len(words) and k <= len(before):
+            shorter[0] = before[k - 1]
+        longer = goes_on.copy()
+        for j, part in enumerate(shorter.view(np.uint8).reshape(-1, 4).T):
+            longer ^= moved[(tabled + 1 << 10) + 256 * j + part]
+        for i, word in long:
+            longer[i] = crc32(word, crc32(b" ", int(shorter[i])))
+        found.append(longer)
+    place = np.arange(len(words)) - np.repeat(rows[:-1], np.diff(rows))
+    place[: rows[1]] += len(before)
+    return found, place, rows
+
+
+def runs_of(texts: pa.Array, longest: int = LONGEST) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """What `runs` gives for the texts of a step; for a single one, which may be long, piece by piece."""
+    data, offsets = text_bytes(texts)
+    lowered = data.tobytes().translate(LETTERS)
+    if len(texts) > 1:
+        yield runs(lowered, offsets, longest)
+        return
+    before: tuple[int, ...] = ()
+    for piece in pieces(lowered):
+        found, place, rows = runs(piece, np.array([0, len(piece)]), longest, before)
+        yield found, place, rows
+        if len(place):
+            before = tuple(int(x[-1]) for x in found[: min(longest - 1, int(place[-1]) + 1)])
+
+
+def bucket_sums(texts: pa.Array, n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> tuple[np.ndarray, int]:
+    """The features of each bucket in the texts of a step, and their words."""
+    sums, n_words = np.zeros(n_buckets, np.int64), 0
+    for found, place, _ in runs_of(texts, longest):
+        sums += np.bincount(np.concatenate([x[place >= k] for k, x in enumerate(found)]) % np.uint32(n_buckets), minlength=n_buckets)
+        n_words += len(place)
+    return sums, n_words
+
+
+def row_gains(texts: pa.Array, gain: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the gains of each text's features, and its words."""
+    weight, n_words = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for found, place, rows in runs_of(texts, longest):
+        own = np.zeros(len(place) + 1, np.int64)
+        for k, x in enumerate(found):
+            own[1:] += np.where(place >= k, gain[x % np.uint32(len(gain))], 0)
+        upto = np.cumsum(own)
+        weight += upto[rows[1:]] - upto[rows[:-1]]
+        n_words += np.diff(rows)
+    return weight, n_words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, part in steps(batch.column(1), STEP_BYTES // 2):
-                yield packed([features(t, n_buckets, longest) for t in part.to_pylist()], batch.column(0).slice(lo, hi - lo))
 
-    if n_buckets > 1 << 16:
-        raise ValueError("buckets are held as 16 bits")
-    return written(docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).mapInArrow(run, BLOCKS))
+def features(text: str, n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(buckets in order, their counts, words, features) of a whole text: its row of the matrix."""
+    sums, n_words = bucket_sums(pa.array([text], pa.large_string()), n_buckets, longest)
+    buckets = np.flatnonzero(sums)
+    return buckets, sums[buckets], n_words, int(sums.sum())
 
 
-def column_sums(blocks: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
+def column_sums(docs: DataFrame, text: str = "text", n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> DataFrame:
     """bucket, n: a partial sum from each task, then the sums of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(n_buckets, np.int64)
         for batch in batches:
-            for block in zip(*batch.columns, strict=True):
-                buckets, counts = unpacked(*block)
-                sums += np.bincount(buckets, counts, n_buckets).astype(np.int64)  # exact: a block's sums are far below 2^53
+            for _, _, part in steps(batch.column(0), AT_ONCE):
+                sums += bucket_sums(part, n_buckets, longest)[0]
         held = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(sums[held])], names=["bucket", "n"])
 
-    return blocks.select("buckets", "counts", "width").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.select(text_of(docs, text).alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(source: DataFrame, target: DataFrame, n_buckets: int = N_BUCKETS) -> list[int]:
@@ -137,19 +180,18 @@ def gains(source: DataFrame, target: DataFrame, n_buckets: int = N_BUCKETS) -> l
     return [math.floor(1000 * math.log((float(b + 1) * float(total_s + n_buckets)) / (float(a + 1) * float(total_t + n_buckets)))) for a, b in zip(s, t, strict=True)]
 
 
-def weights(blocks: DataFrame, gain: list[int]) -> DataFrame:
-    """doc_id, n_words, n_features, weight: the matrix times the gains, block by block."""
+def weights(docs: DataFrame, gain: list[int], id_column: str = "doc_id", text: str = "text", longest: int = LONGEST) -> DataFrame:
+    """doc_id, n_words, n_features, weight: the matrix times the gains, its rows made step by step."""
     held = np.array(gain, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, n_words, n_features, starts, *block in zip(*batch.columns, strict=True):
-                buckets, counts = unpacked(*block)
-                at = starts.values.to_numpy()
-                upto = np.concatenate([[0], np.cumsum(held[buckets] * counts)])
-                yield pa.RecordBatch.from_arrays([ids.values, n_words.values, n_features.values, pa.array(upto[at[1:]] - upto[at[:-1]])], names=["doc_id", "n_words", "n_features", "weight"])
+            each = [row_gains(part, held, longest) for _, _, part in steps(batch.column(1), AT_ONCE)]
+            weight, n_words = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*each, strict=True) if each else ((), ())))
+            n_features = sum(np.maximum(n_words - k, 0) for k in range(longest))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n_words, n_features, weight))], names=["doc_id", "n_words", "n_features", "weight"])
 
-    return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return docs.select(docs[id_column].cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
@@ -175,9 +217,8 @@ def ranked(rows: DataFrame, order: list[Column], n: int, rank: str = "rank") ->
 @scoped
 def draw(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED, n_buckets: int = N_BUCKETS, longest: int = LONGEST) -> DataFrame:
     """Every document's doc_id, n_words, n_features, weight, score and rank, null unless it is drawn."""
-    blocks = count_blocks(docs, n_buckets=n_buckets, longest=longest)
-    wanted = count_blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), n_buckets=n_buckets, longest=longest)
-    found = weights(blocks, gains(column_sums(blocks, n_buckets), column_sums(wanted, n_buckets), n_buckets))
+    sums = [column_sums(x, n_buckets=n_buckets, longest=longest) for x in (docs, target)]
+    found = weights(docs, gains(*sums, n_buckets), longest=longest)
     scored = written(found.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)))
     able = F.col("n_words") >= least_words
     n = scored.where(able).count() * percent // 100
